@@ -1,0 +1 @@
+"""No streaming operators: the feature set of this engine is batch only (see README)."""

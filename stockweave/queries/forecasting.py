@@ -7,18 +7,14 @@ from pyspark.sql import functions as F
 from stockweave.functions.numeric import stable6
 from stockweave.operators import spine
 from stockweave.plans import forecast as fc
+from stockweave.queries.inputs import ENTITIES, sales_grid
 from stockweave.queries.registry import query
 from stockweave.queries.sqlparts import r6, with_ctes
 from stockweave.sources.drivertables import DriverTables
 
-ENTITIES = ("product_id", "store_id")
 SPEC = fc.ForecastSpec(ENTITIES)
 
 
-def sales_grid(t: DriverTables):
-    return spine.observed_grid(t.sales, "date", ENTITIES, "quantity", t.ship_bounds)
-
-
 def origin_range(t: DriverTables) -> fc.OriginRange:
     lo, hi = t.ship_bounds.select("lo").scalar(), t.ship_bounds.select("hi").scalar()
     return fc.OriginRange(F.date_sub(hi, 90), hi, lo, hi)

@@ -180,3 +180,32 @@ FROM registry
 """,
     "registry",
 )
+
+
+def stock_bounds(t: DriverTables):
+    """First and last day with an order or a shipment, as scalar columns."""
+    orders = t.raw("orders").select(F.col("o_orderdate").cast("date").alias("d")).agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    lo = F.least(scalar(t.ship_bounds, "lo"), scalar(orders, "lo"))
+    hi = F.greatest(scalar(t.ship_bounds, "hi"), scalar(orders, "hi"))
+    return lo, hi
+
+
+define(
+    "stock_bounds",
+    """
+SELECT least(lo, (SELECT min(CAST(o_orderdate AS DATE)) FROM orders)) AS lo,
+       greatest(hi, (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)) AS hi FROM bounds
+""",
+    "bounds",
+)
+
+
+def lead_items(t: DriverTables) -> DataFrame:
+    """Lead time, cycle and service level per item (product, store)."""
+    from stockweave.functions.random import seeded_uniform, uniform_between
+    from stockweave.sources.drivertables import SEED
+
+    lead = uniform_between(seeded_uniform(SEED, "item_lead", F.col("product_id"), F.col("store_id")), 4.0, 10.0, 2)
+    return t.sales.select(*ENTITIES).distinct().select(
+        *ENTITIES, lead.alias("lead_time_mean_days"), F.lit(14).cast("bigint").alias("order_cycle_days"), F.lit(0.95).alias("target_service_level")
+    )

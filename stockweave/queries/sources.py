@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from stockweave.functions import calendar as C
 from stockweave.functions.numeric import stable6
 from stockweave.operators import select as S
-from stockweave.operators.fingerprint import content_fingerprint
 from stockweave.queries import inputs as I
 from stockweave.queries.registry import query
 from stockweave.queries.sqlparts import r6, with_ctes
@@ -276,19 +275,3 @@ def drop_nulls(t):
     from stockweave.queries.forecasting import backtest_of
 
     return backtest_of(t, "moving_average").dropna(subset=["actual"]).withColumn("forecast", stable6(F.col("forecast")))
-
-
-@query(
-    "content_fingerprint",
-    with_ctes("monthly_prints", """SELECT CAST(year(month) AS BIGINT) AS year, CAST(sum(row_count) AS BIGINT) AS row_count, CAST(count(DISTINCT fingerprint) AS BIGINT) AS versions,
-              sha256(string_agg(store_id || strftime(month, '%Y-%m') || '=' || fingerprint, chr(10) ORDER BY store_id || strftime(month, '%Y-%m') || '=' || fingerprint)) AS bundle_fingerprint
-              FROM monthly_prints GROUP BY ALL"""),
-)
-def fingerprints(t):
-    from stockweave.operators.fingerprint import bundle_fingerprint
-
-    prints = content_fingerprint(t.sales.withColumn("month", F.trunc("date", "month")), by=("store_id", "month"))
-    named = prints.select(F.year("month").cast("bigint").alias("year"), F.concat("store_id", F.date_format("month", "yyyy-MM")).alias("name"), "row_count", "fingerprint")
-    bundles = bundle_fingerprint(named, by=("year",))
-    totals = named.groupBy("year").agg(F.sum("row_count").alias("row_count"), F.countDistinct("fingerprint").alias("versions"))
-    return totals.join(bundles, "year")

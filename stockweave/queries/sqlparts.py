@@ -193,3 +193,28 @@ LEFT JOIN grid g ON g.date = f.date AND g.product_id = f.product_id AND g.store_
         f"fc_{_model}",
         "grid",
     )
+define(
+    "lead_items",
+    f"""
+SELECT product_id, store_id, {even("4.0 + " + uniform("item_lead", "product_id", "store_id") + " * 6.0", 2)} AS lead_time_mean_days,
+       CAST(14 AS BIGINT) AS order_cycle_days, CAST(0.95 AS DOUBLE) AS target_service_level
+FROM entities
+""",
+    "entities",
+)
+define(
+    "first_sale",
+    "SELECT product_id, store_id, min(CASE WHEN quantity > 0 THEN date END) AS first FROM grid GROUP BY ALL",
+    "grid",
+)
+# Mean units per day over the last 365 days of the table, leading zeros left out.
+define(
+    "mean_daily",
+    f"""
+SELECT product_id, store_id, {even("coalesce(avg(CASE WHEN date >= greatest(first, (SELECT hi - 364 FROM bounds)) THEN quantity END), 0)", 6)} AS mean_daily_demand
+FROM grid JOIN first_sale USING (product_id, store_id) GROUP BY ALL
+""",
+    "grid",
+    "first_sale",
+    "bounds",
+)

@@ -11,12 +11,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stockweave.functions.calendar import season_position
 from stockweave.functions.numeric import as_column, ratio_or_null
+from stockweave.operators.windows import same_weekday_mean, trailing_means
 
 
 @dataclass(frozen=True)
@@ -121,3 +125,109 @@ def forecast_accuracy(forecasts: DataFrame, *by: str) -> DataFrame:
 
 def trailing_frame(spec: ForecastSpec) -> W:
     return W.partitionBy(*spec.entities).orderBy(spec.time)
+
+
+# --- features, training set and a learned model --------------------------------------------------
+
+# Feature names of the learned forecast and the shortest history it accepts.
+FEATURES = ("horizon_day", "weekday", "month", "last_value", "mean_7", "mean_28", "mean_365", "mean_same_weekday_4")
+MIN_HISTORY_DAYS = 28
+
+
+def day_features(grid: DataFrame, spec: ForecastSpec) -> DataFrame:
+    """What is known at the end of each grid day: last value, trailing means, weekday means.
+
+    ``_weekday_means[j]`` belongs to the weekday j days back. One shuffle by entity serves the running
+    sums and the lags; the weekday means need one more.
+    """
+    weekday = same_weekday_mean(grid, spec.entities, 4, spec.time, spec.value)
+    means = trailing_means(weekday, spec.entities, (7, 28, 365), spec.time, spec.value, inclusive=True)
+    lags = [F.lag("mean_same_weekday_4", j).over(trailing_frame(spec)) for j in range(7)]
+    return means.select(
+        spec.time, *spec.entities, F.col(spec.value).cast("double").alias("last_value"), "mean_7", "mean_28", "mean_365", F.array(*lags).alias("_weekday_means")
+    )
+
+
+def forecast_features(grid: DataFrame, spec: ForecastSpec, origins: DataFrame, grid_hi: object) -> DataFrame:
+    """Features per (origin, horizon day, entity), from observations before the origin only."""
+    hi = as_column(grid_hi).cast("date")
+    anchored = origins.select("origin_date", F.least(F.date_sub("origin_date", 1), hi).alias(spec.time))
+    known = day_features(grid, spec).join(anchored, spec.time).withColumnRenamed(spec.time, "_anchor")
+    expanded = expand_horizon(known, spec)
+    back = F.pmod(F.weekday("_anchor") - F.weekday(spec.time), F.lit(7))
+    same = F.coalesce(F.get("_weekday_means", back), F.col("mean_28"))
+    return expanded.select(
+        "origin_date", spec.time, *spec.entities, F.col("horizon_day").cast("bigint").alias("horizon_day"),
+        F.weekday(spec.time).cast("bigint").alias("weekday"), F.month(spec.time).cast("bigint").alias("month"),
+        "last_value", "mean_7", "mean_28", "mean_365", same.alias("mean_same_weekday_4"),
+    )
+
+
+def training_origins(bounds: DataFrame, spec: ForecastSpec, start: object, window_days: int = 730, step_days: int = 7) -> DataFrame:
+    """Origins backward from the last one whose targets end before ``start``; at least 28 days of history."""
+    lo, first_day = F.col("lo").cast("date"), as_column(start).cast("date")
+    needed = MIN_HISTORY_DAYS + spec.horizon_days
+    short = F.datediff(first_day, lo) < needed
+    last = F.when(short, F.raise_error(F.lit(f"the learned forecast needs at least {needed} days before its start")).cast("date")).otherwise(
+        F.date_sub(first_day, spec.horizon_days)
+    )
+    first = F.greatest(F.date_add(lo, MIN_HISTORY_DAYS), F.date_sub(first_day, window_days))
+    dates = F.when(last >= first, F.sequence(last, first, F.expr(f"interval -{int(step_days)} day"))).otherwise(F.array().cast("array<date>"))
+    return bounds.select(F.explode(dates).alias("origin_date"))
+
+
+def training_set(grid: DataFrame, spec: ForecastSpec, bounds: DataFrame, start: object, window_days: int = 730, step_days: int = 7) -> DataFrame:
+    """Features joined with their targets, all dated before ``start``."""
+    history = grid.where(F.col(spec.time) < as_column(start).cast("date"))
+    origins = training_origins(bounds, spec, start, window_days, step_days)
+    features = forecast_features(history, spec, origins, F.date_sub(as_column(start).cast("date"), 1))
+    target = history.select(spec.time, *spec.entities, F.col(spec.value).cast("double").alias("target"))
+    return features.join(target, [spec.time, *spec.entities])
+
+
+def _design(features: DataFrame) -> DataFrame:
+    """Model inputs: logs of the levels, calendar dummies and the horizon."""
+    logs = {f"log_{c}": F.log1p(F.greatest(F.col(c), F.lit(0.0))) for c in ("last_value", "mean_7", "mean_28", "mean_365", "mean_same_weekday_4")}
+    weekdays = {f"weekday_{d}": (F.col("weekday") == d).cast("double") for d in range(1, 7)}
+    months = {f"month_{m}": (F.col("month") == m).cast("double") for m in range(2, 13)}
+    columns = {**logs, **weekdays, **months, "horizon": F.col("horizon_day").cast("double")}
+    return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="error").transform(features.withColumns(columns)).drop(*columns)
+
+
+def fit_forecast_model(training: DataFrame, regularisation: float = 1e-4, iterations: int = 25) -> GeneralizedLinearRegressionModel:
+    """One global Poisson model with log link, trained by distributed least squares passes.
+
+    The training rows are kept for the passes and released afterwards.
+    """
+    rows = _design(training).select("features", "target").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = GeneralizedLinearRegression(family="poisson", link="log", labelCol="target", featuresCol="features", regParam=regularisation, maxIter=iterations)
+        return model.fit(rows)
+    finally:
+        rows.unpersist()
+
+
+def learned_forecast(grid: DataFrame, spec: ForecastSpec, bounds: DataFrame, origins: OriginRange, window_days: int = 730, step_days: int = 7) -> DataFrame:
+    """Train before the first origin, then forecast every origin directly for the whole horizon."""
+    start, end, _, hi = origins.columns()
+    model = fit_forecast_model(training_set(grid, spec, bounds, start, window_days, step_days))
+    dates = bounds.select(F.explode(F.sequence(start, end, F.expr(f"interval {spec.interval_days} day"))).alias("origin_date"))
+    predicted = model.transform(_design(forecast_features(grid, spec, dates, hi)))
+    return predicted.select("origin_date", spec.time, *spec.entities, F.greatest(F.col("prediction"), F.lit(0.0)).alias("forecast"))
+
+
+def compare_forecasts(left: DataFrame, right: DataFrame, spec: ForecastSpec) -> DataFrame:
+    """Rows compared and rows that differ between two forecast tables."""
+    keys = ["origin_date", spec.time, *spec.entities]
+    a = left.select(*keys, F.col("forecast").alias("_a"), F.lit(1).alias("_in_a"))
+    b = right.select(*keys, F.col("forecast").alias("_b"), F.lit(1).alias("_in_b"))
+    both = a.join(b, keys, "full_outer")
+    differs = F.col("_in_a").isNull() | F.col("_in_b").isNull() | ~F.col("_a").eqNullSafe(F.col("_b"))
+    return both.agg(F.count(F.lit(1)).alias("compared_rows"), F.count_if(differs).alias("differing_rows"))
+
+
+def grouped_accuracy(forecasts: DataFrame, spec: ForecastSpec, model: str = "model") -> DataFrame:
+    """Accuracy overall and by model, origin and series, from one pass with grouping sets."""
+    first = spec.entities
+    sets = [[], [F.col(model)], [F.col(model), F.col("origin_date")], [F.col(model), *[F.col(e) for e in first]]]
+    return forecasts.groupingSets(sets, F.col(model), F.col("origin_date"), *[F.col(e) for e in first]).agg(*accuracy_columns())

@@ -209,3 +209,38 @@ def lead_items(t: DriverTables) -> DataFrame:
     return t.sales.select(*ENTITIES).distinct().select(
         *ENTITIES, lead.alias("lead_time_mean_days"), F.lit(14).cast("bigint").alias("order_cycle_days"), F.lit(0.95).alias("target_service_level")
     )
+
+
+def movements(t: DriverTables) -> DataFrame:
+    from stockweave.operators.ledger import daily_movements
+
+    lo, hi = stock_bounds(t)
+    return daily_movements(t.order_demand, t.receipts, lo, hi)
+
+
+def with_opening(moves: DataFrame, cover_days: object, by: tuple[str, ...] = ()) -> DataFrame:
+    """Opening stock: ``cover_days`` of the item's mean daily demand."""
+    from pyspark.sql import Window as W
+    from stockweave.functions.numeric import as_column, round_half_even_int
+
+    mean = F.avg("demand").over(W.partitionBy(*by, *ITEM))
+    return moves.withColumn("opening_units", round_half_even_int(as_column(cover_days) * mean))
+
+
+def single_ledger(t: DriverTables) -> DataFrame:
+    from stockweave.operators.ledger import stock_ledger
+
+    return stock_ledger(with_opening(movements(t), 14))
+
+
+def variant_ledgers(t: DriverTables) -> DataFrame:
+    """Six ledgers on the same receipts: two demand runs by three opening covers, in one pass."""
+    from stockweave.operators.ledger import stock_ledger
+
+    runs = F.array(*[F.struct(F.lit(r).alias("run_id"), F.lit(f).alias("fifths")) for r, f in (("baseline", 5), ("stress", 6))])
+    covers = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(c).alias("cover")) for v, c in (("cover_07", 7), ("cover_14", 14), ("cover_28", 28))])
+    tagged = movements(t).select("*", F.inline(runs)).select("*", F.inline(covers))
+    opened = with_opening(tagged, F.col("cover"), ("run_id", "variant"))
+    scaled = opened.withColumn("demand", F.floor(F.col("demand") * F.col("fifths") / 5).cast("bigint"))
+    key = ("run_id", "variant", *ITEM)
+    return stock_ledger(scaled, item=key)

@@ -218,3 +218,31 @@ FROM grid JOIN first_sale USING (product_id, store_id) GROUP BY ALL
     "first_sale",
     "bounds",
 )
+define(
+    "moves",
+    """
+SELECT d.date, i.product_id, i.warehouse_id, CAST(coalesce(r.arrivals, 0) AS BIGINT) AS arrivals, CAST(coalesce(o.demand, 0) AS BIGINT) AS demand
+FROM (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM stock_bounds) d
+CROSS JOIN (SELECT product_id, warehouse_id FROM receipts UNION SELECT product_id, warehouse_id FROM order_demand) i
+LEFT JOIN receipts r ON r.date = d.date AND r.product_id = i.product_id AND r.warehouse_id = i.warehouse_id
+LEFT JOIN order_demand o ON o.date = d.date AND o.product_id = i.product_id AND o.warehouse_id = i.warehouse_id
+""",
+    "stock_bounds", "receipts", "order_demand",
+)
+# Two runs (demand as recorded, demand one fifth higher) by three opening covers, on the same receipts.
+define("variants", "SELECT * FROM (VALUES ('baseline', 5), ('stress', 6)) r(run_id, fifths) CROSS JOIN (VALUES ('cover_07', 7), ('cover_14', 14), ('cover_28', 28)) v(variant, cover)")
+define(
+    "ledgers",
+    """
+SELECT run_id, variant, date, product_id, warehouse_id, CAST(previous + arrivals AS BIGINT) AS opening_on_hand, arrivals, demand,
+       CAST(previous + arrivals - closing AS BIGINT) AS fulfilled, CAST(demand - (previous + arrivals - closing) AS BIGINT) AS lost_sales, CAST(closing AS BIGINT) AS closing_on_hand
+FROM (SELECT *, coalesce(lag(closing) OVER (PARTITION BY run_id, variant, product_id, warehouse_id ORDER BY date), opening) AS previous FROM (
+  SELECT *, free - least(0, min(free) OVER (PARTITION BY run_id, variant, product_id, warehouse_id ORDER BY date)) AS closing FROM (
+    SELECT *, opening + sum(arrivals - demand) OVER (PARTITION BY run_id, variant, product_id, warehouse_id ORDER BY date) AS free FROM (
+      SELECT run_id, variant, date, product_id, warehouse_id, arrivals, demand * fifths // 5 AS demand,
+             CAST(round_even(cover * avg(demand) OVER (PARTITION BY run_id, variant, product_id, warehouse_id), 0) AS BIGINT) AS opening
+      FROM moves CROSS JOIN variants))))
+""",
+    "moves", "variants",
+)
+define("ledger", "SELECT * EXCLUDE (run_id, variant) FROM ledgers WHERE run_id = 'baseline' AND variant = 'cover_14'", "ledgers")

@@ -12,7 +12,7 @@ from stockweave.plans import calibrate
 from stockweave.plans import forecast as fc
 from stockweave.plans import planning as P
 from stockweave.queries import inputs as I
-from stockweave.queries.forecasting import backtest_of
+from stockweave.queries.forecasting import ACCURACY_SQL, backtest_of, stable_accuracy
 from stockweave.queries.inputs import ENTITIES
 from stockweave.queries.joins import mean_daily, recent_days
 from stockweave.queries.registry import query
@@ -96,16 +96,6 @@ def series_sum_by_date(t):
     return A.series_sum_by_date(filter_entities(t.sales, {"store_id": "ASIA"}), "date", "quantity")
 
 
-ACCURACY_SQL = f"""CAST(count(actual) AS BIGINT) AS forecast_rows_evaluated, {r6('avg(abs(forecast - actual))')} AS mae,
-{r6('sqrt(avg((forecast - actual) * (forecast - actual)))')} AS rmse,
-{r6('CASE WHEN sum(actual) > 0 THEN sum(abs(forecast - actual)) / sum(actual) END')} AS wape,
-{r6('CASE WHEN sum(actual) > 0 THEN sum(CASE WHEN actual IS NOT NULL THEN forecast - actual END) / sum(actual) END')} AS bias"""
-
-
-def stable_accuracy(df):
-    return df.withColumns({m: stable6(F.col(m)) for m in ("mae", "rmse", "wape", "bias")})
-
-
 @query("forecast_accuracy", with_ctes("bt_moving_average", f"SELECT {ACCURACY_SQL} FROM bt_moving_average"))
 def forecast_accuracy(t):
     return stable_accuracy(fc.forecast_accuracy(backtest_of(t, "moving_average")))

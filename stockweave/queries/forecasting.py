@@ -9,7 +9,7 @@ from stockweave.operators import spine
 from stockweave.plans import forecast as fc
 from stockweave.queries.inputs import ENTITIES, sales_grid
 from stockweave.queries.registry import query
-from stockweave.queries.sqlparts import r6, with_ctes
+from stockweave.queries.sqlparts import define, r6, with_ctes
 from stockweave.sources.drivertables import DriverTables
 
 SPEC = fc.ForecastSpec(ENTITIES)
@@ -51,3 +51,109 @@ for _model in ("moving_average", "seasonal_naive"):
         f"forecast_{_model}",
         with_ctes(f"fc_{_model}", f"SELECT origin_date, date, product_id, store_id, {r6('forecast')} AS forecast FROM fc_{_model}"),
     )(lambda t, m=_model: forecast_of(t, m).withColumn("forecast", stable6(F.col("forecast"))))
+
+
+def both_models(t, grid=None):
+    """Backtests of both baseline models, tagged by model."""
+    grid = sales_grid(t) if grid is None else grid
+    tagged = [backtest_of(t, m, grid).withColumn("model", F.lit(m)) for m in ("moving_average", "seasonal_naive")]
+    return tagged[0].unionByName(tagged[1])
+
+
+define("bt_both", "SELECT 'moving_average' AS model, * FROM bt_moving_average UNION ALL SELECT 'seasonal_naive', * FROM bt_seasonal_naive", "bt_moving_average", "bt_seasonal_naive")
+
+
+@query("rolling_backtest", with_ctes("bt_both", f"SELECT model, origin_date, date, product_id, store_id, {r6('forecast')} AS forecast, actual FROM bt_both"))
+def rolling_backtest(t):
+    return both_models(t).select("model", "origin_date", "date", *ENTITIES, stable6(F.col("forecast")).alias("forecast"), "actual")
+
+
+ACCURACY_SQL = f"""CAST(count(actual) AS BIGINT) AS forecast_rows_evaluated, {r6('avg(abs(forecast - actual))')} AS mae,
+{r6('sqrt(avg((forecast - actual) * (forecast - actual)))')} AS rmse,
+{r6('CASE WHEN sum(actual) > 0 THEN sum(abs(forecast - actual)) / sum(actual) END')} AS wape,
+{r6('CASE WHEN sum(actual) > 0 THEN sum(CASE WHEN actual IS NOT NULL THEN forecast - actual END) / sum(actual) END')} AS bias"""
+
+
+def stable_accuracy(df):
+    return df.withColumns({m: stable6(F.col(m)) for m in ("mae", "rmse", "wape", "bias")})
+
+
+@query("backtest_accuracy", with_ctes("bt_both", f"SELECT model, origin_date, product_id, store_id, {ACCURACY_SQL} FROM bt_both GROUP BY GROUPING SETS ((), (model), (model, origin_date), (model, product_id, store_id))"))
+def backtest_accuracy(t):
+    return stable_accuracy(fc.grouped_accuracy(both_models(t), SPEC))
+
+
+_FEATURE_NUMBERS = ("mean_7", "mean_28", "mean_365", "mean_same_weekday_4")
+define(
+    "known",
+    """SELECT date AS anchor, product_id, store_id, CAST(quantity AS DOUBLE) AS last_value,
+avg(quantity) OVER (PARTITION BY product_id, store_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS mean_7,
+avg(quantity) OVER (PARTITION BY product_id, store_id ORDER BY date ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) AS mean_28,
+avg(quantity) OVER (PARTITION BY product_id, store_id ORDER BY date ROWS BETWEEN 364 PRECEDING AND CURRENT ROW) AS mean_365,
+avg(quantity) OVER (PARTITION BY product_id, store_id, isodow(date) ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS mean_weekday FROM grid""",
+    "grid",
+)
+_FEATURES = """SELECT o.origin_date, o.date, k.product_id, k.store_id, o.h AS horizon_day, CAST(isodow(o.date) - 1 AS BIGINT) AS weekday, CAST(month(o.date) AS BIGINT) AS month,
+k.last_value, k.mean_7, k.mean_28, k.mean_365, coalesce(w.mean_weekday, k.mean_28) AS mean_same_weekday_4
+FROM (SELECT origin_date, anchor, h, CAST(origin_date + CAST(h AS INTEGER) AS DATE) AS date FROM {anchors} CROSS JOIN horizon) o
+JOIN known k ON k.anchor = o.anchor
+LEFT JOIN known w ON w.product_id = k.product_id AND w.store_id = k.store_id AND w.anchor = o.anchor - CAST((isodow(o.anchor) - isodow(o.date) + 7) % 7 AS INTEGER)"""
+define("features", _FEATURES.format(anchors="anchors"), "anchors", "horizon", "known")
+define(
+    "training_anchors",
+    """SELECT CAST(o AS DATE) AS origin_date, CAST(o AS DATE) - 1 AS anchor FROM (SELECT unnest(generate_series(hi - 118, CAST(greatest(lo + 28, hi - 90 - 730) AS TIMESTAMP), INTERVAL (-7) DAY)) AS o FROM bounds)""",
+    "bounds",
+)
+define("training_features", _FEATURES.format(anchors="training_anchors"), "training_anchors", "horizon", "known")
+
+
+def stable_features(df):
+    return df.withColumns({c: stable6(F.col(c)) for c in _FEATURE_NUMBERS})
+
+
+def _feature_columns(alias: str = "") -> str:
+    return ", ".join(f"{r6(f'{alias}{c}')} AS {c}" for c in _FEATURE_NUMBERS)
+
+
+@query("forecast_features", with_ctes("features", f"SELECT origin_date, date, product_id, store_id, horizon_day, weekday, month, last_value, {_feature_columns()} FROM features"))
+def forecast_features(t):
+    origins = spine.origin_spine(t.ship_bounds, F.date_sub("hi", 90), F.col("hi"), 7)
+    return stable_features(fc.forecast_features(sales_grid(t), SPEC, origins, t.ship_bounds.select("hi").scalar()))
+
+
+def learning_start(t):
+    return F.date_sub(t.ship_bounds.select("hi").scalar(), 90)
+
+
+@query(
+    "training_set",
+    with_ctes("training_features grid", f"SELECT f.origin_date, f.date, f.product_id, f.store_id, horizon_day, weekday, month, last_value, {_feature_columns('f.')}, CAST(g.quantity AS DOUBLE) AS target FROM training_features f JOIN grid g ON g.date = f.date AND g.product_id = f.product_id AND g.store_id = f.store_id"),
+)
+def training_set(t):
+    rows = stable_features(fc.training_set(sales_grid(t), SPEC, t.ship_bounds, learning_start(t)))
+    return rows.select("origin_date", "date", *ENTITIES, "horizon_day", "weekday", "month", "last_value", *_FEATURE_NUMBERS, "target")
+
+
+@query("forecast_ml")
+def forecast_ml(t):
+    grid = sales_grid(t)
+    predicted = fc.learned_forecast(grid, SPEC, t.ship_bounds, origin_range(t))
+    return fc.attach_actuals(predicted, grid, SPEC)
+
+
+@query(
+    "no_look_ahead_check",
+    with_ctes("origins entities", """SELECT model, CAST(n AS BIGINT) AS compared_rows, CAST(0 AS BIGINT) AS differing_rows FROM
+    (SELECT count(*) * 28 AS n FROM origins CROSS JOIN entities WHERE origin_date <= (SELECT hi - 45 FROM bounds)) CROSS JOIN (VALUES ('moving_average'), ('seasonal_naive')) m(model)"""),
+)
+def no_look_ahead_check(t):
+    """Change everything from a cut day on: forecasts of origins up to that day stay the same."""
+    cut = F.date_sub(t.ship_bounds.select("hi").scalar(), 45)
+    grid = sales_grid(t)
+    changed = grid.withColumn("quantity", F.when(F.col("date") >= cut, F.col("quantity") * 3 + 100).otherwise(F.col("quantity")))
+    result = None
+    for model in ("moving_average", "seasonal_naive"):
+        before, after = (forecast_of(t, model, g).where(F.col("origin_date") <= cut) for g in (grid, changed))
+        part = fc.compare_forecasts(before, after, SPEC).withColumn("model", F.lit(model))
+        result = part if result is None else result.unionByName(part)
+    return result

@@ -12,19 +12,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stockweave.functions.numeric import as_column
+from stockweave.operators.spine import date_sequence, keyed_rows
+
 ITEM = ("product_id", "warehouse_id")
 
 
 def daily_movements(demand: DataFrame, receipts: DataFrame, lo: object, hi: object, item: Sequence[str] = ITEM) -> DataFrame:
     """Arrivals and demand for every item and day between two dates, 0 where nothing moved."""
-    from stockweave.operators.spine import date_sequence
-
     zero = F.lit(0).cast("bigint")
     moves = demand.select("date", *item, zero.alias("arrivals"), "demand").unionByName(
         receipts.select("date", *item, "arrivals", zero.alias("demand"))
     )
-    daily = moves.groupBy("date", *item).agg(F.sum("arrivals").alias("arrivals"), F.sum("demand").alias("demand"))
-    spine = daily.select(*item).distinct().select(F.explode(date_sequence(lo, hi)).alias("date"), *item)
+    return fill_movements(moves.groupBy("date", *item).agg(F.sum("arrivals").alias("arrivals"), F.sum("demand").alias("demand")), lo, hi, item)
+
+
+def fill_movements(daily: DataFrame, lo: object, hi: object, item: Sequence[str] = ITEM) -> DataFrame:
+    """Daily arrivals and demand on the full spine of every item."""
+    zero = F.lit(0).cast("bigint")
+    # As in the demand grid: both branches get the same plan below the sums and share one shuffle.
+    daily = keyed_rows(daily, ["date", *item])
+    known = daily.groupBy(*item).agg(F.count("arrivals").alias("_a"), F.count("demand").alias("_d")).where("_a >= 0 AND _d >= 0")
+    spine = known.select(F.explode(date_sequence(lo, hi)).alias("date"), *item)
     joined = spine.join(daily, ["date", *item], "left")
     return joined.select("date", *item, F.coalesce("arrivals", zero).alias("arrivals"), F.coalesce("demand", zero).alias("demand"))
 
@@ -48,10 +57,21 @@ def stock_ledger(movements: DataFrame, opening: str = "opening_units", item: Seq
     )
 
 
-def on_order(shipped: DataFrame, received: DataFrame, item: Sequence[str] = ITEM) -> DataFrame:
-    """Outstanding units per item and movement day: shipped so far minus received so far."""
-    moves = shipped.select(*item, "date", F.col("units").alias("_delta")).unionByName(received.select(*item, "date", (-F.col("units")).alias("_delta")))
-    daily = moves.groupBy(*item, "date").agg(F.sum("_delta").alias("_delta"))
+def order_movements(orders: DataFrame, item: Sequence[str] = ITEM) -> DataFrame:
+    """Signed on-order changes of purchase orders: shipped units in, received units out.
+
+    Both movements of an order come from one pass over the order.
+    """
+    moves = F.array(
+        F.struct(F.col("order_date").alias("date"), F.col("shipped_qty").alias("units")),
+        F.struct(F.col("received_date").alias("date"), (-F.col("shipped_qty")).alias("units")),
+    )
+    return orders.select(*item, F.inline(moves)).where(F.col("date").isNotNull())
+
+
+def on_order(moves: DataFrame, item: Sequence[str] = ITEM) -> DataFrame:
+    """Outstanding units per item and movement day: the running sum of signed movements."""
+    daily = moves.groupBy(*item, "date").agg(F.sum("units").alias("_delta"))
     upto = W.partitionBy(*item).orderBy("date").rowsBetween(W.unboundedPreceding, W.currentRow)
     return daily.select(*item, "date", F.sum("_delta").over(upto).alias("on_order"))
 
@@ -88,8 +108,6 @@ def capacity_breaches(ledger: DataFrame, warehouses: DataFrame) -> DataFrame:
 
 def horizon_coverage(demand: DataFrame, items: DataFrame, lo: object, hi: object, item: Sequence[str] = ITEM, time: str = "date") -> DataFrame:
     """Days of the horizon without a demand row, per item (0 when covered)."""
-    from stockweave.functions.numeric import as_column
-
     first, last = as_column(lo).cast("date"), as_column(hi).cast("date")
     inside = demand.where((F.col(time) >= first) & (F.col(time) <= last))
     covered = inside.groupBy(*item).agg(F.countDistinct(time).alias("_covered"))

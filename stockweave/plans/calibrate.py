@@ -29,56 +29,60 @@ def normalised_factors(means: Column, level: Column) -> Column:
     return F.transform(scaled, lambda x: round_half_even(x, PROFILE_DECIMALS))
 
 
-def seasonal_means(sales: DataFrame, entities: Sequence[str], end: object, window_days: int | None = 730, time: str = "date",
+def seasonal_cells(sales: DataFrame, entities: Sequence[str], end: object, window_days: int | None = 730, time: str = "date",
                    value: str = "quantity", start: object | None = None) -> DataFrame:
-    """Level and the weekday and month means of active history, all from one aggregate per series.
+    """Days, units and squared units of active history per series, weekday and month.
 
-    ``window_days=None`` calibrates on everything from ``start``.
+    A series has at most 84 cells and they hold all that calibration needs, so the history is read
+    and shuffled once. ``window_days=None`` calibrates on everything from ``start``.
     """
     window_start = as_column(start).cast("date") if window_days is None else F.date_sub(as_column(end), window_days - 1)
     marked = active_rows(sales, entities, time, value, window_start)
     y = F.when(F.col("_active"), F.col(value).cast("double"))
-    weekday, month = C.weekday_monday0(F.col(time)), F.month(time)
-    return marked.groupBy(*entities).agg(
-        F.avg(y).alias("_level"),
-        F.array(*[F.avg(F.when(weekday == d, y)) for d in range(7)]).alias("_weekday_means"),
-        F.array(*[F.avg(F.when(month == m, y)) for m in range(1, 13)]).alias("_month_means"),
+    return marked.groupBy(*entities, F.weekday(time).alias("_weekday"), F.month(time).alias("_month")).agg(
+        F.count_if("_active").alias("_n"), F.coalesce(F.sum(y), F.lit(0.0)).alias("_s"), F.coalesce(F.sum(y * y), F.lit(0.0)).alias("_ss")
     )
 
 
-def seasonal_factors(means: DataFrame) -> DataFrame:
-    """``level`` (unrounded), ``weekly`` and ``monthly`` factors; all 1 for series without sales."""
-    level = F.coalesce("_level", F.lit(0.0))
-    ones = lambda n: F.array_repeat(F.lit(1.0), n)
-    factors = means.withColumn("level", level)
+def seasonal_factors(cells: DataFrame, entities: Sequence[str]) -> DataFrame:
+    """``level`` (unrounded), ``weekly`` and ``monthly`` factors, and the cells; all 1 without sales."""
+
+    def mean_where(condition: Column) -> Column:
+        days = F.sum(F.when(condition, F.col("_n")))
+        return F.when(days > 0, F.sum(F.when(condition, F.col("_s"))) / days)
+
+    means = cells.groupBy(*entities).agg(
+        F.coalesce(F.when(F.sum("_n") > 0, F.sum("_s") / F.sum("_n")), F.lit(0.0)).alias("level"),
+        F.array(*[mean_where(F.col("_weekday") == d) for d in range(7)]).alias("_weekday_means"),
+        F.array(*[mean_where(F.col("_month") == m) for m in range(1, 13)]).alias("_month_means"),
+        F.collect_list(F.struct("_weekday", "_month", "_n", "_s", "_ss")).alias("_cells"),
+    )
     sells = F.col("level") > 0
-    return factors.withColumns({
-        "weekly": F.when(sells, normalised_factors(F.col("_weekday_means"), F.col("level"))).otherwise(ones(7)),
-        "monthly": F.when(sells, normalised_factors(F.col("_month_means"), F.col("level"))).otherwise(ones(12)),
-    }).drop("_level", "_weekday_means", "_month_means")
+    return means.withColumns({
+        "weekly": F.when(sells, normalised_factors(F.col("_weekday_means"), F.col("level"))).otherwise(F.array_repeat(F.lit(1.0), 7)),
+        "monthly": F.when(sells, normalised_factors(F.col("_month_means"), F.col("level"))).otherwise(F.array_repeat(F.lit(1.0), 12)),
+    }).drop("_weekday_means", "_month_means")
+
+
+def _moments(level: Column, weekly: Column, monthly: Column, cells: Column) -> tuple[Column, Column]:
+    """Sum of squared fits and excess sum((y - fit)^2 - fit) over all days, from the cells."""
+
+    def fit(c: Column) -> Column:
+        return level * F.get(weekly, c["_weekday"]) * F.get(monthly, c["_month"] - 1)
+
+    squares = F.aggregate(cells, F.lit(0.0), lambda a, c: a + c["_n"] * fit(c) * fit(c))
+    excess = F.aggregate(cells, F.lit(0.0), lambda a, c: a + c["_ss"] - F.lit(2.0) * fit(c) * c["_s"] + c["_n"] * fit(c) * fit(c) - c["_n"] * fit(c))
+    return squares, excess
 
 
 def calibrate_profiles(sales: DataFrame, entities: Sequence[str], end: object, window_days: int | None = 730, time: str = "date",
                        value: str = "quantity", start: object | None = None) -> DataFrame:
-    """One profile per series: level, weekly[7], monthly[12], dispersion.
-
-    Rows stay partitioned by series through the window, the aggregate, the join back and the second
-    aggregate, so the history is shuffled once. The moments are whole-row sums per series.
-    """
-    factors = seasonal_factors(seasonal_means(sales, entities, end, window_days, time, value, start))
-    window_start = as_column(start).cast("date") if window_days is None else F.date_sub(as_column(end), window_days - 1)
-    history = active_rows(sales, entities, time, value, window_start).where("_active").select(*entities, time, F.col(value).cast("double").alias("_y"))
-    fitted = F.col("level") * F.get("weekly", F.weekday(time)) * F.get("monthly", F.month(time) - 1)
-    moments = (
-        history.join(factors, list(entities))
-        .withColumn("_fit", fitted)
-        .groupBy(*entities)
-        .agg(F.sum(F.col("_fit") * F.col("_fit")).alias("_squares"),
-             F.sum((F.col("_y") - F.col("_fit")) * (F.col("_y") - F.col("_fit")) - F.col("_fit")).alias("_excess"))
-    )
+    """One profile per series: level, weekly[7], monthly[12], dispersion."""
+    factors = seasonal_factors(seasonal_cells(sales, entities, end, window_days, time, value, start), entities)
+    squares, excess = _moments(F.col("level"), F.col("weekly"), F.col("monthly"), F.col("_cells"))
+    known = factors.withColumns({"_squares": squares, "_excess": excess})
     spread = F.when(F.col("_excess") > 0, clip(F.col("_squares") / F.col("_excess"), DISPERSION_MIN, DISPERSION_POISSON)).otherwise(F.lit(DISPERSION_POISSON))
-    joined = factors.join(moments, list(entities), "left")
-    return joined.select(
+    return known.select(
         *entities,
         round_half_even(F.col("level"), PROFILE_DECIMALS).alias("level"),
         "weekly",

@@ -211,7 +211,7 @@ def calibrated(t):
 
 
 def factors(t):
-    return calibrate.seasonal_factors(calibrate.seasonal_means(I.sales_grid(t), ENTITIES, I.scalar(t.ship_bounds, "hi")))
+    return calibrate.seasonal_factors(calibrate.seasonal_cells(I.sales_grid(t), ENTITIES, I.scalar(t.ship_bounds, "hi")), ENTITIES)
 
 
 @query("weekly_factors", with_ctes("weekly", "SELECT product_id, store_id, CAST(key AS BIGINT) AS weekday, factor FROM weekly"))

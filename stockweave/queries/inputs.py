@@ -28,7 +28,7 @@ def series_ids(t: DriverTables) -> DataFrame:
     """Id columns of the wide source layout, one row per order line."""
     part = t.raw("part").select("p_partkey", "p_brand", "p_type")
     lines = t.raw("lineitem").select("l_partkey", "l_suppkey")
-    joined = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(t.stores, F.col("l_suppkey") == F.col("s_suppkey"))
+    joined = t.with_store(lines.join(part, F.col("l_partkey") == F.col("p_partkey")), "l_suppkey")
     return joined.select(
         F.concat_ws("_", "p_type", "p_brand").alias("item_id"),
         F.col("p_type").alias("dept_id"),
@@ -212,10 +212,10 @@ def lead_items(t: DriverTables) -> DataFrame:
 
 
 def movements(t: DriverTables) -> DataFrame:
-    from stockweave.operators.ledger import daily_movements
+    from stockweave.operators.ledger import fill_movements
 
     lo, hi = stock_bounds(t)
-    return daily_movements(t.order_demand, t.receipts, lo, hi)
+    return fill_movements(t.stock_moves, lo, hi)
 
 
 def with_opening(moves: DataFrame, cover_days: object, by: tuple[str, ...] = ()) -> DataFrame:

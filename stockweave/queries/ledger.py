@@ -87,10 +87,7 @@ def receipts_by_day(t):
 
 
 def outstanding(t):
-    orders = timed_orders(t)
-    shipped = orders.select(*ITEM, F.col("order_date").alias("date"), F.col("shipped_qty").alias("units"))
-    received = orders.where(F.col("received_date").isNotNull()).select(*ITEM, F.col("received_date").alias("date"), F.col("shipped_qty").alias("units"))
-    return L.on_order(shipped, received)
+    return L.on_order(L.order_movements(timed_orders(t)))
 
 
 define(

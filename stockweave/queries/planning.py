@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stockweave.functions.numeric import normal_quantile, stable6
@@ -100,9 +101,9 @@ FROM (SELECT date, product_id, warehouse_id, closing_on_hand + on_order AS posit
 
 
 def advice(t):
-    mean = I.movements(t).groupBy(*I.ITEM).agg(F.avg("demand").alias("m"))
-    levels = mean.select(*I.ITEM, (7.0 * F.col("m")).alias("s"), (14.0 * F.col("m")).alias("q"), (21.0 * F.col("m")).alias("up_to"))
-    rows = QL.positions(t).select("date", *I.ITEM, F.col("inventory_position").alias("position")).join(levels, list(I.ITEM))
+    mean = F.avg("demand").over(W.partitionBy(*I.ITEM))  # one row per day and item
+    rows = QL.positions(t).select("date", *I.ITEM, F.col("inventory_position").alias("position"), mean.alias("m"))
+    rows = rows.withColumns({"s": 7.0 * F.col("m"), "q": 14.0 * F.col("m"), "up_to": 21.0 * F.col("m")})
     position = F.col("position")
     return rows.select(
         "date", *I.ITEM, "position",

@@ -219,9 +219,9 @@ def filter_isin(t):
     return retail.filter_isin(parts, p_type=["ECONOMY", "SMALL"], p_brand=["Brand#1", "Brand#2", "Brand#3"], p_size=None).drop("p_size")
 
 
-@query("filter_entity_eq", "SELECT p_partkey, p_size, p_brand FROM part WHERE CAST(p_size AS VARCHAR) = '15' AND p_brand = 'Brand#4'")
+@query("filter_entity_eq", "SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag FROM lineitem WHERE CAST(l_linenumber AS VARCHAR) = '3' AND l_returnflag = 'A'")
 def filter_entity_eq(t):
-    return S.filter_entities(t.raw("part"), {"p_size": "15", "p_brand": "Brand#4"}).select("p_partkey", "p_size", "p_brand")
+    return S.filter_entities(t.raw("lineitem"), {"l_linenumber": "3", "l_returnflag": "A"}).select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
 
 
 @query("filter_before_origin", with_ctes("sales bounds", "SELECT date, product_id, store_id, quantity FROM sales WHERE date < (SELECT hi - 90 FROM bounds)"))

@@ -24,6 +24,7 @@ def build_session(master: str | None = None, app_name: str = "stockweave", **con
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # no stack walk per Column call
         **conf,
     }
     for key, value in settings.items():

@@ -19,14 +19,32 @@ from stockweave.operators.spine import date_spine
 
 SEED = 20260927
 
+# Columns of the supplied tables; a declared schema saves a footer-reading job per table.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
 
 class DriverTables:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark = spark
         self.path = path
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}.parquet")
+        return self._raw[name]
 
     @cached_property
     def ship_bounds(self) -> DataFrame:
@@ -34,24 +52,26 @@ class DriverTables:
         dates = self.raw("lineitem").select(F.col("l_shipdate").cast("date").alias("d"))
         return dates.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
 
-    @cached_property
-    def stores(self) -> DataFrame:
-        """supplier -> store (the supplier's region)."""
+    def with_store(self, rows: DataFrame, supplier_key: str) -> DataFrame:
+        """Attach ``store_id`` (the supplier's region).
+
+        Joined table by table: each side is a file of known size, so Spark can choose a broadcast for
+        the small ones from their statistics; the size of a joined side would only be a guess.
+        """
         supplier = self.raw("supplier").select("s_suppkey", "s_nationkey")
         nation = self.raw("nation").select("n_nationkey", "n_regionkey")
         region = self.raw("region").select("r_regionkey", F.col("r_name").alias("store_id"))
         return (
-            supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+            rows.join(supplier, F.col(supplier_key) == F.col("s_suppkey"))
+            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
             .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("s_suppkey", "store_id")
+            .drop("s_suppkey", "s_nationkey", "n_nationkey", "n_regionkey", "r_regionkey")
         )
 
     def _items(self, lines: DataFrame) -> DataFrame:
         """Attach the product and the store of a line."""
         part = self.raw("part").select("p_partkey", F.col("p_type").alias("product_id"))
-        return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(
-            self.stores, F.col("l_suppkey") == F.col("s_suppkey")
-        )
+        return self.with_store(lines.join(part, F.col("l_partkey") == F.col("p_partkey")), "l_suppkey")
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -125,6 +145,22 @@ class DriverTables:
             "quantity",
         )
 
+    @cached_property
+    def stock_moves(self) -> DataFrame:
+        """Arrivals by ship day and demand by order day per item, from one pass over the lines."""
+        lines = self.raw("lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date").alias("ship_day"), F.col("l_quantity").cast("bigint").alias("quantity")
+        )
+        orders = self.raw("orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("order_day"))
+        items = self._items(lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")))
+        zero = F.lit(0).cast("bigint")
+        moves = F.array(
+            F.struct(F.col("ship_day").alias("date"), F.col("quantity").alias("arrivals"), zero.alias("demand")),
+            F.struct(F.col("order_day").alias("date"), zero.alias("arrivals"), F.col("quantity").alias("demand")),
+        )
+        rows = items.select("product_id", F.col("store_id").alias("warehouse_id"), F.inline(moves))
+        return rows.groupBy("date", "product_id", "warehouse_id").agg(F.sum("arrivals").alias("arrivals"), F.sum("demand").alias("demand"))
+
     @cached_property
     def receipts(self) -> DataFrame:
         """Units by ship day: the recorded arrivals of the stock ledger."""

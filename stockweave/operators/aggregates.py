@@ -102,7 +102,7 @@ def demand_stats(grid: DataFrame, entities: Sequence[str], time: str = "date", v
     daily = grid.groupBy(time).agg(
         F.sum(v).alias("total"), F.count(F.lit(1)).alias("cells"), F.count_if(v > 0).alias("selling"), F.count_if(v == 0).alias("zeros")
     )
-    series = grid.select(*entities).distinct().agg(F.count(F.lit(1)).alias("series"))
+    series = grid.agg(F.countDistinct(*entities).alias("series"))
     totals = daily.agg(
         F.count(F.lit(1)).alias("days"),
         ratio_or_null(F.sum("total"), F.sum("cells")).alias("mean_units"),

@@ -14,16 +14,27 @@ from pyspark.sql import functions as F
 
 
 def unique_dimension(dim: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``dim`` with one row per key; a repeated key fails the job."""
+    """``dim`` with one row per key; a repeated key fails the job when the row is read."""
     values = [c for c in dim.columns if c not in key]
     grouped = dim.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in values])
-    problem = F.concat(F.lit("join key is not unique: "), F.concat_ws(",", *[F.col(k).cast("string") for k in key]))
+    problem = F.lit(f"join key is not unique: {', '.join(key)}")
     checked = [F.when(F.col("_n") > 1, F.raise_error(problem).cast(dim.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in values]
     return grouped.select(*key, *checked)
 
 
-def many_to_one(df: DataFrame, dim: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:
-    return df.join(unique_dimension(dim, key), list(key), how)
+def many_to_one(df: DataFrame, dim: DataFrame, key: Sequence[str], how: str = "inner", hot_left: bool = True) -> DataFrame:
+    """Equi-join whose right side must have unique keys; a repeated key fails the job.
+
+    With ``hot_left`` the left side may hold any number of rows per key: uniqueness is then counted
+    apart and the join stays a plain one, whose hot keys adaptive execution can split. Left sides
+    that are already summed per key pass ``False``: the check then rides on the join's own shuffle
+    and the right side is read once.
+    """
+    if not hot_left:
+        return df.join(unique_dimension(dim, key), list(key), how)
+    most = dim.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_most")).scalar()
+    unique = F.when(most > 1, F.raise_error(F.lit(f"join key is not unique: {', '.join(key)}")).cast("boolean")).otherwise(F.lit(True))
+    return df.where(unique).join(dim, list(key), how)
 
 
 def require_values(df: DataFrame, columns: Sequence[str], message: str) -> DataFrame:

@@ -51,16 +51,21 @@ def item_totals(ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return ledger.groupBy(*by, *ITEM).agg(*sums, F.count_if(F.col("lost_sales") > 0).alias("stockout_days"))
 
 
+def order_totals(purchase_orders: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Orders and units per supplier."""
+    return purchase_orders.groupBy(*by, "supplier_id").agg(F.count(F.lit(1)).alias("orders"), F.sum("quantity").alias("units"))
+
+
 def inventory_kpis(
-    ledger: DataFrame, purchase_orders: DataFrame, costs: DataFrame, order_costs: DataFrame, horizon_days: object, by: Sequence[str] = ()
+    ledger: DataFrame, supplier_orders: DataFrame, costs: DataFrame, order_costs: DataFrame, horizon_days: object, by: Sequence[str] = ()
 ) -> DataFrame:
     """The 17 KPIs as columns, overall or per ``by`` group (for example a policy variant).
 
-    ``order_costs``: (supplier_id, order_cost). Undefined ratios are null. Costs meet the ledger
+    ``supplier_orders``: see ``order_totals``; ``order_costs``: (supplier_id, order_cost). Undefined ratios are null. Costs meet the ledger
     after it is summed per item, so the join sees one row per item.
     """
     days = as_column(horizon_days).cast("double")
-    totals = require_values(many_to_one(item_totals(ledger, by), costs, ITEM, "left"), COST_COLUMNS, "cost data missing")
+    totals = require_values(many_to_one(item_totals(ledger, by), costs, ITEM, "left", hot_left=False), COST_COLUMNS, "cost data missing")
     stock_value = F.col("closing_on_hand") * F.col("unit_cost")
     stock = totals.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_items"),
@@ -74,10 +79,9 @@ def inventory_kpis(
         F.sum(F.col("lost_sales") * F.col("unit_price")).alias("lost_sales_cost"),
         F.sum(F.col("fulfilled") * F.col("unit_cost")).alias("_cogs"),
     )
-    per_supplier = purchase_orders.groupBy(*by, "supplier_id").agg(F.count(F.lit(1)).alias("_orders"), F.sum("quantity").alias("_units"))
-    priced = many_to_one(per_supplier, order_costs.select("supplier_id", "order_cost"), ["supplier_id"], "left")
+    priced = many_to_one(supplier_orders, order_costs.select("supplier_id", "order_cost"), ["supplier_id"], "left", hot_left=False)
     orders = require_values(priced, ["order_cost"], "order cost missing").groupBy(*by).agg(
-        F.sum("_orders").alias("_orders"), F.sum("_units").alias("_units"), F.sum(F.col("_orders") * F.col("order_cost")).alias("_ordering")
+        F.sum("orders").alias("_orders"), F.sum("units").alias("_units"), F.sum(F.col("orders") * F.col("order_cost")).alias("_ordering")
     )
     joined = stock.join(orders, list(by), "left") if by else stock.withColumn("_one", F.lit(1)).join(orders.withColumn("_one", F.lit(1)), "_one", "left")
     zero = F.lit(0.0)

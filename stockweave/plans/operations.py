@@ -94,9 +94,9 @@ def build_operations(sales: DataFrame, price: DataFrame, seed: int, end: object,
         F.lit(cfg.holding_cost_rate_annual).alias("holding_cost_rate_annual"),
     )
     product_supplier = assign_suppliers(product_price, suppliers, seed, cfg)
-    joined = many_to_one(demand, warehouse.select("warehouse_id", "store_id"), ["store_id"])
-    joined = many_to_one(joined, product_supplier.select("product_id", "supplier_id"), ["product_id"])
-    joined = many_to_one(joined, lead_times.select("supplier_id", "lead_time_mean_days"), ["supplier_id"])
+    joined = many_to_one(demand, warehouse.select("warehouse_id", "store_id"), ["store_id"], hot_left=False)
+    joined = many_to_one(joined, product_supplier.select("product_id", "supplier_id"), ["product_id"], hot_left=False)
+    joined = many_to_one(joined, lead_times.select("supplier_id", "lead_time_mean_days"), ["supplier_id"], hot_left=False)
     planning = joined.withColumn("initial_stock_target", stock_target(F.col("mean_daily_demand"), F.col("lead_time_mean_days"), cfg.order_cycle_days)).drop("supplier_id")
     item = planning.select("product_id", "warehouse_id", "initial_stock_target")
     inventory = item.select("product_id", "warehouse_id", round_half_even_int(F.col("initial_stock_target")).alias("on_hand_units"), F.lit(0).cast("bigint").alias("on_order_units"))

@@ -45,9 +45,9 @@ def mean_daily(t):
     with_ctes("mean_daily product_supplier warehouse lead", "SELECT product_id, store_id, warehouse_id, supplier_id, mean_daily_demand, lead_time_mean_days FROM mean_daily JOIN warehouse USING (store_id) JOIN product_supplier USING (product_id) JOIN lead USING (supplier_id)"),
 )
 def join_planning_inputs(t):
-    demand = J.many_to_one(mean_daily(t), warehouses(t), ["store_id"])
-    sourced = J.many_to_one(demand, product_suppliers(t), ["product_id"])
-    timed = J.many_to_one(sourced, t.lead_times.select("supplier_id", "lead_time_mean_days"), ["supplier_id"])
+    demand = J.many_to_one(mean_daily(t), warehouses(t), ["store_id"], hot_left=False)
+    sourced = J.many_to_one(demand, product_suppliers(t), ["product_id"], hot_left=False)
+    timed = J.many_to_one(sourced, t.lead_times.select("supplier_id", "lead_time_mean_days"), ["supplier_id"], hot_left=False)
     return timed.select("product_id", "store_id", "warehouse_id", "supplier_id", "mean_daily_demand", "lead_time_mean_days")
 
 

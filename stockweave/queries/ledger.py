@@ -208,14 +208,14 @@ _UNIT_ROWS = " UNION ALL ".join(f"SELECT '{m}' AS metric_id, {m} AS value, '{u}'
 
 @query("inventory_kpis", with_ctes("kpi_single", _UNIT_ROWS))
 def inventory_kpis(t):
-    kpis = K.inventory_kpis(I.single_ledger(t), t.purchase_orders, costs(t), order_costs(t), horizon_days(t))
+    kpis = K.inventory_kpis(I.single_ledger(t), K.order_totals(t.purchase_orders), costs(t), order_costs(t), horizon_days(t))
     return K.metric_rows(stable_kpis(kpis))
 
 
 def tagged_orders(t):
-    """Purchase orders once per (run, variant) they are charged to, summed per supplier first."""
+    """Order totals per supplier, charged to every (run, variant): summed first, then repeated."""
     tags = F.array(*[F.struct(F.lit(r).alias("run_id"), F.lit(v).alias("variant")) for r in ("baseline", "stress") for v in ("cover_07", "cover_14", "cover_28")])
-    return t.purchase_orders.select("supplier_id", "quantity", F.inline(tags))
+    return K.order_totals(t.purchase_orders).select("*", F.inline(tags))
 
 
 def kpis_by_run(t):

@@ -68,7 +68,7 @@ def test_kpis_from_the_ledger(spark):
     orders = spark.createDataFrame([("S", 20), ("S", 10)], "supplier_id string, quantity bigint")
     costs = spark.createDataFrame([("P", "W", 1.0, 2.0, 0.365)], "product_id string, warehouse_id string, unit_cost double, unit_price double, holding_cost_rate_annual double")
     fees = spark.createDataFrame([("S", 10.0)], "supplier_id string, order_cost double")
-    k = K.inventory_kpis(ledger, orders, costs, fees, 14).first()
+    k = K.inventory_kpis(ledger, K.order_totals(orders), costs, fees, 14).first()
     stock, lost, sold = (sum(r[c] for r in rows) for c in ("closing_on_hand", "lost_sales", "fulfilled"))
     assert k["demand_total"] == sum(DEMAND) and k["fill_rate"] == pytest.approx(sold / sum(DEMAND))
     assert k["stockout_days"] == sum(r["lost_sales"] > 0 for r in rows) and k["stockout_day_rate"] == pytest.approx(k["stockout_days"] / 14)
@@ -76,10 +76,10 @@ def test_kpis_from_the_ledger(spark):
     assert k["inventory_turnover"] == pytest.approx(sold / (stock / 14) * 365 / 14)
     assert (k["purchase_orders"], k["units_ordered"], k["order_frequency"], k["ordering_cost"]) == (2, 30, 1.0, 20.0)
     assert k["total_cost"] == pytest.approx(20 + stock * 0.001 + 2 * lost)
-    rows = {r["metric_id"]: r["value"] for r in K.metric_rows(K.inventory_kpis(ledger, orders, costs, fees, 14)).collect()}
+    rows = {r["metric_id"]: r["value"] for r in K.metric_rows(K.inventory_kpis(ledger, K.order_totals(orders), costs, fees, 14)).collect()}
     assert list(rows) == list(K.KPI_UNITS)
     with pytest.raises(PySparkException, match="cost data missing"):
-        K.inventory_kpis(ledger, orders, costs.where("product_id = 'Q'"), fees, 14).collect()
+        K.inventory_kpis(ledger, K.order_totals(orders), costs.where("product_id = 'Q'"), fees, 14).collect()
 
 
 def test_zero_demand_has_no_ratios(spark):
@@ -87,7 +87,7 @@ def test_zero_demand_has_no_ratios(spark):
     costs = spark.createDataFrame([("P", "W", 1.0, 2.0, 0.3)], "product_id string, warehouse_id string, unit_cost double, unit_price double, holding_cost_rate_annual double")
     none = spark.createDataFrame([], "supplier_id string, quantity bigint")
     fees = spark.createDataFrame([], "supplier_id string, order_cost double")
-    k = K.inventory_kpis(ledger, none, costs, fees, 7).first()
+    k = K.inventory_kpis(ledger, K.order_totals(none), costs, fees, 7).first()
     assert k["fill_rate"] is None and k["inventory_turnover"] is None and k["purchase_orders"] == 0 and k["ordering_cost"] == 0
     assert [tuple(r) for r in K.fill_rate_by_scope(ledger).collect() if r["scope"] == "total"] == [("total", None)]
 
@@ -166,6 +166,8 @@ def test_joins(spark):
     dim = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "z")], "k string, w string")
     with pytest.raises(PySparkException, match="not unique"):
         J.many_to_one(facts, dim, ["k"]).collect()
+    with pytest.raises(PySparkException, match="not unique"):
+        J.many_to_one(facts, dim, ["k"], hot_left=False).collect()
     assert J.many_to_one(facts, dim.where("w <> 'z'"), ["k"], "left").where("w IS NULL").count() == 1
     assert [tuple(r) for r in J.orphan_keys(facts, ["k"], dim.where("k = 'a'"), ["k"]).collect()] == [("b", 2)]
     sides = {r["k"]: r["side"] for r in J.keyset_compare(dim.select("k"), spark.createDataFrame([("a",), ("c",)], "k string"), ["k"]).collect()}

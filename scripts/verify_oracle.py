@@ -26,10 +26,6 @@ def rows_of(frame, columns):
     return sorted((tuple(x[:10] if isinstance(x, str) and x.endswith(" 00:00:00") else x for x in r) for r in rows), key=repr)
 
 
-def kinds(types):
-    return {c: t for c, t in types.items()}
-
-
 SPARK_KIND = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN", "int": "INTEGER"}
 
 

@@ -8,7 +8,6 @@ Every history window is anchored at ``min(origin - 1, last grid day)``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stockweave.functions.calendar import weekday_monday0
 from stockweave.functions.numeric import stable6
 from stockweave.functions.random import hash48
 from stockweave.operators import aggregates as A
 from stockweave.operators import joins as J
 from stockweave.operators import spine
-from stockweave.operators import windows as Win
 from stockweave.plans import calibrate
 from stockweave.plans import planning as P
 from stockweave.queries import inputs as I

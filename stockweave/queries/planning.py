@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from stockweave.functions.numeric import normal_quantile, stable6
 from stockweave.functions.random import hash48
 from stockweave.operators import aggregates as A
-from stockweave.operators import spine
 from stockweave.plans import planning as P
 from stockweave.queries import inputs as I
 from stockweave.queries import ledger as QL

@@ -119,7 +119,6 @@ def validate_table(t):
     return line_report(t).select("check", "target", "status", "violations")
 
 
-_PLAIN = ("l_tax", "l_comment", "l_orderkey+l_partkey", "l_suppkey")
 BUNDLE_LINE = {
     "dtype": LINE_ROWS["dtype"],
     "not_null": LINE_ROWS["not_null"][:-1],

@@ -49,8 +49,10 @@ def scatter_to_origins(grid: DataFrame, spec: ForecastSpec, origins: OriginRange
 
     Adds ``origin_date`` and ``age`` (0 for the newest day of the window).
     """
-    start, end, _, hi = origins.columns()
+    start, end, lo, hi = origins.columns()
     day = F.col(spec.time)
+    no_history = F.raise_error(F.lit("no observations before the first forecast origin")).cast("boolean")
+    grid = grid.where(F.when(start <= lo, no_history).otherwise(F.lit(True)))
     # Rows of the last window serve every later origin, because history stops growing there.
     last = F.when(day > F.date_sub(hi, window_days), end).otherwise(F.least(F.date_add(day, window_days), end))
     first_index = F.greatest(F.ceil(F.datediff(F.date_add(day, 1), start) / F.lit(spec.interval_days)), F.lit(0).cast("bigint"))

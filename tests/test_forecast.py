@@ -89,6 +89,12 @@ def test_against_brute_force_beyond_the_data_and_on_short_history(spark, model):
     assert all(got[k] == pytest.approx(v) for k, v in expected.items())
 
 
+def test_an_origin_without_history_is_an_error(series):
+    for make in (fc.seasonal_naive_forecast, fc.moving_average_forecast):
+        with pytest.raises(PySparkException, match="no observations before"):
+            make(series, SPEC, origins(start=DAYS[0])).collect()
+
+
 def test_no_look_ahead(series):
     cut = dt.date(2016, 1, 18)
     changed = series.withColumn("quantity", F.when(F.col("date") >= F.lit(cut), 1000).otherwise(F.col("quantity")))

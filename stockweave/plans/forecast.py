@@ -99,11 +99,16 @@ def seasonal_naive_forecast(
 
 
 def attach_actuals(forecast: DataFrame, grid: DataFrame, spec: ForecastSpec) -> DataFrame:
-    """Left join of observed values; null beyond the data. Forecasts are clipped at 0."""
+    """Left join of observed values; null beyond the data. Forecasts are clipped at 0.
+
+    Other columns of the forecast (such as a model name) are kept, so several models can be unioned
+    first and meet the observations in one join.
+    """
     keys = [spec.time, *spec.entities]
     actual = grid.select(*keys, F.col(spec.value).cast("double").alias("actual"))
     clipped = forecast.withColumn("forecast", F.greatest(F.col("forecast").cast("double"), F.lit(0.0)))
-    return clipped.join(actual, keys, "left").select("origin_date", *keys, "forecast", "actual")
+    tags = [c for c in forecast.columns if c not in ("origin_date", *keys, "forecast")]
+    return clipped.join(actual, keys, "left").select("origin_date", *keys, *tags, "forecast", "actual")
 
 
 def accuracy_columns() -> list[Column]:

@@ -56,8 +56,8 @@ for _model in ("moving_average", "seasonal_naive"):
 def both_models(t, grid=None):
     """Backtests of both baseline models, tagged by model."""
     grid = sales_grid(t) if grid is None else grid
-    tagged = [backtest_of(t, m, grid).withColumn("model", F.lit(m)) for m in ("moving_average", "seasonal_naive")]
-    return tagged[0].unionByName(tagged[1])
+    tagged = [forecast_of(t, m, grid).withColumn("model", F.lit(m)) for m in ("moving_average", "seasonal_naive")]
+    return fc.attach_actuals(tagged[0].unionByName(tagged[1]), grid, SPEC)
 
 
 define("bt_both", "SELECT 'moving_average' AS model, * FROM bt_moving_average UNION ALL SELECT 'seasonal_naive', * FROM bt_seasonal_naive", "bt_moving_average", "bt_seasonal_naive")

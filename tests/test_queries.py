@@ -49,6 +49,9 @@ def test_query_matches_oracle(spark, contract, duck, name):
 
 def test_contract(spark, contract):
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    rows_only = set(contract.queries()) - set(contract.oracle_sql())
+    from stockweave import queries as core
+
+    assert set(core.QUERIES) <= set(contract.queries())
+    rows_only = set(core.QUERIES) - set(contract.oracle_sql())
     assert rows_only == {"forecast_ml", "sample_demand", "gen_gamma", "gen_poisson", "gen_negative_binomial"}
     assert contract.entry(spark).columns[:2] == ["model", "origin_date"]

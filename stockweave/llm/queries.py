@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockweave.llm import sharding, tokens
+from stockweave.llm import linededup, quality, sharding, tokens
 from stockweave.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
+from stockweave.session import cut_lineage
 from stockweave.sources.files import scratch_path
 
 
@@ -31,6 +32,25 @@ def op1_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@query("op3_label_model")
+def op3_label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule votes on every text and the documents that the label model keeps."""
+    docs = table(spark, sf_dir, "documents")
+    measured = cut_lineage(docs.select("doc_id", quality.measures("text").alias("m")))  # numbers only
+    judged = quality.judge(measured, "m")
+    numbers = [F.col(f"m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged.select("doc_id", *numbers, "base_failed", "kept", "p_good")
+
+
+@query("op4_line_references")
+def op4_line_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that three documents or more hold, removed from all but the last of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = linededup.dedup_lines(docs)
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return done.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", kept.alias("kept_sha256"))
+
+
 @query("op10_token_frames")
 def op10_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written to token files and read back."""

@@ -3,7 +3,8 @@
 Every rule looks at one aspect of a text and votes 1 (good), -1 (bad) or 0 (abstain). All documents' vote patterns are
 counted by Spark (at most 3 ** rules of them, whatever the corpus); expectation-maximisation over these counts
 estimates the share of good documents and each rule's vote rates given a good or bad document. A document's posterior
-probability of being good replaces a conjunction of rules.
+probability of being good replaces a conjunction of rules. The model learns from the documents that pass two base tests
+(length and self-repetition); a document that fails one of them is not kept.
 
 Null and empty texts have zero measures, on which every rule abstains; they fail the length floor.
 """
@@ -141,12 +142,15 @@ def fit_label_model(counts: dict[str, int], rounds: int = 200, smooth: float = 1
     good = np.clip(0.5 + balance / 4, 0.05, 0.95)  # a bad vote starts with twice the say: rules abstain when unsure
     for _ in range(rounds):
         share = ((n * good).sum() + smooth) / (n.sum() + 2 * smooth)
-        rates = np.empty((2, width, 3))
+        rates = np.empty((2, width, 2))
         for side, w in enumerate((n * (1 - good), n * good)):
             for r in range(width):
-                c = np.bincount(table[:, r], weights=w, minlength=3) + smooth
+                c = np.bincount(table[:, r], weights=w, minlength=3)[:2] + smooth
                 rates[side, r] = c / c.sum()
-        ratio = np.log(rates[1]) - np.log(rates[0])
+        ratio = np.zeros((width, 3))  # an abstention says nothing
+        ratio[:, :2] = np.log(rates[1]) - np.log(rates[0])
+        ratio[:, 0] = np.maximum(ratio[:, 0], 0.0)  # no rule is worse than chance
+        ratio[:, 1] = np.minimum(ratio[:, 1], 0.0)
         prior = math.log(share) - math.log1p(-share)
         odds = prior + ratio[np.arange(width)[None, :], table].sum(1)
         new = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
@@ -157,29 +161,26 @@ def fit_label_model(counts: dict[str, int], rounds: int = 200, smooth: float = 1
     return LabelModel(float(prior), tuple({c: float(ratio[r, k]) for k, c in enumerate("+-0")} for r in range(width)))
 
 
-def pattern_counts(patterns: DataFrame, name: str) -> dict[str, int]:
-    """How many documents show each vote pattern; the patterns are bounded by the rules."""
-    return {r[0]: r[1] for r in patterns.groupBy(name).agg(F.count(F.lit(1))).collect()}
-
-
 def base_failed(m: Column) -> Column:
     """Too short, or too much of the text repeats itself."""
     return (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
 
 
+def learn(measured: DataFrame, m: str) -> LabelModel:
+    """The label model of all documents that pass the base tests; their patterns are bounded by the rules."""
+    judged = measured.where(~base_failed(F.col(m))).groupBy(votes(F.col(m)).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    return fit_label_model({r["p"]: r["n"] for r in judged.collect()})
+
+
 def judge(measured: DataFrame, m: str, threshold: float = 0.5) -> DataFrame:
     """Add ``p_good``, ``base_failed`` and ``kept`` to rows with a column ``m`` of measures (evaluated twice)."""
-    pattern = votes(F.col(m))
-    model = fit_label_model(pattern_counts(measured.select(pattern.alias("p")), "p"))
+    good = learn(measured, m).posterior(votes(F.col(m)))
     failed = base_failed(F.col(m))
-    good = model.posterior(pattern)
     return measured.withColumns({"p_good": good, "base_failed": failed, "kept": ~failed & (good >= threshold)})
 
 
 def filter_documents(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that pass, with their columns unchanged. The texts are measured once to fit and once to filter."""
     m = fresh(docs, "_measures")
-    pattern = votes(F.col(m))
-    model = fit_label_model(pattern_counts(docs.select(measures(text).alias(m)).select(pattern.alias("p")), "p"))
-    good = model.posterior(pattern) >= threshold
+    good = learn(docs.select(measures(text).alias(m)), m).posterior(votes(F.col(m))) >= threshold
     return docs.withColumn(m, measures(text)).where(~base_failed(F.col(m)) & good).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,7 +1,8 @@
 """Quality filtering by weak supervision: rules vote good or bad or abstain, EM learns how far to trust each.
 
-Every rule looks at one aspect of a text and votes 1 (good), -1 (bad) or 0 (abstain). All documents' vote patterns are
-counted by Spark (at most 3 ** rules of them, whatever the corpus); expectation-maximisation over these counts
+Every rule looks at one aspect of a text and votes + (good) or - (bad), or abstains: 0 when the value lies between its
+limits, "." when the text is too small to tell. EM learns what a 0 says; a "." says nothing. All documents' vote patterns are
+counted by Spark (at most 4 ** rules of them, whatever the corpus); expectation-maximisation over these counts
 estimates the share of good documents and each rule's vote rates given a good or bad document. A document's posterior
 probability of being good replaces a conjunction of rules. The model learns from the documents that pass two base tests
 (length and self-repetition); a document that fails one of them is not kept.
@@ -94,8 +95,8 @@ class Rule:
 
     def vote(self, m: Column) -> Column:
         share = m[self.part] / F.greatest(m[self.whole], F.lit(1))
-        voted = F.when((share < self.bad_below) | (share > self.bad_above), -1).when(share.between(*self.good), 1).otherwise(0)
-        return F.when(m[self.whole] >= self.least, voted).otherwise(0)
+        voted = F.when((share < self.bad_below) | (share > self.bad_above), "-").when(share.between(*self.good), "+").otherwise("0")
+        return F.when(m[self.whole] >= self.least, voted).otherwise(".")
 
 
 RULES = (
@@ -110,8 +111,8 @@ RULES = (
 
 
 def votes(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """One character per rule: ``+``, ``-`` or ``0``."""
-    return F.concat(*[F.when(v == 1, "+").when(v == -1, "-").otherwise("0") for v in (r.vote(m) for r in rules)])
+    """One character per rule."""
+    return F.concat(*[r.vote(m) for r in rules])
 
 
 @dataclass(frozen=True)
@@ -125,32 +126,33 @@ class LabelModel:
         odds = F.lit(self.prior)
         for i, w in enumerate(self.weights):
             v = F.substring(pattern, i + 1, 1)
-            odds = odds + F.when(v == "+", w["+"]).when(v == "-", w["-"]).otherwise(w["0"])
+            odds = odds + F.when(v == "+", w["+"]).when(v == "-", w["-"]).when(v == "0", w["0"]).otherwise(0.0)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
 def fit_label_model(counts: dict[str, int], rounds: int = 200, smooth: float = 1.0) -> LabelModel:
-    """EM from majority votes. Documents whose every rule abstains do not inform the model; no votes: even odds."""
-    known = {p: n for p, n in sorted(counts.items()) if p.strip("0")}
+    """EM from the number of bad votes. Documents whose every rule abstains do not inform the model; no votes: even odds."""
+    known = {p: n for p, n in sorted(counts.items()) if p.strip(".")}
     width = max((len(p) for p in counts), default=0)
     if not known:
         return LabelModel(0.0, tuple({"+": 0.0, "-": 0.0, "0": 0.0} for _ in range(width)))
     patterns = list(known)
     n = np.array([known[p] for p in patterns], float)
-    table = np.array([["+-0".index(c) for c in p] for p in patterns])
-    balance = np.array([p.count("+") - 2 * p.count("-") for p in patterns], float)
-    good = np.clip(0.5 + balance / 4, 0.05, 0.95)  # a bad vote starts with twice the say: rules abstain when unsure
+    table = np.array([["+-0.".index(c) for c in p] for p in patterns])
+    # Rules abstain when unsure, so one bad vote starts as likely bad and two as surely bad.
+    good = np.array([(0.9, 0.2, 0.05)[min(2, p.count("-"))] for p in patterns])
     for _ in range(rounds):
         share = ((n * good).sum() + smooth) / (n.sum() + 2 * smooth)
-        rates = np.empty((2, width, 2))
+        rates = np.empty((2, width, 3))
         for side, w in enumerate((n * (1 - good), n * good)):
             for r in range(width):
-                c = np.bincount(table[:, r], weights=w, minlength=3)[:2] + smooth
+                c = np.bincount(table[:, r], weights=w, minlength=4)[:3] + smooth
                 rates[side, r] = c / c.sum()
-        ratio = np.zeros((width, 3))  # an abstention says nothing
-        ratio[:, :2] = np.log(rates[1]) - np.log(rates[0])
+        ratio = np.zeros((width, 4))
+        ratio[:, :3] = np.log(rates[1]) - np.log(rates[0])
         ratio[:, 0] = np.maximum(ratio[:, 0], 0.0)  # no rule is worse than chance
         ratio[:, 1] = np.minimum(ratio[:, 1], 0.0)
+        ratio[:, 2] = np.clip(ratio[:, 2], ratio[:, 1] - 1.0, ratio[:, 0])
         prior = math.log(share) - math.log1p(-share)
         odds = prior + ratio[np.arange(width)[None, :], table].sum(1)
         new = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))

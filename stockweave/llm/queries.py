@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockweave.llm import linededup, quality, sharding, tokens
+from stockweave.llm import linededup, minhash, quality, sharding, tokens
 from stockweave.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from stockweave.session import cut_lineage
 from stockweave.sources.files import scratch_path
@@ -51,6 +51,14 @@ def op4_line_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", kept.alias("kept_sha256"))
 
 
+@query("op8_minhash_components")
+def op8_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose four-word shingle sets are similar by 80 % or more."""
+    docs = table(spark, sf_dir, "documents")
+    found = minhash.near_duplicates(docs, size=4, percent=80)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 @query("op10_token_frames")
 def op10_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written to token files and read back."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockweave.llm import linededup, minhash, quality, sharding, tokens
+from stockweave.llm import linededup, minhash, ngram, quality, sharding, tokens
 from stockweave.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from stockweave.session import cut_lineage
 from stockweave.sources.files import scratch_path
@@ -51,6 +51,36 @@ def op4_line_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", kept.alias("kept_sha256"))
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SCORE_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'),
+                                                         '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+b AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM w),
+c1 AS (SELECT w, count(*) AS n FROM w GROUP BY w),
+d1 AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY doc_id, w),
+c2 AS (SELECT v, w, count(*) AS n FROM b WHERE v IS NOT NULL GROUP BY v, w),
+d2 AS (SELECT doc_id, v, w, count(*) AS n FROM b WHERE v IS NOT NULL GROUP BY doc_id, v, w),
+s AS (SELECT b.doc_id, coalesce(c2.n - d2.n, 0) AS n2, c1.n - d1.n AS n1, cv.n - dv.n AS nv
+      FROM b JOIN c1 ON c1.w = b.w JOIN d1 ON d1.doc_id = b.doc_id AND d1.w = b.w
+      LEFT JOIN c2 ON c2.v = b.v AND c2.w = b.w LEFT JOIN d2 ON d2.doc_id = b.doc_id AND d2.v = b.v AND d2.w = b.w
+      LEFT JOIN c1 cv ON cv.w = b.v LEFT JOIN d1 dv ON dv.doc_id = b.doc_id AND dv.w = b.v),
+t AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE n2 <= 0) AS n_without_context,
+             sum(CAST(round(1e6 * CASE WHEN n2 > 0 THEN ln(n2 / nv)
+                                      ELSE ln(greatest(n1, 0.5) / (SELECT count(*) FROM w)) + ln(0.4) END) AS BIGINT)) AS score
+      FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_without_context, 0) AS n_without_context,
+       CAST(coalesce(score, 0) AS BIGINT) AS score_micro
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
+@query("op7_stupid_backoff", SCORE_SQL)
+def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by the counts of all other documents."""
+    return ngram.score_documents(table(spark, sf_dir, "documents"), order=2)
+
+
 @query("op8_minhash_components")
 def op8_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose four-word shingle sets are similar by 80 % or more."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockweave.llm import linededup, minhash, ngram, quality, sharding, tokens
+from stockweave.llm import langid, linededup, minhash, ngram, quality, sharding, tiling, tokens
 from stockweave.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from stockweave.session import cut_lineage
 from stockweave.sources.files import scratch_path
@@ -51,6 +51,12 @@ def op4_line_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", kept.alias("kept_sha256"))
 
 
+@query("op6_string_tiling")
+def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that their tiles cover by 80 % or more."""
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SCORE_SQL = f"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'),
@@ -89,6 +95,15 @@ def op8_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+@query("op9_subword_language")
+def op9_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every text, learned from the other four fifths' labels."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(langid.training_sample(docs))
+    named = docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), langid.identify(docs, model).alias("p"))
+    return named.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.accepted").alias("accepted"))
+
+
 @query("op10_token_frames")
 def op10_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written to token files and read back."""

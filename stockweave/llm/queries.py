@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockweave.llm import langid, linededup, minhash, ngram, quality, sharding, tiling, tokens
+from stockweave.llm import langid, linededup, minhash, ngram, pieces, quality, sharding, tiling, tokens
 from stockweave.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from stockweave.session import cut_lineage
 from stockweave.sources.files import scratch_path
@@ -51,6 +51,17 @@ def op4_line_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", kept.alias("kept_sha256"))
 
 
+@query("op5_suffix_pieces")
+def op5_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's piece ids, their digest, and whether decoding gives the text back."""
+    docs, path = table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")
+    coded = docs.select("doc_id", "text", pieces.encode(F.col("text"), path).alias("ids"))
+    return coded.select(
+        "doc_id", F.coalesce(F.octet_length("ids") / 4, F.lit(0)).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
+        pieces.decode(F.col("ids"), path).eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 @query("op6_string_tiling")
 def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the benchmark items that their tiles cover by 80 % or more."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockweave.llm import langid, linededup, minhash, ngram, pieces, quality, sharding, tiling, tokens
+from stockweave.llm import langid, linededup, minhash, ngram, pieces, pii, quality, sharding, tiling, tokens
 from stockweave.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from stockweave.session import cut_lineage
 from stockweave.sources.files import scratch_path
@@ -32,6 +32,12 @@ def op1_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@query("op2_boosted_spans")
+def op2_boosted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: base spans and the boosted trees' additions."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 @query("op3_label_model")
 def op3_label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule votes on every text and the documents that the label model keeps."""

@@ -223,3 +223,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     out = sketched.select("doc_id", "n", "node").join(named, "node", "left")
     root = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("root"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"))
+
+
+def drop_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the near-duplicates of a document with a smaller id; columns unchanged.
+
+    Rows are dropped by ``doc_id``; of rows that are equal in it and belong to the same group, all stay.
+    """
+    found = near_duplicates(docs, size, percent, key, text)
+    gone = found.where("n_shingles > 0 and not doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")

@@ -125,8 +125,7 @@ class LabelModel:
     def posterior(self, pattern: Column) -> Column:
         odds = F.lit(self.prior)
         for i, w in enumerate(self.weights):
-            v = F.substring(pattern, i + 1, 1)
-            odds = odds + F.when(v == "+", w["+"]).when(v == "-", w["-"]).when(v == "0", w["0"]).otherwise(0.0)
+            odds = odds + F.element_at(F.create_map(*[F.lit(x) for vote in "+-0." for x in (vote, w.get(vote, 0.0))]), F.substring(pattern, i + 1, 1))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
@@ -176,13 +175,16 @@ def learn(measured: DataFrame, m: str) -> LabelModel:
 
 def judge(measured: DataFrame, m: str, threshold: float = 0.5) -> DataFrame:
     """Add ``p_good``, ``base_failed`` and ``kept`` to rows with a column ``m`` of measures (evaluated twice)."""
-    good = learn(measured, m).posterior(votes(F.col(m)))
-    failed = base_failed(F.col(m))
-    return measured.withColumns({"p_good": good, "base_failed": failed, "kept": ~failed & (good >= threshold)})
+    p = fresh(measured, "_pattern")
+    good = learn(measured, m).posterior(F.col(p))
+    judged = measured.withColumns({p: votes(F.col(m)), "base_failed": base_failed(F.col(m))}).withColumn("p_good", good)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold)).drop(p)
 
 
 def filter_documents(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that pass, with their columns unchanged. The texts are measured once to fit and once to filter."""
     m = fresh(docs, "_measures")
-    good = learn(docs.select(measures(text).alias(m)), m).posterior(votes(F.col(m))) >= threshold
-    return docs.withColumn(m, measures(text)).where(~base_failed(F.col(m)) & good).select(*[F.col(f"`{c}`") for c in docs.columns])
+    p = fresh(docs, "_pattern")
+    good = learn(docs.select(measures(text).alias(m)), m).posterior(F.col(p)) >= threshold
+    sound = docs.withColumn(m, measures(text)).where(~base_failed(F.col(m))).withColumn(p, votes(F.col(m)))
+    return sound.where(good).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -44,38 +44,69 @@ MANIFEST = "file string, part int, seq int, n_docs long, n_tokens long"
 
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte to the visible letter that stands for it in byte-level vocabularies (fixed by the file format)."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class ByteBpe:
     """Encodes whole texts with a byte-level BPE file, one call per unseen word.
 
     The file's pre-tokenizer never joins text across a single space between two visible characters, so a text may be
-    cut there and the words encoded one by one; a bounded cache holds the ids of words already seen.
+    cut there and the words encoded one by one. It also takes a run of letters with its space as one unit, so such a
+    word goes straight to the merges, and a final comma or full stop is a unit of its own. Words already seen come
+    from a bounded cache of two generations: when the young one is full, it becomes the old one.
     """
 
     def __init__(self, path: str, width: int) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.model, self.dtype, self.cache = Tokenizer.from_file(path), np.dtype(f"<u{width}"), {}
+        self.model, self.dtype = Tokenizer.from_file(path), np.dtype(f"<u{width}")
+        self.young, self.old, self.width, self.letters = {}, {}, width, byte_letters()
+        self.stops = {c: self._merge(c) for c in ",."}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _merge(self, unit: str) -> bytes:
+        tokens = self.model.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))
+        return b"".join([t.id.to_bytes(self.width, "little") for t in tokens])
+
+    def _learn(self, words: set[str]) -> None:
+        """Put the ids of `` word`` into the young cache for every word."""
+        if len(self.young) > CACHE_ENTRIES:
+            self.old, self.young = self.young, {}
+        young, old, hard = self.young, self.old, []
+        for word in words:
+            ids = old.get(word)
+            if ids is None:
+                if word.isalpha():
+                    ids = self._merge(" " + word)
+                elif word[-1:] in self.stops and word[:-1].isalpha():
+                    stem = word[:-1]
+                    ids = (young.get(stem) or old.get(stem) or self._merge(" " + stem)) + self.stops[word[-1]]
+                else:
+                    hard.append(word)
+                    continue
+            young[word] = ids
+        for at in range(0, len(hard), 4096):
+            block = hard[at : at + 4096]
+            young.update(zip(block, self._encode([" " + w for w in block])))
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         plain = text[0] != " " and text[-1] != " " and not _DOUBLE_SPACE.search(text)
         words = text.split(" ") if plain else _SAFE_CUT.split(text)
-        first = self._encode([words[0]])[0]
-        rest = words[1:]
-        missing = list(set(rest).difference(self.cache))
+        first, rest = self._encode(words[:1])[0], words[1:]
+        missing = set(rest).difference(self.young)
         if missing:
-            if len(self.cache) + len(missing) > CACHE_ENTRIES:
-                self.cache.clear()
-                missing = list(set(rest))
-            for at in range(0, len(missing), 4096):
-                block = missing[at : at + 4096]
-                self.cache.update(zip(block, self._encode([" " + w for w in block])))
-        return first + b"".join(map(self.cache.__getitem__, rest))
+            shifted = len(self.young) > CACHE_ENTRIES
+            self._learn(set(rest) if shifted else missing)
+        return first + b"".join(map(self.young.__getitem__, rest))
 
 
 _ENCODERS: dict[tuple, ByteBpe] = {}

@@ -146,10 +146,16 @@ def held_out(key: Column) -> Column:
 def training_sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
     """At most ``SAMPLE_PER_LANG`` labelled texts per language outside the held-out fifth, chosen by hash."""
     labelled = docs.where(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(F.col(text)) <= SAMPLE_CHARS))
-    ranked = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
-    place = F.row_number().over(W.partitionBy("l").orderBy("h", "t"))  # Spark keeps the first rows before the shuffle
-    rows = ranked.withColumn("r", place).where(F.col("r") <= SAMPLE_PER_LANG).select("t", "l").collect()
-    return [(r["t"], r["l"]) for r in rows]
+    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    if not counts:
+        return []
+    # Of a common language only small hashes come near the sample, so no task gathers more than a few samples' rows.
+    limit = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 2.0 * SAMPLE_PER_LANG / n))])
+    likely = rows.where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.element_at(limit, F.col("l")))
+    place = F.row_number().over(W.partitionBy("l").orderBy("h", "t"))
+    found = likely.withColumn("r", place).where(F.col("r") <= SAMPLE_PER_LANG).select("t", "l").collect()
+    return [(r["t"], r["l"]) for r in found]
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> Column:

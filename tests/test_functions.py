@@ -105,3 +105,27 @@ def test_larger_rate_never_gives_fewer_units():
     low = samplers.inverse_count_cdf(u, np.full(5000, 10.0), np.full(5000, 3.0))
     high = samplers.inverse_count_cdf(u, np.full(5000, 13.0), np.full(5000, 3.0))
     assert (high >= low).all()
+
+
+def test_counts_of_any_size_follow_their_law():
+    u = np.array([0.05, 0.25, 0.5, 0.75, 0.95])
+    rng = np.random.default_rng(3)
+    for mean in (50.0, 3_000.0, 50_000.0, 1e7):
+        for k in (0.05, 3.0, 49.0, 140.0, 1e6, np.inf):
+            drawn = rng.poisson(mean if np.isinf(k) else rng.gamma(k, mean / k, 200_000), 200_000)
+            got = samplers.inverse_count_cdf(u, np.full(5, mean), np.full(5, k))
+            spread = np.sqrt(mean + (0.0 if np.isinf(k) else mean * mean / k))
+            assert np.abs(got - np.quantile(drawn, u, method="inverted_cdf")).max() <= max(1, 0.1 * spread), (mean, k)
+
+
+def test_counts_grow_with_the_rate_across_both_methods():
+    means = np.concatenate([np.linspace(200, 300, 200), np.geomspace(300, 1e7, 300)])
+    for k in (0.05, 7.0, 49.9, 50.1, 1e5, np.inf):
+        for u in (0.0, 0.01, 0.5, 0.999999):
+            assert (np.diff(samplers.inverse_count_cdf(np.full(500, u), means, np.full(500, k))) >= 0).all()
+
+
+def test_counts_refuse_senseless_input():
+    for u, m, k in ((0.5, np.nan, 1.0), (0.5, np.inf, 1.0), (1.0, 2.0, 1.0), (np.nan, 2.0, 1.0), (0.5, 2.0, 0.0)):
+        with pytest.raises(ValueError):
+            samplers.inverse_count_cdf([u], [m], [k])

@@ -68,7 +68,10 @@ def time_range(df: DataFrame, time: str) -> DataFrame:
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """Per column: type, nulls, range and mean, from one aggregate over the table."""
+    """Per column: type, nulls, range and mean, from one aggregate over the table; NaN counts as missing."""
+    from stockweave.operators.quality import nan_as_missing
+
+    df = nan_as_missing(df)
     aggregates, rows = [], []
     for f in df.schema.fields:
         c, name = F.col(f"`{f.name}`"), f.name

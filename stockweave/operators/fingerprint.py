@@ -1,6 +1,7 @@
 """Order-insensitive content fingerprints.
 
-Each row becomes a 48-bit number (MD5 over its tagged values in column-name order); the numbers are
+Each row becomes a 48-bit number (MD5 over its values in column-name order, each with its length in front, so that
+different rows have different texts); the numbers are
 summed, which needs one map-side combined aggregate and no sort. Row order, column order and
 partitioning do not matter; row multiplicity does.
 """
@@ -31,7 +32,7 @@ def _normal_text(name: str, dtype: T.DataType, scale: int | None) -> Column:
             text = F.when(value == 0, F.lit("0.0")).otherwise(value.cast("double").cast("string"))
     else:
         text = value.cast("string")
-    return F.coalesce(F.concat(F.lit("v"), text), F.lit("n"))
+    return F.coalesce(F.concat(F.lit("v"), F.length(text).cast("string"), F.lit(":"), text), F.lit("n"))
 
 
 def row_text(df: DataFrame, columns: list[str] | None = None, float_scale: int | None = None) -> Column:

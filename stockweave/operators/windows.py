@@ -6,12 +6,12 @@ An entity's window holds one row per day, so its size is bounded by the calendar
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stockweave.functions.calendar import weekday_monday0
 from stockweave.session import cut_lineage
 
 
@@ -40,8 +40,11 @@ def trailing_means(grid: DataFrame, entities: Sequence[str], windows: Sequence[i
 
 def same_weekday_mean(grid: DataFrame, entities: Sequence[str], count: int = 4, time: str = "date", value: str = "quantity") -> DataFrame:
     """Mean of the last ``count`` values of the row's own weekday, the row included."""
-    order = W.partitionBy(*entities, weekday_monday0(F.col(time))).orderBy(time).rowsBetween(-(count - 1), 0)
-    return grid.withColumn(f"mean_same_weekday_{count}", F.avg(value).over(order))
+    order = W.partitionBy(*entities).orderBy(time)  # the grid has every day, so the same weekday is 7 rows back
+    values = [F.col(value), *[F.lag(value, 7 * k).over(order) for k in range(1, count)]]
+    known = reduce(lambda a, b: a + b, [v.isNotNull().cast("int") for v in values])
+    total = reduce(lambda a, b: a + b, [F.coalesce(v.cast("double"), F.lit(0.0)) for v in values])
+    return grid.withColumn(f"mean_same_weekday_{count}", F.when(known > 0, total / known))
 
 
 def last_value_before(grid: DataFrame, entities: Sequence[str], time: str = "date", value: str = "quantity") -> DataFrame:

@@ -83,7 +83,11 @@ def inventory_kpis(
     orders = require_values(priced, ["order_cost"], "order cost missing").groupBy(*by).agg(
         F.sum("orders").alias("_orders"), F.sum("units").alias("_units"), F.sum(F.col("orders") * F.col("order_cost")).alias("_ordering")
     )
-    joined = stock.join(orders, list(by), "left") if by else stock.withColumn("_one", F.lit(1)).join(orders.withColumn("_one", F.lit(1)), "_one", "left")
+    if by:
+        joined = stock.join(orders, list(by), "left")
+    else:
+        only = orders.select(F.struct("_orders", "_units", "_ordering").alias("o")).scalar()  # one row
+        joined = stock.withColumn("_o", only).select("*", "_o.*").drop("_o")
     zero = F.lit(0.0)
     item_days = F.col("_items") * days
     values: dict[str, Column] = {

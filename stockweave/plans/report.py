@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stockweave.functions.numeric import ratio_or_null
@@ -30,16 +31,16 @@ def variant_run_table(rows: DataFrame, metric: str, runs: Sequence[str]) -> Data
 
 def metric_delta(rows: DataFrame, base_run: str) -> DataFrame:
     """Each metric of each run against the base run: difference and ratio (null on a zero base)."""
-    base = rows.where(F.col("run_id") == base_run).select("variant", "metric_id", F.col("value").alias("base_value"))
-    other = rows.where(F.col("run_id") != base_run).select("run_id", "variant", "metric_id", "value")
-    joined = other.join(base, ["variant", "metric_id"])
+    same = W.partitionBy("variant", "metric_id")  # one row per run
+    is_base = F.col("run_id") == base_run
+    joined = rows.select(
+        "run_id", "variant", "metric_id", "value", F.max(F.when(is_base, F.col("value"))).over(same).alias("base_value"), F.max(is_base).over(same).alias("_known")
+    ).where(~is_base & F.col("_known")).drop("_known")
     return joined.withColumns({"delta": F.col("value") - F.col("base_value"), "ratio": ratio_or_null(F.col("value"), F.col("base_value"))})
 
 
 def policy_scorecard(kpis: DataFrame, variant: str = "variant") -> DataFrame:
     """KPI columns per variant with the rank of each variant by total cost."""
-    from pyspark.sql import Window as W
-
     order = W.partitionBy(F.lit(1)).orderBy("total_cost", variant)  # one row per variant
     return kpis.withColumn("cost_rank", F.row_number().over(order).cast("bigint"))
 
@@ -50,7 +51,10 @@ def scenario_ratio(demand: DataFrame, base: str, start_day: int, duration_days:
     sums = demand.groupBy("scenario_id").agg(
         F.sum("quantity").alias("total"), F.sum(F.when(inside, F.col("quantity"))).alias("inside"), F.sum(F.when(~inside, F.col("quantity"))).alias("outside")
     )
-    reference = sums.where(F.col("scenario_id") == base).select(*[F.col(c).alias(f"_{c}") for c in ("total", "inside", "outside")], F.lit(1).alias("_k"))
-    joined = sums.withColumn("_k", F.lit(1)).join(reference, "_k")
+    scenarios = W.partitionBy(F.lit(1))  # one row per scenario
+    is_base = F.col("scenario_id") == base
+    parts = ("total", "inside", "outside")
+    known = sums.withColumns({**{f"_{c}": F.max(F.when(is_base, F.col(c))).over(scenarios) for c in parts}, "_known": F.max(is_base).over(scenarios)})
+    joined = known.where("_known")
     ratios = {f"{c}_ratio": ratio_or_null(F.col(c), F.col(f"_{c}")) for c in ("total", "inside", "outside")}
     return joined.withColumns(ratios).select("scenario_id", "total", *ratios)

@@ -129,7 +129,7 @@ define(
     "monthly_prints",
     f"""
 SELECT store_id, CAST(date_trunc('month', date) AS DATE) AS month, CAST(count(*) AS BIGINT) AS row_count,
-       sha256('date:date,product_id:str,quantity:int|' || CAST(count(*) AS VARCHAR) || '|' || CAST(sum({sql_hash48("concat_ws(chr(31), 'v' || CAST(date AS VARCHAR), 'v' || product_id, 'v' || CAST(quantity AS VARCHAR))")}) AS VARCHAR)) AS fingerprint
+       sha256('date:date,product_id:str,quantity:int|' || CAST(count(*) AS VARCHAR) || '|' || CAST(sum({sql_hash48("concat_ws(chr(31), 'v10:' || CAST(date AS VARCHAR), 'v' || length(product_id) || ':' || product_id, 'v' || length(CAST(quantity AS VARCHAR)) || ':' || CAST(quantity AS VARCHAR))")}) AS VARCHAR)) AS fingerprint
 FROM sales GROUP BY ALL
 """,
     "sales",

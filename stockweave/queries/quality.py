@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from stockweave.operators import aggregates as A
 from stockweave.operators import quality as Q
 from stockweave.queries.registry import query
 from stockweave.queries.sqlparts import define, with_ctes
@@ -111,6 +114,43 @@ def _union(*groups: dict[str, list[str]], only: str | None = None) -> str:
 for _check in ("dtype", "not_null", "range", "allowed_values", "integer", "relation", "unique", "primary_key", "foreign_key"):
     query(f"check_{_check}", _union(LINE_ROWS, EVENT_ROWS, only=_check))(lambda t, c=_check: both(t, c))
 
+GAPS = TableSpec(
+    "shop.gaps", (FieldSpec("l_orderkey", "int"), FieldSpec("l_discount", "float", nullable=True, min=0, max=0.08), FieldSpec("l_tax", "float")),
+    constraints=(Integer("l_discount"), Relation("l_discount", "<=", "l_tax"), Relation("l_tax", "<=", "l_discount"), Unique(("l_orderkey", "l_tax"))),
+)
+_GAPS = "(SELECT l_orderkey, CASE WHEN l_linenumber <> 3 THEN l_discount END AS l_discount, CASE WHEN l_linenumber <> 5 THEN l_tax END AS l_tax FROM lineitem)"
+GAP_ROWS = [
+    *[_row("dtype", f"shop.gaps.{c}", "0 * count(*)", _GAPS) for c in ("l_orderkey", "l_discount", "l_tax")],
+    *[_row("not_null", f"shop.gaps.{c}", _count(f"{c} IS NULL"), _GAPS) for c in ("l_orderkey", "l_tax")],
+    _row("range", "shop.gaps.l_discount", _count("l_discount < 0 OR l_discount > 0.08::DOUBLE"), _GAPS),
+    _row("integer", "shop.gaps.l_discount", _count("l_discount <> floor(l_discount)"), _GAPS),
+    _row("relation", "shop.gaps.l_discount <= l_tax", _count("NOT (l_discount <= l_tax)"), _GAPS),
+    _row("relation", "shop.gaps.l_tax <= l_discount", _count("NOT (l_tax <= l_discount)"), _GAPS),
+    _row("unique", "shop.gaps.l_orderkey+l_tax", f"(SELECT count(*) - count(DISTINCT (l_orderkey, l_tax)) FROM {_GAPS})", "(SELECT 1)"),
+]
+
+
+def lines_with_nan(t):
+    """Line items with NaN instead of some discounts and taxes."""
+    nan = F.lit(float("nan"))
+    return t.raw("lineitem").select(
+        "l_orderkey", F.when(F.col("l_linenumber") == 3, nan).otherwise(F.col("l_discount")).alias("l_discount"),
+        F.when(F.col("l_linenumber") == 5, nan).otherwise(F.col("l_tax")).alias("l_tax"),
+    )
+
+
+@query("check_nan_missing", "\nUNION ALL ".join(GAP_ROWS))
+def check_nan_missing(t):
+    return Q.validate_table(lines_with_nan(t), GAPS).select("check", "target", "status", "violations")
+
+
+@query("profile_nan_missing", f"""
+SELECT 'l_discount' AS "column", count(*) FILTER (l_discount IS NULL) AS null_count, min(l_discount) AS min_number, max(l_discount) AS max_number FROM {_GAPS}
+UNION ALL SELECT 'l_tax', count(*) FILTER (l_tax IS NULL), min(l_tax), max(l_tax) FROM {_GAPS}""")
+def profile_nan_missing(t):
+    return A.column_profile(lines_with_nan(t).drop("l_orderkey")).select("column", "null_count", "min_number", "max_number")
+
+
 define("line_report", _union(LINE_ROWS))
 
 

@@ -34,7 +34,9 @@ def scan_csv_typed(t):
         status.alias("finished"),
         F.col("o_orderpriority").alias("priority"),
     )
-    return files.type_text(text.select(*[files.null_tokens(F.col(c)).alias(c) for c in text.columns]), ORDER_TEXT)
+    path = files.scratch_path(t.spark, "orders-text")
+    text.write.option("header", True).csv(path)
+    return files.read_csv_typed(t.spark, path, ORDER_TEXT)
 
 
 EVENT_TEXT = TableSpec(
@@ -66,7 +68,10 @@ def csv_bad_values(t):
         "props",
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"),
     )
-    return files.bad_value_audit(text, EVENT_TEXT).withColumn("examples", F.array_join("examples", "|"))
+    path = files.scratch_path(t.spark, "events-text")
+    text.write.option("header", True).csv(path)
+    stored = files.read_csv_text(t.spark, path, EVENT_TEXT)
+    return files.bad_value_audit(stored, EVENT_TEXT).withColumn("examples", F.array_join("examples", "|"))
 
 
 CUSTOMER = TableSpec(
@@ -148,12 +153,14 @@ def sink_csv(t):
 
 @query(
     "registry_append",
-    with_ctes("registry", """SELECT r.* FROM registry r WHERE NOT EXISTS (SELECT 1 FROM registry o WHERE o.source_type = 'derived'
+    with_ctes("registry", """SELECT r.* FROM registry r WHERE r.source_type = 'derived' OR NOT EXISTS (SELECT 1 FROM registry o WHERE o.source_type = 'derived'
               AND o.dataset_id = r.dataset_id AND o.version = r.version)"""),
 )
 def registry_append(t):
-    entries = I.monthly_registry(t)
-    return registry.accepted_entries(entries, entries.where("source_type = 'derived'"))
+    entries, path = I.monthly_registry(t), files.scratch_path(t.spark, "registry")
+    registry.append_entries(entries.where("source_type = 'derived'"), path)
+    registry.append_entries(registry.accepted_entries(entries, registry.read_registry(t.spark, path)), path)
+    return registry.read_registry(t.spark, path).select(*entries.columns)
 
 
 @query(

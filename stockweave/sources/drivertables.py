@@ -133,9 +133,10 @@ class DriverTables:
         lines = self.raw("lineitem").select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("quantity")
         )
-        merged = lines.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.sum("quantity").alias("quantity"))
         orders = self.raw("orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("order_date"))
-        dated = merged.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        # Joined by the order key first: the grouping contains it, so it needs no second exchange.
+        placed = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        dated = placed.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "order_date").agg(F.sum("quantity").alias("quantity"))
         return self._items(dated).select(
             F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("po_id"),
             "product_id",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,22 +32,27 @@ def accepted_entries(entries: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def append_entries(entries: DataFrame, registry_path: str) -> None:
-    """Append to the registry table; any already registered (id, version) refuses the whole batch."""
+    """Append to the registry table; any already registered (id, version) refuses the whole batch.
+
+    One writer at a time: two writers that append at once may use the same sequence number.
+    """
     spark = entries.sparkSession
     registry = read_registry(spark, registry_path)
     clash = entries.join(registry.select(*KEY), list(KEY), "left_semi").select(*KEY).take(3)
     twice = entries.groupBy(*KEY).count().where("count > 1").select(*KEY).take(3)
     if clash or twice:
-        raise DuplicateDataset(f"already registered: {[tuple(r) for r in (*clash, *twice)]}")
+        raise DuplicateDataset(f"already registered, for example: {[tuple(r) for r in (*clash, *twice)]}")
     entries.write.mode("append").parquet(registry_path)
 
 
 def read_registry(spark: SparkSession, registry_path: str) -> DataFrame:
     """The registry table; empty before the first dataset is registered."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(registry_path)
-    if not hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path):
+    try:
+        return spark.read.schema(REGISTRY_SCHEMA).parquet(registry_path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], REGISTRY_SCHEMA)
-    return spark.read.schema(REGISTRY_SCHEMA).parquet(registry_path)
 
 
 def latest_entries(registry: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def calendar_source(t: DriverTables) -> DataFrame:
     events = retail.event_calendar(days)
     named = days.join(events, "date", "left")
     day = F.dayofmonth("date")
-    second = (F.month("date") == 12) & (day == 25) & (F.col("year") % 2 == 0)
+    second = (F.month("date") == 5) & (day == 1) & (F.col("year") % 3 == 0)
     return named.select(
         "date",
         F.col("week_id").alias("wm_yr_wk"),
@@ -66,11 +66,11 @@ def calendar_source(t: DriverTables) -> DataFrame:
         F.concat(F.lit("d_"), (F.datediff("date", first) + 1).cast("string")).alias("d"),
         F.col("event_name").alias("event_name_1"),
         F.col("event_type").alias("event_type_1"),
-        F.when(second, F.lit("YearEndFair")).alias("event_name_2"),
+        F.when(second, F.lit("SpringMarket")).alias("event_name_2"),
         F.when(second, F.lit("Cultural")).alias("event_type_2"),
-        (day <= 10).cast("int").alias("snap_AF"),
-        ((day <= 15) & (day % 2 == 1)).cast("int").alias("snap_AM"),
-        ((day <= 15) & (day % 2 == 0)).cast("int").alias("snap_AS"),
+        (day % 3 == 0).cast("int").alias("snap_AF"),
+        ((day > 10) & (day <= 20)).cast("int").alias("snap_AM"),
+        (F.month("date") % 2 == day % 2).cast("int").alias("snap_AS"),
     )
 
 
@@ -79,15 +79,15 @@ define(
     """
 SELECT date, week_id AS wm_yr_wk, (weekday + 1) % 7 + 1 AS wday, month, year,
        'd_' || CAST(date - lo + 1 AS VARCHAR) AS d,
-       CASE strftime(date, '%m-%d') WHEN '02-07' THEN 'SuperBowl' WHEN '02-14' THEN 'ValentinesDay'
-            WHEN '07-04' THEN 'IndependenceDay' WHEN '11-24' THEN 'Thanksgiving' WHEN '12-25' THEN 'Christmas' END AS event_name_1,
-       CASE strftime(date, '%m-%d') WHEN '02-07' THEN 'Sporting' WHEN '02-14' THEN 'Cultural'
-            WHEN '07-04' THEN 'National' WHEN '11-24' THEN 'National' WHEN '12-25' THEN 'National' END AS event_type_1,
-       CASE WHEN strftime(date, '%m-%d') = '12-25' AND year % 2 = 0 THEN 'YearEndFair' END AS event_name_2,
-       CASE WHEN strftime(date, '%m-%d') = '12-25' AND year % 2 = 0 THEN 'Cultural' END AS event_type_2,
-       CAST(day(date) <= 10 AS INTEGER) AS snap_AF,
-       CAST(day(date) <= 15 AND day(date) % 2 = 1 AS INTEGER) AS snap_AM,
-       CAST(day(date) <= 15 AND day(date) % 2 = 0 AS INTEGER) AS snap_AS
+       CASE strftime(date, '%m-%d') WHEN '01-20' THEN 'WinterSale' WHEN '05-01' THEN 'LabourDay'
+            WHEN '06-15' THEN 'CityRun' WHEN '08-15' THEN 'HarvestFeast' WHEN '10-03' THEN 'UnityDay' END AS event_name_1,
+       CASE strftime(date, '%m-%d') WHEN '01-20' THEN 'Cultural' WHEN '05-01' THEN 'National'
+            WHEN '06-15' THEN 'Sporting' WHEN '08-15' THEN 'Religious' WHEN '10-03' THEN 'National' END AS event_type_1,
+       CASE WHEN strftime(date, '%m-%d') = '05-01' AND year % 3 = 0 THEN 'SpringMarket' END AS event_name_2,
+       CASE WHEN strftime(date, '%m-%d') = '05-01' AND year % 3 = 0 THEN 'Cultural' END AS event_type_2,
+       CAST(day(date) % 3 = 0 AS INTEGER) AS snap_AF,
+       CAST(day(date) > 10 AND day(date) <= 20 AS INTEGER) AS snap_AM,
+       CAST(month(date) % 2 = day(date) % 2 AS INTEGER) AS snap_AS
 FROM calendar CROSS JOIN bounds
 """,
     "calendar",

@@ -172,6 +172,13 @@ def scenario_demand(t):
     return noise_free(t)
 
 
+@query("scenario_demand_noisy")
+def scenario_demand_noisy(t):
+    """All scenarios with their own noise; they share their uniforms, so no scenario of higher rates sells less."""
+    effects = {name: calibrate.effects_from(p, scenarios.DEMAND_MAPPING)[0] for name, p in scenarios.SCENARIOS.items()}
+    return synth.scenario_demand(calibrated(t), effects, horizon_start(t), 91, SEED, ENTITIES)
+
+
 @query(
     "scenario_ratio",
     with_ctes("expected", f""", sums AS (SELECT scenario_id, CAST(sum(quantity) AS BIGINT) AS total, sum(quantity) FILTER (day_index >= 28 AND day_index < 42) AS inside,

@@ -53,5 +53,13 @@ def test_contract(spark, contract):
 
     assert set(core.QUERIES) <= set(contract.queries())
     rows_only = set(core.QUERIES) - set(contract.oracle_sql())
-    assert rows_only == {"forecast_ml", "sample_demand", "gen_gamma", "gen_poisson", "gen_negative_binomial"}
+    assert rows_only == {"forecast_ml", "sample_demand", "gen_gamma", "gen_poisson", "gen_negative_binomial", "scenario_demand_noisy"}
     assert contract.entry(spark).columns[:2] == ["model", "origin_date"]
+
+
+def test_noisy_scenarios_share_their_draws(spark, contract):
+    rows = contract.queries()["scenario_demand_noisy"](spark, SF).toPandas()
+    wide = rows.pivot(index=["date", "product_id", "store_id"], columns="scenario_id", values="quantity")
+    assert (wide["high_demand"].sum() > wide["baseline"].sum()) and wide["baseline"].std() > 0
+    quiet = contract.queries()["scenario_demand"](spark, SF).toPandas()
+    assert abs(rows["quantity"].sum() / quiet["quantity"].sum() - 1) < 0.1

@@ -41,9 +41,9 @@ class OperationsConfig:
 def build_suppliers(reference: DataFrame, key: str, seed: int, cfg: OperationsConfig, keep_key: bool = False) -> DataFrame:
     """Supplier ids with order cost and minimum order quantity, one per reference row."""
     rules = {
-        "supplier_id": synth.Reference(key) if keep_key else synth.Sequence_(prefix="SUP", width=3),
-        "order_cost": synth.Uniform(*cfg.order_cost_range, decimals=2),
-        "min_order_qty": synth.Choice(cfg.min_order_qty_choices),
+        "supplier_id": synth.copied(key) if keep_key else synth.numbered(prefix="SUP", width=3),
+        "order_cost": synth.uniform(*cfg.order_cost_range, decimals=2),
+        "min_order_qty": synth.choice(cfg.min_order_qty_choices),
     }
     suppliers = synth.generate_table(reference, rules, table_seed(seed, "supplier"), [key])
     return suppliers.withColumn("min_order_qty", F.col("min_order_qty").cast("bigint"))
@@ -70,7 +70,7 @@ def assign_suppliers(prices: DataFrame, suppliers: DataFrame, seed: int, cfg: Op
     numbered = distributed_rank(suppliers.select("supplier_id"), [F.col("supplier_id")], "_number")
     count = suppliers.agg(F.count(F.lit(1))).scalar()
     pick = F.floor(seeded_uniform(own, "supplier_id", F.col("product_id")) * count).cast("bigint") + 1
-    pack = synth.rule_column("case_pack", synth.Choice(cfg.case_pack_choices), own, [F.col("product_id")], ["product_id"])
+    pack = synth.built_column("case_pack", synth.choice(cfg.case_pack_choices), own, [F.col("product_id")])
     priced = prices.select(
         "product_id", round_half_even(F.col("avg_unit_price") * F.lit(cfg.cost_ratio), 2).alias("unit_cost"), pack.cast("bigint").alias("case_pack"), pick.alias("_number")
     )

@@ -23,12 +23,12 @@ def parts(t):
 
 def generate(t, rules):
     """Rules over the part table, the key kept for comparison."""
-    return synth.generate_table(parts(t), {"p_partkey": synth.Reference("p_partkey"), **rules}, SEED, ["p_partkey"])
+    return synth.generate_table(parts(t), {"p_partkey": synth.copied("p_partkey"), **rules}, SEED, ["p_partkey"])
 
 
 @query("gen_constant", "SELECT p_partkey, CAST(25 AS BIGINT) AS order_cost, 'EUR' AS currency FROM part")
 def gen_constant(t):
-    return generate(t, {"order_cost": synth.Constant(25), "currency": synth.Constant("EUR")})
+    return generate(t, {"order_cost": synth.constant(25), "currency": synth.constant("EUR")})
 
 
 def choice_sql(column: str, values: list[str], bounds: list[float]) -> str:
@@ -39,36 +39,36 @@ def choice_sql(column: str, values: list[str], bounds: list[float]) -> str:
 
 @query("gen_choice", f"SELECT p_partkey, {choice_sql('tier', ['chr(65)', 'chr(66)'], [0.8, 1.0])} AS tier, {choice_sql('moq', ['0', '6', '12'], [1 / 3, 2 / 3, 1.0])} AS moq FROM part")
 def gen_choice(t):
-    return generate(t, {"tier": synth.Choice(("A", "B"), (0.8, 0.2)), "moq": synth.Choice((0, 6, 12))})
+    return generate(t, {"tier": synth.choice(("A", "B"), (0.8, 0.2)), "moq": synth.choice((0, 6, 12))})
 
 
 @query("gen_uniform", f"SELECT p_partkey, {even('20.0 + ' + uniform('order_cost', 'p_partkey') + ' * 40.0', 2)} AS order_cost, CAST(floor({uniform('capacity', 'p_partkey')} * 11.0) + 10 AS BIGINT) AS capacity FROM part")
 def gen_uniform(t):
-    return generate(t, {"order_cost": synth.Uniform(20.0, 60.0, decimals=2), "capacity": synth.Uniform(10, 20, integer=True)})
+    return generate(t, {"order_cost": synth.uniform(20.0, 60.0, decimals=2), "capacity": synth.uniform(10, 20, integer=True)})
 
 
 @query("gen_linear", f"SELECT p_partkey, {even('p_retailprice * 0.7 + 0.0', 2)} AS unit_cost, {even(even('p_retailprice * 0.7 + 0.0', 2) + ' * 1.5 + 2.0', 2)} AS rush_cost, CAST({even('p_size * 60.0 + 1.0')} AS BIGINT) AS capacity FROM part")
 def gen_linear(t):
     return generate(t, {
-        "unit_cost": synth.Linear("p_retailprice", scale=0.7, decimals=2),
-        "rush_cost": synth.Linear("unit_cost", scale=1.5, offset=2.0, decimals=2),
-        "capacity": synth.Linear("p_size", scale=60.0, offset=1.0, integer=True),
+        "unit_cost": synth.linear("p_retailprice", scale=0.7, decimals=2),
+        "rush_cost": synth.linear("unit_cost", scale=1.5, offset=2.0, decimals=2),
+        "capacity": synth.linear("p_size", scale=60.0, offset=1.0, integer=True),
     })
 
 
 @query("gen_lookup", "SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'budget' WHEN 'PROMO' THEN 'offer' ELSE 'regular' END AS label, CASE CAST(p_size AS VARCHAR) WHEN '1' THEN 'unit' END AS size_label FROM part")
 def gen_lookup(t):
-    return generate(t, {"label": synth.Lookup("p_type", {"ECONOMY": "budget", "PROMO": "offer"}, "regular"), "size_label": synth.Lookup("p_size", {"1": "unit"})})
+    return generate(t, {"label": synth.lookup("p_type", {"ECONOMY": "budget", "PROMO": "offer"}, "regular"), "size_label": synth.lookup("p_size", {"1": "unit"})})
 
 
 @query("gen_reference_column", "SELECT p_partkey, p_brand AS brand, p_type AS kind FROM part")
 def gen_reference_column(t):
-    return generate(t, {"brand": synth.Reference("p_brand"), "kind": synth.Reference("p_type")})
+    return generate(t, {"brand": synth.copied("p_brand"), "kind": synth.copied("p_type")})
 
 
 @query("gen_sequence", "SELECT p_partkey, 'SKU' || CASE WHEN r < 1000 THEN lpad(CAST(r AS VARCHAR), 3, '0') ELSE CAST(r AS VARCHAR) END AS sku, r + 99 AS n FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS r FROM part)")
 def gen_sequence(t):
-    return generate(t, {"sku": synth.Sequence_(prefix="SKU"), "n": synth.Sequence_(start=100, as_int=True)})
+    return generate(t, {"sku": synth.numbered(prefix="SKU"), "n": synth.numbered(start=100, as_int=True)})
 
 
 def key_of(t):
@@ -85,9 +85,19 @@ def gen_lognormal(t):
     return t.raw("part").select("p_partkey", stable6(synth.lognormal(SEED, "size", key_of(t), 0.5, 0.25)).alias("size_factor"))
 
 
+_NOISE, _SIZE = f"(10.0 + 4.0 * {normal('noise', 'p_partkey')})", f"exp(1.0 + 0.5 * {normal('size', 'p_partkey')})"
+
+
+@query("gen_declared_laws", f"""SELECT p_partkey, {even(f'least(greatest({_NOISE}, 5), 15)', 2)} AS noise, {_NOISE} < 5 OR {_NOISE} > 15 AS noise_clipped,
+    {even(f'least({_SIZE}, 6)', 3)} AS size, {_SIZE} > 6 AS size_clipped FROM part""")
+def gen_declared_laws(t):
+    rules = {"noise": synth.drawn("normal", 10.0, 4.0, low=5.0, high=15.0, decimals=2), "size": synth.drawn("lognormal", 1.0, 0.5, high=6.0, decimals=3)}
+    return synth.generate_table(parts(t), {"p_partkey": synth.copied("p_partkey"), **rules}, SEED, ["p_partkey"], flags=True)
+
+
 @query("gen_categorical", f"SELECT p_partkey, {choice_sql('grade', ['chr(120)', 'chr(121)', 'chr(122)'], [0.5, 0.8, 1.0])} AS grade FROM part")
 def gen_categorical(t):
-    return generate(t, {"grade": synth.Choice(("x", "y", "z"), (5, 3, 2))})
+    return generate(t, {"grade": synth.choice(("x", "y", "z"), (5, 3, 2))})
 
 
 @query(

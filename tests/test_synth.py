@@ -129,16 +129,26 @@ def test_timeline(spark, profiles):
 def test_rules(spark):
     reference = spark.createDataFrame([(i, f"n{i}") for i in range(1, 51)], "k int, name string")
     rules = {
-        "supplier_id": synth.Sequence_(prefix="SUP"), "tier": synth.Choice(("A", "B"), (0.8, 0.2)), "capacity": synth.Uniform(10, 20, integer=True),
-        "order_cost": synth.Constant(25), "rush_cost": synth.Linear("order_cost", 1.5, 2.0, decimals=2), "label": synth.Lookup("tier", {"A": "gold"}, "plain"),
-        "name": synth.Reference("name"),
+        "supplier_id": synth.numbered(prefix="SUP"), "tier": synth.choice(("A", "B"), (0.8, 0.2)), "capacity": synth.uniform(10, 20, integer=True),
+        "order_cost": synth.constant(25), "rush_cost": synth.linear("order_cost", 1.5, 2.0, decimals=2), "label": synth.lookup("tier", {"A": "gold"}, "plain"),
+        "name": synth.copied("name"),
     }
     rows = synth.generate_table(reference, rules, 5, ["k"]).orderBy("supplier_id").collect()
     assert [r["supplier_id"] for r in rows] == [f"SUP{i:03d}" for i in range(1, 51)] and rows[49]["name"] == "n50"
     assert {r["rush_cost"] for r in rows} == {39.5} and all(10 <= r["capacity"] <= 20 for r in rows)
     assert all((r["label"] == "gold") == (r["tier"] == "A") for r in rows) and {r["tier"] for r in rows} == {"A", "B"}
     with pytest.raises(ValueError, match="unknown source"):
-        synth.generate_table(reference, {"x": synth.Linear("missing")}, 5, ["k"])
+        synth.generate_table(reference, {"x": synth.linear("missing")}, 5, ["k"])
+
+
+def test_drawn_columns_and_their_flags(spark):
+    rules = {"a": synth.drawn("gamma", 2.0, 3.0, high=9.0), "b": synth.drawn("poisson", 4.0, low=1, high=6, integer=True)}
+    rows = synth.generate_table(spark.range(400).withColumnRenamed("id", "k"), rules, 5, ["k"], flags=True).collect()
+    assert all(r["a"] <= 9 and 1 <= r["b"] <= 6 for r in rows) and {r["a_clipped"] for r in rows} == {True, False} == {r["b_clipped"] for r in rows}
+    assert all(r["a"] == 9 for r in rows if r["a_clipped"])
+    for refused in (lambda: synth.drawn("cauchy", 1.0), lambda: synth.drawn("normal", 0.0, 1.0, low=2, high=1), lambda: synth.uniform(2, 1)):
+        with pytest.raises(ValueError):
+            refused()
 
 
 def test_rank_of_a_hot_value(spark):

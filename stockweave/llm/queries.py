@@ -48,7 +48,20 @@ def op3_label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *numbers, "base_failed", "kept", "p_good")
 
 
-@query("op4_line_references")
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LINES_SQL = f"""
+WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i
+           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{LETTERS}', '{LETTERS.lower()}') AS key FROM l),
+s AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.*, coalesce(keeper <> doc_id, false) AS dropped FROM k LEFT JOIN s USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+@query("op4_line_references", LINES_SQL)
 def op4_line_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that three documents or more hold, removed from all but the last of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -74,7 +87,6 @@ def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SCORE_SQL = f"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'),
                                                          '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -104,7 +116,23 @@ def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score_documents(table(spark, sf_dir, "documents"), order=2)
 
 
-@query("op8_minhash_components")
+NEAR_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'),
+                                                              '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+             ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' ')) END) AS gs FROM d),
+x0 AS (SELECT doc_id, len(gs) AS n, unnest(gs) AS g FROM g),
+x AS (SELECT doc_id, n, hash(g) AS h, g FROM x0),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.h = b.h AND a.g = b.g AND a.doc_id < b.doc_id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT g.doc_id, len(gs) AS n_shingles, min(other) AS component_id, g.doc_id = min(other) AS kept
+FROM g JOIN reach USING (doc_id) GROUP BY g.doc_id, gs
+"""
+
+
+@query("op8_minhash_components", NEAR_SQL)
 def op8_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose four-word shingle sets are similar by 80 % or more."""
     docs = table(spark, sf_dir, "documents")

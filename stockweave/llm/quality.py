@@ -78,7 +78,8 @@ def measures(text: str | Column) -> Column:
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure(t) for t in texts], columns=list(MEASURES)).astype("int64")
 
-    return F.pandas_udf(of, ", ".join(f"{m} long" for m in MEASURES))(text)
+    # Said not to be deterministic, so that no filter on a measure makes Spark measure a text again.
+    return F.pandas_udf(of, ", ".join(f"{m} long" for m in MEASURES)).asNondeterministic()(text)
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -11,3 +13,12 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that a checkpoint has replaced.
+
+    Spark deletes them once the driver's JVM has collected their plans, which may otherwise be long after the job.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

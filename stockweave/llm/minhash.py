@@ -4,13 +4,14 @@
    document per class, the smallest id, takes part.
 2. ``HASHES`` universal hashes give one minimum each; ``HASHES / ROWS`` bands of ``ROWS`` minima put classes into
    buckets. A pair at similarity 0.8 shares no bucket with probability (1 - 0.8 ** 4) ** 32 < 1e-7.
-3. In a bucket every class is paired with the bucket's smallest class only (a star, linear in the bucket).
+3. In a bucket every class is paired with the bucket's most central class only (a star, linear in the bucket).
    Signatures drop hopeless pairs (``SIGNATURE_SLACK`` below the threshold is over five standard errors), full
    sets decide the rest.
-4. Links become components by alternating large-star and small-star. Only pairs inside a bucket whose ends lie in
-   different components are still open: each member is paired with the first member of every other component of its
-   bucket, until that finds nothing new, and then components of two members or more with each other. Every pair of a
-   bucket is thus tested or already connected, and a group of copies is never expanded into all its pairs.
+4. Links become components by alternating large-star and small-star. Members of buckets that now lie in one component
+   are done. For the rest an exact prefix filter finds every pair across components that could still reach the
+   threshold: shingles are ordered by their frequency among these documents (rare first), two similar sets share a
+   shingle near the front of both, and that shingle's places bound their intersection. Documents of a component
+   count as one until a bound lets a pair of components through, so groups of copies are never expanded into pairs.
 
 Null and empty texts have no set: they are linked with nothing. Rows with a null or repeated ``doc_id`` count like
 others; a component is named by its smallest id (null if it has none).
@@ -26,11 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockweave.llm.frames import fresh, release
 from stockweave.session import cut_lineage
 
 HASHES, ROWS = 128, 4
 SIGNATURE_SLACK = 0.2
 MEMBERS_PER_SALT = 256
+SKETCH_BITS = 18
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _MULTIPLY = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -108,24 +111,21 @@ def signatures_agree(a: Column, b: Column, least: float) -> Column:
     return F.pandas_udf(check, "boolean")(a, b)
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets reach the threshold.
+def confirmed(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose full sets reach the threshold. ``sets``: ``id, n, brief, text`` of all their ends.
 
     Signatures first; then the text of ``a`` and the texts of its partners are streamed past each other, dealt over
     salts of about ``MEMBERS_PER_SALT`` partners, so a class with very many partners is spread over tasks.
     """
-    near = pairs.join(classes.select(F.col("id").alias("a"), F.col("brief").alias("_sa"), F.col("n").alias("_na")), "a")
-    near = near.join(classes.select(F.col("id").alias("b"), F.col("brief").alias("_sb"), F.col("n").alias("_nb")), "b")
+    near = pairs.join(sets.select(F.col("id").alias("a"), F.col("brief").alias("_sa"), F.col("n").alias("_na")), "a")
+    near = near.join(sets.select(F.col("id").alias("b"), F.col("brief").alias("_sb"), F.col("n").alias("_nb")), "b")
     # A union is at least the larger set and an intersection at most the smaller one.
     near = near.where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb"))
     near = cut_lineage(near.where(signatures_agree(F.col("_sa"), F.col("_sb"), percent / 100 - SIGNATURE_SLACK)).select("a", "b"))
     salts = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_SALT).cast("int").alias("salts"))
     members = near.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id"))
     leaders = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("id"))
-    wanted = leaders.unionByName(members)
-    wanted = wanted.join(classes.select("id", "doc_id"), "id")
-    named = texts.select(F.col("doc_id").alias("_doc"), "text")
-    dealt = wanted.join(named, F.col("doc_id").eqNullSafe(F.col("_doc"))).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+    dealt = leaders.unionByName(members).join(sets.select("id", "text"), "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, leader = None, None
@@ -133,8 +133,6 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
             found = []
             for a, salt, role, other, text in zip(frame["a"], frame["salt"], frame["role"], frame["id"], frame["text"]):
                 own = shingle_set(text, size)
-                if node_of(own) != bytes(other):
-                    continue  # another row of the same doc_id
                 if role == 0:
                     at, leader = (bytes(a), salt), own
                 elif at == (bytes(a), salt):
@@ -143,7 +141,62 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
                         found.append((a, other))
             yield pd.DataFrame(found, columns=["a", "b"])
 
-    return dealt.select("a", "salt", "role", "id", "text").mapInPandas(compare, "a binary, b binary").distinct()
+    return dealt.select("a", "salt", "role", "id", "text").mapInPandas(compare, "a binary, b binary")
+
+
+def frequencies(sets: DataFrame, size: int) -> np.ndarray:
+    """How many documents hold a shingle, by ``SKETCH_BITS`` of its hash: a table of bounded size.
+
+    It only orders shingles; any order gives the same result, a telling one prunes more.
+    """
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            slots = [shingle_set(t, size) >> np.uint64(64 - SKETCH_BITS) for t in frame["text"]]
+            slot, n = np.unique(np.concatenate(slots) if slots else np.empty(0, np.uint64), return_counts=True)
+            yield pd.DataFrame({"slot": slot.astype(np.int32), "n": n.astype(np.int64)})
+
+    table = sets.select("text").mapInPandas(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros(1 << SKETCH_BITS, np.int64)
+    found[table["slot"].to_numpy()] = table["n"].to_numpy()
+    return found
+
+
+def fronts(sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """``id, n, token, left``: every shingle near the front of a set, with the number of shingles from it on.
+
+    A set as long or longer shares one of the first ``n - percent * n / 100`` shingles with each similar set.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(frequencies(sets, size))
+
+    def front(texts: pd.Series) -> pd.Series:
+        table, out = shared.value, []
+        for t in texts:
+            own = shingle_set(t, size)
+            ranked = own[np.lexsort((own, table[own >> np.uint64(64 - SKETCH_BITS)]))]
+            keep = len(own) - -(-percent * len(own) // 100) + 1
+            out.append([{"token": t, "left": len(own) - i} for i, t in enumerate(ranked[:keep].view(np.int64).tolist())])
+        return pd.Series(out)
+
+    made = F.explode(F.pandas_udf(front, "array<struct<token:long,left:int>>")("text")).alias("f")
+    return sets.select("id", "n", "c", made).select("id", "n", "c", "f.token", "f.left")
+
+
+def open_pairs(sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs ``a, b`` across components ``c`` of ``sets`` that the prefix filter cannot rule out."""
+    probe = cut_lineage(fronts(sets, size, percent))
+    enough = lambda left_a, left_b, sizes: (100 + percent) * F.least(left_a, left_b) >= percent * sizes
+    index = probe.where((100 + percent) * F.col("left") >= 2 * percent * F.col("n"))  # the shorter set's front is shorter still
+
+    def parts(rows: DataFrame, mark: str) -> DataFrame:
+        return rows.groupBy("token", F.col("c").alias(f"c{mark}")).agg(F.max("left").alias(f"left{mark}"), F.min("n").alias(f"n{mark}"))
+
+    met = parts(index, "i").join(parts(probe, "p"), "token").where(F.col("ci") != F.col("cp"))
+    met = met.where(enough(F.col("lefti"), F.col("leftp"), F.col("ni") + F.col("np"))).select("token", "ci", "cp")
+    short = met.join(index.select("token", F.col("c").alias("ci"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("left").alias("lx")), ["token", "ci"])
+    both = short.join(probe.select("token", F.col("c").alias("cp"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("left").alias("ly")), ["token", "cp"])
+    fit = (F.col("nx") <= F.col("ny")) & (100 * F.col("nx") >= percent * F.col("ny")) & enough(F.col("lx"), F.col("ly"), F.col("nx") + F.col("ny"))
+    return both.where(fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -171,6 +224,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if not before["n"]:
             break
         pairs = cut_lineage(star(star(pairs, True), False))
+        release(pairs.sparkSession)
         after = pairs.agg(F.count(F.lit(1)).alias("n"), sign.alias("s")).first()
         if after == before:
             break
@@ -184,30 +238,38 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 def links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links ``a, b`` that connect whatever comparing every pair of every bucket would connect."""
     members = buckets(classes)
-    least = members.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = cut_lineage(members.join(least.select("bucket", "a"), "bucket").select("bucket", "id", "a"))
-    tested = cut_lineage(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    known = cut_lineage(confirmed(tested, classes, texts, size, percent))
-    while True:
-        placed = shared.join(components(known), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-        parts = placed.groupBy("bucket", "c").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
-        mixed = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket")
-        placed, parts = cut_lineage(placed.join(mixed, "bucket")), cut_lineage(parts.join(mixed, "bucket"))
-        others = parts.select("bucket", F.col("c").alias("oc"), "first")
-        found = placed.join(others, "bucket").where("c <> oc").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"))
-        fresh_pairs = cut_lineage(found.distinct().join(tested, ["a", "b"], "left_anti"))
-        if fresh_pairs.isEmpty():
-            large = parts.where("size > 1").select("bucket", "c")
-            facing = large.join(large.withColumnRenamed("c", "oc"), "bucket").where("c < oc")
-            left = facing.join(placed.withColumnRenamed("id", "x"), ["bucket", "c"])
-            both = left.join(placed.select("bucket", F.col("c").alias("oc"), F.col("id").alias("y")), ["bucket", "oc"])
-            found = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            fresh_pairs = cut_lineage(found.join(tested, ["a", "b"], "left_anti"))
-            if fresh_pairs.isEmpty():
-                return known
-        news = cut_lineage(confirmed(fresh_pairs, classes, texts, size, percent))
-        known = cut_lineage(known.unionByName(news))
-        tested = cut_lineage(tested.unionByName(fresh_pairs))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    held = cut_lineage(members.join(sizes, "bucket"))
+    # The leader of a bucket is its member that meets most others anywhere: of a family of copies, the least edited one.
+    central = held.groupBy("id").agg(F.sum("size").alias("weight"))
+    leads = held.join(central, "id").groupBy("bucket").agg(F.max(F.struct("weight", "id"))["id"].alias("a"))
+    shared = cut_lineage(held.join(leads, "bucket").select("bucket", "id", "a"))
+    release(shared.sparkSession)
+    sets = cut_lineage(texts_of(classes.join(shared.select("id").distinct(), "id"), texts, size))
+    star = cut_lineage(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    known = cut_lineage(confirmed(star, sets, size, percent))
+    release(known.sparkSession)
+    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    placed = shared.join(components(known), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
+    pending = placed.join(mixed, "bucket", "left_semi").select("id", "c").distinct()
+    open_sets = cut_lineage(sets.join(pending, "id"))
+    left = cut_lineage(open_pairs(open_sets, size, percent).join(tested, ["a", "b"], "left_anti"))
+    release(left.sparkSession)
+    return cut_lineage(known.unionByName(confirmed(left, sets, size, percent)))
+
+
+def texts_of(classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``id, n, brief, text``: one text per class, found through the class's ``doc_id``."""
+    named = texts.select(F.col("doc_id").alias("_doc"), "text")
+    joined = classes.select("id", "n", "brief", "doc_id").join(named, F.col("doc_id").eqNullSafe(F.col("_doc")))
+
+    def right(ids: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([node_of(shingle_set(t, size)) == bytes(i) for i, t in zip(ids, found)], dtype=bool)
+
+    # A doc_id may name several rows with other texts; equal texts of one class count once.
+    own = joined.where(F.pandas_udf(right, "boolean")("id", "text"))
+    return own.groupBy("id").agg(F.first("n").alias("n"), F.first("brief").alias("brief"), F.min("text").alias("text"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,6 +277,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     sketched = cut_lineage(sketch(docs, size, key, text))
     grouped = sketched.where("n > 0").groupBy(F.col("node").alias("id"))
     classes = cut_lineage(grouped.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("brief").alias("brief")))
+    release(docs.sparkSession)
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     owner = cut_lineage(components(links(classes, texts, size, percent)))
     placed = classes.select("id", "doc_id").join(owner, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("c"))
@@ -231,5 +294,6 @@ def drop_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     Rows are dropped by ``doc_id``; of rows that are equal in it and belong to the same group, all stay.
     """
     found = near_duplicates(docs, size, percent, key, text)
-    gone = found.where("n_shingles > 0 and not doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = found.where("n_shingles > 0 and not doc_id <=> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(key).eqNullSafe(F.col(name)), "left_anti")

@@ -15,6 +15,8 @@ gives a space, as the format demands). Ids are packed as little-endian unsigned
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 NORMAL, BYTE = 1, 6  # piece types of the file format
 UNKNOWN, START, NONE = -2, -1, -3
-BATCH_CHARS = 400_000
-CACHE_ENTRIES = 300_000
+BATCH_CHARS = 120_000
+CACHE_ENTRIES = 120_000
 PAIR_SLOTS = 1 << 20
 NEVER = np.int64(1 << 40)
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -146,23 +148,56 @@ class PieceEncoder:
         self.old: dict[str, bytes] = {}
         self.pair_key = np.full(PAIR_SLOTS, -1, np.int64)
         self.pair_good = np.zeros(PAIR_SLOTS, bool)
+        self.joined = {a + b for name in names for a, b in zip(name, name[1:])}
+        single = {name: i for name, i in zip(names, model.searchable) if len(name) == 1}
+        self.tails = {c: np.array([single[c]], "<u4").tobytes() for c in ",." if c in single}
 
     # -- index, search, relax ---------------------------------------------------------------------------------
 
-    def suffix_order(self, codes: np.ndarray) -> np.ndarray:
-        """Suffixes in the order of their first ``longest`` characters, by doubling."""
-        rank, width = np.unique(codes, return_inverse=True)[1].astype(np.int64), 1
-        while width < self.longest:
+    def suffix_order(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+        """Suffixes in the order of their first ``longest`` characters.
+
+        As many characters as fit into one number are compared at once; doubling does the rest. Returned besides: the
+        sorted numbers, the character table behind them, its bits per character and the characters per number.
+        """
+
+        def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            order = np.argsort(keys)
+            placed = keys[order]
+            rank = np.empty_like(keys)
+            rank[order] = np.cumsum(np.diff(placed, prepend=placed[:1]) != 0)
+            return order, rank, placed
+
+        present = np.zeros(int(max(codes.max(), self.chars.max())) + 2, bool)
+        present[codes + 1] = True
+        table = np.where(present, np.cumsum(present), 0)  # 0: a character that does not occur
+        bits = int(present.sum() + 1).bit_length()
+        width = max(1, min(self.longest, 62 // bits))
+        dense = np.concatenate([table[codes + 1], np.zeros(width, np.int64)])
+        keys = np.zeros(len(codes), np.int64)
+        for k in range(width):
+            keys = (keys << bits) | dense[k : k + len(codes)]
+        order, rank, placed = ranked(keys)
+        reach = width
+        while reach < self.longest:
             after = np.zeros_like(rank)
-            after[:-width] = rank[width:] + 1
-            rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1].astype(np.int64)
-            width *= 2
-        return np.argsort(rank, kind="stable")
+            after[:-reach] = rank[reach:] + 1
+            order, rank, _ = ranked(rank * (len(rank) + 1) + after)
+            reach *= 2
+        return order, placed, table, bits, width
 
-    def ranges(self, codes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ranges(self, codes: np.ndarray, order: np.ndarray, placed: np.ndarray, table: np.ndarray, bits: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         """First and last-but-one place in ``order`` of the suffixes that begin with each piece, by binary search."""
         padded = np.concatenate([codes, np.full(self.longest, -1, np.int64)])
-        low, high = np.zeros(len(self.ids), np.int64), np.full(len(self.ids), len(order), np.int64)
+        inside = np.arange(self.longest)[None, :] < self.lengths[:, None]
+        dense = np.where(inside, table[self.chars + 1], 0)
+        known = ((dense > 0) | ~inside).all(axis=1)
+        least, most = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), np.int64)
+        for k in range(width):
+            least = (least << bits) | dense[:, k]
+            most = (most << bits) | np.where(inside[:, k], dense[:, k], (1 << bits) - 1)
+        low = np.searchsorted(placed, least, side="left")
+        high = np.where(known, np.searchsorted(placed, most, side="right"), low)
 
         def search(rows: np.ndarray, depth: int, wanted: np.ndarray) -> np.ndarray:
             lo, hi = low[rows], high[rows]
@@ -172,7 +207,7 @@ class PieceEncoder:
                 lo, hi = np.where(less, mid + 1, lo), np.where(less | (lo >= hi), hi, mid)
             return lo
 
-        for depth in range(self.longest):
+        for depth in range(width, self.longest):  # pieces longer than a number go on character by character
             rows = np.flatnonzero((self.lengths > depth) & (low < high))
             if not len(rows):
                 break
@@ -205,8 +240,8 @@ class PieceEncoder:
         codes = np.full(len(own) + len(units), -1, np.int64)  # -1 ends every unit
         codes[np.arange(len(own)) + unit] = own
         begin = np.cumsum(sizes + 1) - sizes - 1
-        order = self.suffix_order(codes)
-        low, high = self.ranges(codes, order)
+        order, *numbers = self.suffix_order(codes)
+        low, high = self.ranges(codes, order, *numbers)
         count = np.maximum(high - low, 0)
         which = np.repeat(np.arange(len(self.ids)), count)
         place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
@@ -219,7 +254,8 @@ class PieceEncoder:
         start, token, end = np.concatenate([start, lone]), np.concatenate([token, np.full(len(lone), UNKNOWN)]), np.concatenate([end, lone + 1])
         owner = np.repeat(np.arange(len(units)), sizes + 1)[start]
         depth = end - begin[owner]
-        ranked = np.argsort(depth, kind="stable")  # edges by the position at which they end
+        small = depth.astype(np.int16) if sizes.max() < 32_000 else depth
+        ranked = np.argsort(small, kind="stable")  # edges by the position at which they end
         start, token, end, depth = start[ranked], token[ranked], end[ranked], depth[ranked]
         last, back = np.full(len(codes) + 1, NONE, np.int64), np.full(len(codes) + 1, -1, np.int64)
         last[begin] = START
@@ -232,19 +268,18 @@ class PieceEncoder:
         return self.trace(units, begin, begin + sizes, last, back, bare)
 
     def trace(self, units: list[str], begin: np.ndarray, stop: np.ndarray, last: np.ndarray, back: np.ndarray, bare: np.ndarray) -> list[bytes]:
-        at, live, seen = stop.copy(), np.arange(len(units)), []
+        at, live, ends = stop.copy(), np.arange(len(units)), np.zeros(len(last), bool)
         if (last[stop] == NONE).any():
             raise ValueError("the model cannot encode a unit")
         while len(live):
-            seen.append((live, last[at[live]], at[live]))
+            ends[at[live]] = True
             at[live] = back[at[live]]
             live = live[at[live] > begin[live]]
-        who, what, where = (np.concatenate(x) for x in zip(*seen))
-        ranked = np.lexsort((where, who))
-        who, what, where = who[ranked], what[ranked], where[ranked]
-        bounds = np.searchsorted(who, np.arange(len(units) + 1))
+        where = np.flatnonzero(ends)  # units lie one behind the other
+        what = last[where]
+        bounds = np.append(np.searchsorted(where, begin), len(where))
         packed = np.maximum(what, 0).astype("<u4")
-        odd = set(who[what == UNKNOWN].tolist())
+        odd = set((np.searchsorted(bounds, np.flatnonzero(what == UNKNOWN), side="right") - 1).tolist())
         out = []
         for i, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
             if i in odd:
@@ -258,30 +293,54 @@ class PieceEncoder:
 
     # -- texts ------------------------------------------------------------------------------------------------
 
-    def learn(self, units: set[str]) -> None:
-        """Encode unseen units, short ones together and long ones together, in blocks of bounded size."""
-        todo = sorted((u for u in units if u not in self.young), key=lambda u: (len(u), u))
+    def learn(self, words: set[str]) -> None:
+        """Put the ids of words into the young cache; long words are relaxed together and short ones together.
+
+        A word is the text behind a mark; a key that begins with a mark is itself the unit. A final comma or full stop that
+        no piece holds behind another character is an edge of its own, so only the stem is looked up.
+        """
+        need, tailed = set(), []
+        for word in words:
+            if word in self.old:
+                self.young[word] = self.old[word]
+            elif word[-1:] in self.tails and len(word) > 1 and word[-2:] not in self.joined and word[-2] != MARK:
+                tailed.append(word)
+                need.add(word[:-1])
+            else:
+                need.add(word)
         block, held = [], 0
-        for u in todo:
-            if u in self.old:
-                self.young[u] = self.old[u]
+        for word in [*sorted(need, key=len), None]:
+            if word is not None and word in self.young:
                 continue
-            block.append(u)
-            held += len(u) + 1
-            if held >= BATCH_CHARS:
-                self.young.update(zip(block, self.relax(block)))
+            if word is not None and word in self.old:
+                self.young[word] = self.old[word]
+                continue
+            if block and (word is None or held >= BATCH_CHARS):
+                self.young.update(zip(block, self.relax([w if w[:1] == MARK else MARK + w for w in block])))
                 block, held = [], 0
-        if block:
-            self.young.update(zip(block, self.relax(block)))
+            if word is not None:
+                block.append(word)
+                held += len(word) + 2
+        for word in tailed:
+            self.young[word] = self.young[word[:-1]] + self.tails[word[-1]]
+
+    def words(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if text[0] != " " and text[-1] != " " and "  " not in text and MARK not in text:
+            return text.split(" ")
+        units = _UNIT.findall(MARK + text.replace(" ", MARK))
+        return [u if u[1:2] == MARK else u[1:] for u in units]
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes | None]:
         out: list[bytes | None] = []
-        for at in range(0, len(texts), 2000):
-            group = [_UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[at : at + 2000]]
+        for at in range(0, len(texts), 500):
+            group = list(map(self.words, texts[at : at + 500]))
+            every = set().union(*group)
             if len(self.young) > CACHE_ENTRIES:
                 self.old, self.young = self.young, {}
-            self.learn(set().union(*group))
-            out += [b"".join(map(self.young.__getitem__, units)) for units in group]
+            self.learn(every.difference(self.young))
+            out += [b"".join(map(self.young.__getitem__, words)) for words in group]
         return [None if t is None else ids for t, ids in zip(texts, out)]
 
     def decode(self, packed: bytes | None) -> str | None:
@@ -302,8 +361,40 @@ def encoder(path: str) -> PieceEncoder:
 
 
 def encode(text: Column, path: str) -> Column:
-    """Packed ids of each whole text; null for null."""
-    return F.pandas_udf(lambda texts: pd.Series(encoder(path).encode_batch(texts.tolist()), dtype=object), "binary")(text)
+    """Packed ids of each whole text; null for null. A task's words are forgotten at its end."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = encoder(path)
+        try:
+            for texts in batches:
+                yield pd.Series(own.encode_batch(texts.tolist()), dtype=object)
+        finally:
+            own.young, own.old = {}, {}
+
+    return F.pandas_udf(run, "binary")(text)
+
+
+def digest(text: Column, path: str) -> Column:
+    """Struct ``n_tokens, ids_crc32, round_trip`` of each whole text, encoded and decoded again in one task.
+
+    The ids stay in the task; null has no ids and comes back as null.
+    """
+
+    def of(own: PieceEncoder, texts: list[str | None]) -> Iterator[tuple[int, int, bool]]:
+        for at in range(0, len(texts), 500):
+            part = texts[at : at + 500]
+            for t, ids in zip(part, own.encode_batch(part)):
+                yield len(ids or b"") // 4, zlib.crc32(ids or b""), own.decode(ids) == t
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = encoder(path)
+        try:
+            for texts in batches:
+                yield pd.DataFrame(list(of(own, texts.tolist())), columns=["n_tokens", "ids_crc32", "round_trip"])
+        finally:
+            own.young, own.old = {}, {}
+
+    return F.pandas_udf(run, "n_tokens long, ids_crc32 long, round_trip boolean")(text)
 
 
 def decode(ids: Column, path: str) -> Column:

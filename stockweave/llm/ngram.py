@@ -6,8 +6,9 @@ context it scores ``ln(max(c(word), 1/2) / N)``. Counts leave out the document b
 of the corpus. Word scores are rounded to millionths, so a document's sum does not depend on the order of addition.
 
 The documents are dealt into blocks. Each block sends its distinct n-grams with their counts to the count table, which
-is partitioned by n-gram hash; that joins every block's n-grams with the totals and returns those that other blocks hold
-too. The block then sums the scores per document. A frequent n-gram is one entry per block, so no key is hot, and the
+is partitioned by n-gram hash; that joins every block's n-grams with the totals and returns how often other blocks hold
+each, in the order in which the block sent them: the block makes its sorted n-grams again from its text, so no key travels
+back. The block then sums the scores per document. A frequent n-gram is one entry per block, so no key is hot, and the
 text is shuffled once for both passes.
 
 Null and empty texts have no words and the score 0. Rows that repeat a ``doc_id`` are documents of their own.
@@ -21,7 +22,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 12 << 20
@@ -73,24 +75,39 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def score_block(texts: list[str | None], order: int, shared: np.ndarray, totals: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: words, words scored without context, score in millionths. ``shared``: sorted keys held elsewhere too."""
+def pack_planes(values: np.ndarray) -> bytes:
+    """Byte planes of whole numbers, compressed: small numbers leave their upper planes empty."""
+    return zstandard.ZstdCompressor(1).compress(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack_planes(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
+
+
+def score_block(texts: list[str | None], order: int, elsewhere: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: words, words scored without context, score in millionths.
+
+    ``elsewhere``: how often other blocks hold each of the block's sorted n-grams (``block_counts``).
+    """
     sizes, keys, whole = gram_keys(texts, order)
     n = int(sizes.sum())
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    others = []  # per order: occurrences in other documents
+    held = []  # one order at a time: the places of all orders together would take thrice the memory
     for key, ok in zip(keys, whole):
-        distinct, at, count = np.unique(key, return_inverse=True, return_counts=True)
-        if not ok.all():
-            count = np.bincount(at[ok], minlength=len(distinct))
-        if len(shared):
-            spot = np.minimum(np.searchsorted(shared, distinct), len(shared) - 1)
-            hit = shared[spot] == distinct
-            count = np.where(hit, totals[spot], count)
-        _, own_at, own = np.unique(_mix(key, doc.astype(np.uint64)), return_inverse=True, return_counts=True)
-        if not ok.all():
-            own = np.bincount(own_at[ok], minlength=len(own))
-        others.append(np.where(ok, count[at] - own[own_at], 0))
+        distinct, at, count = np.unique(key[ok], return_inverse=True, return_counts=True)
+        held.append((distinct, at.astype(np.int32), count))
+    every = np.unique(np.concatenate([distinct for distinct, _, _ in held]))
+    counts = [count + elsewhere[np.searchsorted(every, distinct)] for distinct, _, count in held]
+    places = [at for _, at, _ in held]
+    del held, every, elsewhere
+    others = []  # per order: occurrences in other documents
+    for key, ok, at, count in zip(keys, whole, places, counts):
+        _, own_at, own = np.unique(_mix(key[ok], doc[ok].astype(np.uint64)), return_inverse=True, return_counts=True)
+        seen = np.zeros(n, np.int64)
+        seen[ok] = count[at] - own[own_at]
+        others.append(seen)
+    del keys, places, counts
     # The unigram comes first; every longer context that the other documents continue so replaces it.
     value = np.log(np.maximum(others[0], 0.5) / max(1, words)) + (order - 1) * math.log(BACKOFF)
     bare = np.ones(n, bool)
@@ -115,44 +132,40 @@ def score_documents(docs: DataFrame, order: int = 2, key: str = "doc_id", text:
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     # A deal by range of the hash keeps one block per group; the id, the length and the start decide.
     block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int")
-    dealt = rows.withColumn("block", block).repartition(blocks, "block")
+    dealt = rows.select("doc_id", _packed(F.col("text")).alias("packed"), block.alias("block")).repartition(blocks, "block")
     slice_size = (1 << 64) // parts + 1
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = block_counts(group["text"].tolist(), order)
+        keys, counts = block_counts(_texts(group["packed"]), order)
+        compress = zstandard.ZstdCompressor(1).compress
         cuts = np.searchsorted(keys, np.array([p * slice_size for p in range(1, parts)], np.uint64))
         out = []
         for p, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts))):
             if len(k):
-                out.append((p, int(group["block"].iloc[0]), pack_sorted(k), c.astype("<u4").tobytes()))
+                out.append((p, int(group["block"].iloc[0]), compress(pack_sorted(k)), pack_planes(c)))
         return pd.DataFrame(out, columns=["part", "block", "keys", "counts"])
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
-        keys = [unpack_sorted(k) for k in group["keys"]]
-        counts = [np.frombuffer(c, "<u4") for c in group["counts"]]
+        expand = zstandard.ZstdDecompressor().decompress
+        keys = [unpack_sorted(expand(k)) for k in group["keys"]]
+        counts = [unpack_planes(c) for c in group["counts"]]
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(at, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
-        sums = sums[at]
+        sums = np.bincount(at, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)[at]
         out, start = [], 0
-        for block, k, c in zip(group["block"], keys, counts):
-            own = sums[start : start + len(k)]
-            start += len(k)
-            elsewhere = own > c
-            if elsewhere.any():
-                out.append((block, pack_sorted(k[elsewhere]), own[elsewhere].astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()))
-        return pd.DataFrame(out, columns=["block", "keys", "totals"])
+        for part, block, c in zip(group["part"], group["block"], counts):
+            out.append((block, part, pack_planes(sums[start : start + len(c)] - c)))
+            start += len(c)
+        return pd.DataFrame(out, columns=["block", "part", "elsewhere"])
 
     counted = dealt.groupBy("block").applyInPandas(count, "part int, block int, keys binary, counts binary")
-    totals = counted.groupBy("part").applyInPandas(total, "block int, keys binary, totals binary")
+    totals = counted.groupBy("part").applyInPandas(total, "block int, part int, elsewhere binary")
     words = docs.select(F.col(text).alias("t")).mapInPandas(_word_counts, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
 
     def score(group: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        keys = [unpack_sorted(k) for k in table["keys"]]
-        sums = [np.ascontiguousarray(np.frombuffer(t, np.uint8).reshape(8, -1).T).view("<u8").ravel() for t in table["totals"]]
-        shared = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        value = np.concatenate(sums).astype(np.int64) if sums else np.empty(0, np.int64)
-        ranked = np.argsort(shared, kind="stable")
-        n, bare, micro = score_block(group["text"].tolist(), order, shared[ranked], value[ranked], words)
+        sent = [unpack_planes(e) for e in table.sort_values("part")["elsewhere"]]  # parts are ranges of the sorted keys
+        elsewhere = np.concatenate(sent) if sent else np.empty(0, np.int64)
+        del sent
+        n, bare, micro = score_block(_texts(group["packed"]), order, elsewhere, words)
         return pd.DataFrame({"doc_id": group["doc_id"], "n_words": n, "n_without_context": bare, "score_micro": micro})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -160,6 +173,21 @@ def score_documents(docs: DataFrame, order: int = 2, key: str = "doc_id", text:
     return both.applyInPandas(score, f"doc_id {kind}, n_words long, n_without_context long, score_micro long")
 
 
+def _packed(text: Column) -> Column:
+    """Every text compressed on its own: less than the shuffle's compression leaves of it."""
+
+    def pack(texts: pd.Series) -> pd.Series:
+        compress = zstandard.ZstdCompressor(1).compress
+        return pd.Series([compress(t.encode()) if t else None for t in texts], dtype=object)
+
+    return F.pandas_udf(pack, "binary")(text)
+
+
+def _texts(packed: pd.Series) -> list[str]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return [expand(p).decode() if p is not None else "" for p in packed]
+
+
 def _word_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         yield pd.DataFrame({"n": [sum(len((t or "").encode().split()) for t in frame["t"])]})

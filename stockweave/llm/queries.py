@@ -107,9 +107,44 @@ FROM d LEFT JOIN t USING (doc_id)
 """
 
 
+TRIGRAM_SCORE_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'),
+                                                         '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+b AS (SELECT *, lag(w) OVER p AS v, lag(w, 2) OVER p AS u FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+c1 AS (SELECT w, count(*) AS n FROM w GROUP BY w),
+d1 AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY doc_id, w),
+c2 AS (SELECT v, w, count(*) AS n FROM b WHERE v IS NOT NULL GROUP BY v, w),
+d2 AS (SELECT doc_id, v, w, count(*) AS n FROM b WHERE v IS NOT NULL GROUP BY doc_id, v, w),
+c3 AS (SELECT u, v, w, count(*) AS n FROM b WHERE u IS NOT NULL GROUP BY u, v, w),
+d3 AS (SELECT doc_id, u, v, w, count(*) AS n FROM b WHERE u IS NOT NULL GROUP BY doc_id, u, v, w),
+s AS (SELECT b.doc_id, coalesce(c3.n - d3.n, 0) AS n3, coalesce(c2.n - d2.n, 0) AS n2, c1.n - d1.n AS n1, cv.n - dv.n AS nv, cu.n - du.n AS nu
+      FROM b JOIN c1 ON c1.w = b.w JOIN d1 ON d1.doc_id = b.doc_id AND d1.w = b.w
+      LEFT JOIN c2 ON c2.v = b.v AND c2.w = b.w LEFT JOIN d2 ON d2.doc_id = b.doc_id AND d2.v = b.v AND d2.w = b.w
+      LEFT JOIN c3 ON c3.u = b.u AND c3.v = b.v AND c3.w = b.w
+      LEFT JOIN d3 ON d3.doc_id = b.doc_id AND d3.u = b.u AND d3.v = b.v AND d3.w = b.w
+      LEFT JOIN c1 cv ON cv.w = b.v LEFT JOIN d1 dv ON dv.doc_id = b.doc_id AND dv.w = b.v
+      LEFT JOIN c2 cu ON cu.v = b.u AND cu.w = b.v LEFT JOIN d2 du ON du.doc_id = b.doc_id AND du.v = b.u AND du.w = b.v),
+t AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE n3 <= 0 AND n2 <= 0) AS n_without_context,
+             sum(CAST(round(1e6 * CASE WHEN n3 > 0 THEN ln(n3 / nu)
+                                      WHEN n2 > 0 THEN ln(n2 / nv) + ln(0.4)
+                                      ELSE ln(greatest(n1, 0.5) / (SELECT count(*) FROM w)) + 2 * ln(0.4) END) AS BIGINT)) AS score
+      FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_without_context, 0) AS n_without_context,
+       CAST(coalesce(score, 0) AS BIGINT) AS score_micro
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
+@query("op7_stupid_backoff_trigrams", TRIGRAM_SCORE_SQL)
+def op7_stupid_backoff_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by the counts of all other documents, with contexts of two words and of one."""
+    return ngram.score_documents(table(spark, sf_dir, "documents"), order=3)
+
+
 @query("op7_stupid_backoff", SCORE_SQL)
 def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's score by the counts of all other documents."""
+    """The same with contexts of one word only."""
     return ngram.score_documents(table(spark, sf_dir, "documents"), order=2)
 
 

@@ -51,6 +51,15 @@ def test_trigrams_over_many_blocks_and_parts(spark, docs, monkeypatch):
     assert [got[i] for i in range(len(texts))] == plain(texts, 3)
 
 
+def test_trigram_query_equals_sql_and_comes_first(spark):
+    assert next(name for name in QUERIES if name.startswith("op7_")) == "op7_stupid_backoff_trigrams"
+    duckdb.sql(f"create or replace view documents as select * from '{SF}/documents.parquet'")
+    want = sorted(duckdb.sql(ORACLES["op7_stupid_backoff_trigrams"]).fetchall())
+    frame = QUERIES["op7_stupid_backoff_trigrams"](spark, SF)
+    assert sorted(map(tuple, frame.select("doc_id", "n_words", "n_without_context", "score_micro").collect())) == want
+    assert want != sorted(duckdb.sql(ORACLES["op7_stupid_backoff"]).fetchall())
+
+
 def test_packing_round_trip():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
     assert np.array_equal(N.unpack_sorted(N.pack_sorted(keys)), keys) and len(N.unpack_sorted(N.pack_sorted(keys[:0]))) == 0

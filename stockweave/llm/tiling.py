@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are compared as words: lower-cased, ASCII punctuation and digits as separators. Windows of ``LEAST`` words that a
+Texts are compared as words: lower-cased runs of letters and digits, ASCII punctuation as separators. Windows of ``LEAST`` words that a
 document shares with a benchmark item are seeds; for every item with a seed, running Karp-Rabin finds the longest
 unmarked matches, marks them on both sides and goes on with shorter ones. An item whose words are covered to
 ``THRESHOLD`` by such tiles contaminates the document, also when its parts come in another order.
@@ -9,13 +9,15 @@ The benchmark is the query set. It is taken in blocks of about ``BLOCK_WORDS`` w
 to the tasks and met by every document in one pass without a shuffle. Documents are compared one by one, so a passage
 that many documents hold is no hot key.
 
-Items of fewer than ``LEAST`` words must be found whole; items without words are ignored, as are null texts.
+Items of fewer than ``LEAST`` words, also of none, must be found whole, with every number and symbol: as their tokens in
+one run. Numbers with points or commas inside are one token, every other symbol is one. Null and blank items are ignored.
 Repeated items are reported each; empty and null documents are clean.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 from itertools import repeat
 
@@ -29,7 +31,9 @@ from stockweave.llm.frames import fresh
 LEAST = 5
 THRESHOLD = 0.8
 BLOCK_WORDS = 500_000
-_SEPARATORS = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
+_SEPARATORS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
+_TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+(?:(?<=[0-9])[.,](?=[0-9])[a-z0-9\x80-\xff]+)*|[^\s]")
+FRONT = 4
 _BASE, _PRIME = 1_000_003, (1 << 61) - 1
 HITS = "array<struct<item:long,words:int,covered:int,tiles:int>>"
 
@@ -38,6 +42,11 @@ def word_list(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_SEPARATORS).split()
 
 
+def token_list(text: str | None) -> list[bytes]:
+    """Words, numbers and single symbols in order; only white space is left out."""
+    return _TOKEN.findall((text or "").lower().encode())
+
+
 def rolling(words: list[int]) -> list[int]:
     """Karp-Rabin prefix values: the value of any window follows from two of them."""
     values, h = [0], 0
@@ -105,26 +114,44 @@ class Index:
         self.words: dict[bytes, int] = {}
         self.items: list[tuple[int | None, list[int]]] = []
         self.seeds: dict[int, dict[tuple[int, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.fronts: dict[int, dict[tuple[bytes, ...], list[tuple[int, list[bytes]]]]] = defaultdict(lambda: defaultdict(list))
         for name, text in items:
-            ids = [self.words.setdefault(w, len(self.words) + 1) for w in word_list(text)]
-            if not ids:
+            found = word_list(text)
+            at = len(self.items)
+            if len(found) < least:
+                if tokens := token_list(text):
+                    self.items.append((name, [0] * len(found)))
+                    front = tuple(tokens[:FRONT])
+                    self.fronts[len(front)][front].append((at, tokens))
                 continue
-            at, width = len(self.items), min(least, len(ids))
+            ids = [self.words.setdefault(w, len(self.words) + 1) for w in found]
             self.items.append((name, ids))
-            for q in range(len(ids) - width + 1):
-                owners = self.seeds[width][tuple(ids[q : q + width])]
+            for q in range(len(ids) - least + 1):
+                owners = self.seeds[least][tuple(ids[q : q + least])]
                 if not owners or owners[-1] != at:
                     owners.append(at)
         self.seeds = {width: dict(windows) for width, windows in self.seeds.items()}
+        self.fronts = {width: dict(starts) for width, starts in self.fronts.items()}
+
+    def whole(self, text: str | None) -> set[int]:
+        """The short items whose tokens the text holds in one run."""
+        found: set[int] = set()
+        tokens = token_list(text) if self.fronts else []
+        for width, starts in self.fronts.items():
+            for p in range(len(tokens) - width + 1):
+                for at, item in starts.get(tuple(tokens[p : p + width]), ()):
+                    if at not in found and tokens[p : p + len(item)] == item:
+                        found.add(at)
+        return found
 
     def hits(self, text: str | None) -> list[tuple[int | None, int, int, int]]:
         """``(item, words, covered words, tiles)`` of the items that contaminate a whole text."""
-        words = word_list(text)
-        if not words or not self.items:
+        if not text or not self.items:
             return []
+        words, short = word_list(text), self.whole(text)
         ids = np.fromiter(map(self.words.get, words, repeat(0)), np.int64, len(words))
         known = np.concatenate([[0], np.cumsum(ids > 0)])
-        starts: dict[int, list[int]] = defaultdict(list)
+        starts: dict[int, list[int]] = {at: [] for at in short}
         doc = None
         for width, windows in self.seeds.items():
             if len(ids) < width:
@@ -134,11 +161,14 @@ class Index:
                 doc = ids.tolist()
             for p in places.tolist():
                 for at in windows.get(tuple(doc[p : p + width]), ()):
-                    starts[at].append(p)
+                    starts.setdefault(at, []).append(p)
         out = []
         for at in sorted(starts):
             name, item = self.items[at]
-            tiles = greedy_tiles(doc, item, starts[at], min(self.least, len(item)))
+            if at in short:
+                out.append((name, len(item), len(item), 1))
+                continue
+            tiles = greedy_tiles(doc, item, starts[at], self.least)
             covered = sum(n for _, _, n in tiles)
             if covered >= self.threshold * len(item):
                 out.append((name, len(item), covered, len(tiles)))

@@ -75,3 +75,18 @@ def test_edge_cases(spark, awkward, items):
     kept = G.drop_contaminated(awkward, bench)
     assert kept.columns == awkward.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 6]
     assert G.contaminated(awkward.limit(0), bench).collect() == [] and G.contaminated(awkward, bench.limit(0)).collect() == []
+
+
+def test_numbers_and_short_items_both_ways(spark, docs, items):
+    long = "A shop sells {} apples for {} coins and {} pears for {} coins each day"
+    bench = items([(1, "12 + 7 = 19"), (2, "What is 12 * 7?"), (3, "+ - ="), (4, "big cat"), (5, long.format(3, 40, 5, 60)), (6, "3.14"), (7, " \n")])
+    texts = {
+        10: "so 12 + 7 = 19, as we know", 11: "so 12 + 7 = 190", 12: "12 + 8 = 19", 13: "12+7=19.5",
+        20: "Quiz: what is 12 * 7?", 21: "what is 12 * 8?", 22: "what is love", 23: "What is 12 + 7?",
+        30: "signs + - = here", 31: "signs + = -", 40: "one BIG cat", 41: "a cat so big", 42: "big cats", 43: "big, cat",
+        50: "x " + long.format(3, 40, 5, 60), 51: "x " + long.format(4, 50, 6, 70), 60: "pi is 3.14.", 61: "pi is 3.141", 62: "3 14", 63: "13.14",
+    }
+    got = {(r["doc_id"], r["item_id"]) for r in G.contaminated(docs(list(texts.items())), bench).collect()}
+    assert got == {(10, 1), (20, 2), (30, 3), (40, 4), (50, 5), (60, 6)}
+    kept = {r["doc_id"] for r in G.drop_contaminated(docs(list(texts.items())), bench).collect()}
+    assert kept == set(texts) - {d for d, _ in got}

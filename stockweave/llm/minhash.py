@@ -61,6 +61,10 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(sums)
 
 
+def body_of(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def node_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
@@ -76,7 +80,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n, node, sig, brief`` per row, null for an empty set.
+    """``doc_id, body, n, node, sig, brief`` per row, the last three null for an empty set.
 
     ``node`` is a 128-bit hash of the set, ``sig`` holds the minima, ``brief`` their lowest bytes.
     """
@@ -90,7 +94,7 @@ def sketch(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text")
         return pd.DataFrame(rows, columns=["n", "node", "sig", "brief"])
 
     made = F.pandas_udf(of, "n long, node binary, sig binary, brief binary")(F.col(text))
-    return docs.select(F.col(key).alias("doc_id"), made.alias("s")).select("doc_id", "s.*")
+    return docs.select(F.col(key).alias("doc_id"), made.alias("s"), body_of(F.col(text)).alias("body")).select("doc_id", "body", "s.*")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -274,6 +278,16 @@ def texts_of(classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row of ``docs``; ``component_id`` is the smallest id reachable."""
+    found = groups(docs, size, percent, key, text)
+    root = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("root"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"))
+
+
+def groups(docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+    """``doc_id, n, node, body, c, root`` per row: ``c`` names the component, ``root`` is its smallest id.
+
+    ``body`` is a 128-bit hash of the text itself; ``node``, ``c`` and ``root`` are null for an empty set.
+    """
     sketched = cut_lineage(sketch(docs, size, key, text))
     grouped = sketched.where("n > 0").groupBy(F.col("node").alias("id"))
     classes = cut_lineage(grouped.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("brief").alias("brief")))
@@ -282,18 +296,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     owner = cut_lineage(components(links(classes, texts, size, percent)))
     placed = classes.select("id", "doc_id").join(owner, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("c"))
     roots = placed.groupBy("c").agg(F.min("doc_id").alias("root"))
-    named = placed.join(roots, "c").select(F.col("id").alias("node"), "root")
-    out = sketched.select("doc_id", "n", "node").join(named, "node", "left")
-    root = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("root"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"))
+    named = placed.join(roots, "c").select(F.col("id").alias("node"), "c", "root")
+    return sketched.select("doc_id", "n", "node", "body").join(named, "node", "left").select("doc_id", "n", "node", "body", "c", "root")
 
 
 def drop_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the near-duplicates of a document with a smaller id; columns unchanged.
+    """``docs`` with one document of each group; columns unchanged.
 
-    Rows are dropped by ``doc_id``; of rows that are equal in it and belong to the same group, all stay.
+    The document of smallest id stays (a null id comes last), of several texts under that id the one whose set and then
+    text hash least. Rows are dropped by id and text, so other texts under the same id, also a null one, stay; rows that
+    repeat the staying document's id and text are that document and stay too.
     """
-    found = near_duplicates(docs, size, percent, key, text)
-    name = fresh(docs, "_gone")
-    gone = found.where("n_shingles > 0 and not doc_id <=> component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col(key).eqNullSafe(F.col(name)), "left_anti")
+    found = groups(docs, size, percent, key, text).where("node is not null").withColumn("rank", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "body"))
+    first = found.groupBy("c").agg(F.min("rank").alias("first"))
+    name, body = fresh(docs, "_gone"), fresh(docs, "_body")
+    gone = found.join(first, "c").where(~F.col("rank").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias(name), F.col("body").alias(body)).distinct()
+    return docs.join(gone, F.col(key).eqNullSafe(F.col(name)) & (body_of(F.col(text)) == F.col(body)), "left_anti")

@@ -93,3 +93,14 @@ def test_drop_duplicates_and_edge_cases(spark, docs, awkward):
     assert M.near_duplicates(awkward.limit(0)).collect() == []
     found = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in M.near_duplicates(awkward).collect()))
     assert found == [(0, 2, None), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 3, 5), (5, 3, 5), (6, 1, 6)]
+
+
+def test_clean_rows_that_share_an_id_with_a_copy_stay(spark, docs):
+    text, other = (" ".join(f"{w}{k}" for k in range(30)) for w in ("w", "v"))
+    rows = [(3, text), (None, text.upper()), (None, "a clean document without an id"), (None, other), (None, other + " end"),
+            (8, text + " more"), (8, "another clean document under id eight"), (9, "same words here"), (9, "Same WORDS here"), (9, "quite different words")]
+    kept = [(r["doc_id"], r["text"]) for r in M.drop_duplicates(docs(rows)).collect()]
+    again = [(r["doc_id"], r["text"]) for r in M.drop_duplicates(docs(rows[::-1])).collect()]
+    assert sorted(kept, key=str) == sorted(again, key=str) and len(kept) == 6
+    assert {rows[0], rows[2], rows[6], rows[9]} <= set(kept)
+    assert len({rows[3], rows[4]} & set(kept)) == 1 and len({rows[7], rows[8]} & set(kept)) == 1

@@ -82,6 +82,10 @@ TESTS = {
 
 def _needed(kind: str, text: Column, relaxed: bool) -> Column:
     """A cheap test that spares most texts the patterns."""
+    if kind == "phone":  # any run of separators may stand between two digits
+        return text.rlike("[0-9]" if relaxed else r"\+[0-9]")
+    if kind == "ip" and relaxed:
+        return text.rlike(r"[0-9](?:\.|\[\.\])[0-9]")
     if kind != "email":
         return text.rlike("[0-9].?[0-9]")
     return text.contains("@") | text.rlike(r"[(\[]at[)\]]") if relaxed else text.contains("@")

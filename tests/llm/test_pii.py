@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from stockweave.llm import pii
 
@@ -73,3 +74,17 @@ def test_edge_cases(spark, awkward):
     assert pii.find(awkward.limit(0)).collect() == []
     rows = pii.find(awkward).collect()
     assert len(rows) == 8 and all(r["spans"] == "" for r in rows)
+
+
+def test_phones_with_widely_spaced_digits(spark, docs):
+    rng = random.Random(8)
+    rows = [(0, "call +4 (9) (1) (7) (6) (1) (2) (3) (4) now"), (1, "+4  9  1  7  6  1  2  3  4"), (2, "+4  9  1"), (3, "4  9  1  7  6  1  2  3  4")]
+    rows += [(k, "+" + "".join(rng.choice("0123456789") + rng.choice(("  ", ") (", " - ", " . ")) for _ in range(rng.randrange(2, 18))) + "7") for k in range(4, 60)]
+    found = {r["doc_id"]: r for r in pii.find(docs(rows)).collect()}
+    for i, text in rows:
+        want = base(text)["phone"]
+        assert found[i]["n_phone"] == len(want), text
+        assert {f"phone:{s}:{e}" for s, e in want} <= set(found[i]["spans"].split(",")), text
+    assert found[0]["n_phone"] == found[1]["n_phone"] == 1 and found[2]["n_phone"] == found[3]["n_phone"] == 0
+    gate = spark.createDataFrame([("1[.]2[.]3[.]4",)], "text string").select(pii.proposals("ip", F.col("text")).alias("p")).first()["p"]
+    assert [(x["s"], x["e"]) for x in gate] == [(0, 13)]

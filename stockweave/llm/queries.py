@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockweave.llm import langid, linededup, minhash, ngram, pieces, pii, quality, sharding, tiling, tokens
+from stockweave.llm import langid, linededup, minhash, neighbours, ngram, pieces, pii, quality, sharding, tiling, tokens, turns, whitening
 from stockweave.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from stockweave.session import cut_lineage
 from stockweave.sources.files import scratch_path
@@ -187,3 +187,21 @@ def op10_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = tokens.write_token_files(docs, scratch_path(spark, "token-files"), vocabulary("byte_bpe_50k.json"), end_id=2)
     return tokens.read_token_files(manifest, "doc_id long, start long, n_tokens long, ids_crc32 long", tokens.ids_digest)
+
+
+@query("op11_cholesky_whitening")
+def op11_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's whitened components, with the model's explained variance and measured error."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_turn_alignment")
+def op12_turn_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of the damaged conversations and the cheapest edits that repair them."""
+    return turns.repair(turns.damage(table(spark, sf_dir, "conversations")), F.col("here"))
+
+
+@query("op13_bin_tree_neighbours")
+def op13_bin_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)

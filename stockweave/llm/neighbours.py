@@ -39,7 +39,7 @@ LEAF_ROWS = 1024
 LEAST_SAMPLED = 24
 MAX_LEAVES = 4096
 PROBES = 512
-RECALL = 0.97
+RECALL = 0.98
 ROUNDS = 12
 CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 4096
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from stockweave.operators.fingerprint import content_fingerprint, fingerprint_text, row_hash_sum
 from stockweave.schema import FieldSpec, TableSpec
 from stockweave.session import ensure_checkpoint_dir
+from stockweave.sources.versions import delete, exists, move_if_absent
 
 # Spellings that count as missing, true and false, and the number pattern.
 NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -142,18 +143,31 @@ def write_csv(df: DataFrame, path: str, decimals: dict[str, int] | None = None)
 
 
 def write_parquet_verified(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> str:
-    """Write, read back, compare fingerprints; returns the fingerprint of what was written.
+    """``write_parquet_counted`` without the number of rows."""
+    return write_parquet_counted(df, path, partition_by)[0]
 
-    The row hashes are observed while the rows are written, so the input is computed once.
+
+def write_parquet_counted(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> tuple[str, int]:
+    """Write to a staging folder, read back, compare fingerprints, and only then give it its name; fingerprint and rows.
+
+    The row hashes are observed while the rows are written, so the input is computed once. A failed check leaves nothing at ``path``.
     """
-    seen = Observation()
+    spark, seen = df.sparkSession, Observation()
+    if exists(spark, path):
+        raise IngestionError(f"{path} exists")
+    head, _, tail = path.rstrip("/").rpartition("/")
+    staging = f"{head}/_staging-{tail}-{uuid.uuid4().hex}"
     writer = df.observe(seen, F.count(F.lit(1)).alias("row_count"), row_hash_sum(df).alias("hash_sum")).write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    stored = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staging)
+    stored = spark.read.schema(df.schema).parquet(staging).select(*df.columns)
     found = stored.agg(F.count(F.lit(1)).alias("row_count"), row_hash_sum(stored).alias("hash_sum")).first()
     if (found["row_count"], found["hash_sum"]) != (seen.get["row_count"], seen.get["hash_sum"]):
+        delete(spark, staging)
         raise IngestionError(f"{path}: stored rows differ from the rows written")
-    return fingerprint_text(df, found["row_count"], found["hash_sum"])
+    if not move_if_absent(spark, staging, path):
+        delete(spark, staging)
+        raise IngestionError(f"{path} exists")
+    return fingerprint_text(df, found["row_count"], found["hash_sum"]), found["row_count"]
 
 
 def read_verified(spark: SparkSession, path: str, fingerprint: str) -> DataFrame:

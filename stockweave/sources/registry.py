@@ -1,14 +1,17 @@
-"""Dataset registry and provenance as plain tables."""
+"""Dataset registry, an append-only commit log, and provenance as plain tables."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stockweave.schema import TableSpec
-from stockweave.sources.files import read_verified, write_parquet_verified
+from stockweave.sources.files import read_verified, write_parquet_counted
+from stockweave.sources.versions import commit_file, delete, exists, put_if_absent, read_log
 
 REGISTRY_SCHEMA = (
     "seq bigint, dataset_id string, version string, schema_id string, source_type string, "
@@ -31,28 +34,54 @@ def accepted_entries(entries: DataFrame, registry: DataFrame) -> DataFrame:
     return entries.join(registry.select(*KEY), list(KEY), "left_anti")
 
 
-def append_entries(entries: DataFrame, registry_path: str) -> None:
-    """Append to the registry table; any already registered (id, version) refuses the whole batch.
+def _refuse(rows: list, what: str = "already registered") -> None:
+    if rows:
+        raise DuplicateDataset(f"{what}, for example: {[tuple(r) for r in rows]}")
+
+
+def append_entries(entries: DataFrame, registry_path: str) -> int:
+    """Append a batch in one commit and return its number; any registered (id, version) refuses the whole batch.
 
-    One writer at a time: two writers that append at once may use the same sequence number.
+    Entries are written to a folder that no reader sees until the commit file names it. The commit takes the next free number;
+    if another writer was first, only the entries committed meanwhile are compared, and the next number is tried.
+    Entries without ``seq`` get the number of their commit.
     """
-    spark = entries.sparkSession
-    registry = read_registry(spark, registry_path)
-    clash = entries.join(registry.select(*KEY), list(KEY), "left_semi").select(*KEY).take(3)
-    twice = entries.groupBy(*KEY).count().where("count > 1").select(*KEY).take(3)
-    if clash or twice:
-        raise DuplicateDataset(f"already registered, for example: {[tuple(r) for r in (*clash, *twice)]}")
-    entries.write.mode("append").parquet(registry_path)
+    spark, token = entries.sparkSession, uuid.uuid4().hex
+    folder, last = f"{registry_path}/data/commit={token}", _commits(spark, registry_path).agg(F.max("number")).first()[0] or 0
+    entries.write.parquet(folder)
+    stored = spark.read.schema(entries.schema).parquet(folder)
+    try:
+        _refuse(stored.groupBy(*KEY).count().where("count > 1").select(*KEY).take(3), "twice in one batch")
+        checked = 0
+        while True:
+            known = _committed(spark, registry_path).where(F.col("commit_number") > checked) if last else None
+            if known is not None:
+                _refuse(stored.join(known, list(KEY), "left_semi").select(*KEY).take(3))
+            checked = last
+            if put_if_absent(spark, commit_file(registry_path, last + 1), json.dumps({"number": last + 1, "commit": token})):
+                return last + 1
+            last = _commits(spark, registry_path).agg(F.max("number")).first()[0]
+    except DuplicateDataset:
+        delete(spark, folder)
+        raise
+
+
+def _commits(spark: SparkSession, registry_path: str) -> DataFrame:
+    return read_log(spark, registry_path, "number bigint, commit string")
+
+
+def _committed(spark: SparkSession, registry_path: str) -> DataFrame:
+    """Entries of all commits with ``commit_number``; folders without a commit file are not there."""
+    stored = spark.read.schema(f"{REGISTRY_SCHEMA}, commit string").parquet(f"{registry_path}/data")
+    named = _commits(spark, registry_path).withColumnRenamed("number", "commit_number")
+    return stored.join(named, "commit").withColumn("seq", F.coalesce("seq", "commit_number"))
 
 
 def read_registry(spark: SparkSession, registry_path: str) -> DataFrame:
     """The registry table; empty before the first dataset is registered."""
-    try:
-        return spark.read.schema(REGISTRY_SCHEMA).parquet(registry_path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not exists(spark, f"{registry_path}/log"):
         return spark.createDataFrame([], REGISTRY_SCHEMA)
+    return _committed(spark, registry_path).drop("commit", "commit_number")
 
 
 def latest_entries(registry: DataFrame) -> DataFrame:
@@ -71,23 +100,24 @@ def list_entries(registry: DataFrame, source_type: str | None = None) -> DataFra
 
 
 def register_table(df: DataFrame, spec: TableSpec, dataset_id: str, version: str, source_type: str, root: str) -> str:
-    """Store a table under ``root``, verify it and publish it by its registry row."""
+    """Store a table under ``root``, verify it and publish it by its registry row; a refused one leaves no data."""
     spark = df.sparkSession
     registry_path = f"{root}/registry"
-    registry = read_registry(spark, registry_path)
-    if exact_entry(registry, dataset_id, version).take(1):
+    if exact_entry(read_registry(spark, registry_path), dataset_id, version).take(1):
         raise DuplicateDataset(f"already registered: {dataset_id} {version}")
-    path = f"{root}/{dataset_id}/{version}"
-    fingerprint = write_parquet_verified(df.select(*spec.names), path)
-    rows = spark.read.parquet(path).count()
-    seq = (registry.agg(F.max("seq")).first()[0] or 0) + 1
+    path = f"{root}/{dataset_id}/{version}"  # of two writers of one version, the first to verify gets this name
+    fingerprint, rows = write_parquet_counted(df.select(*spec.names), path)
     entry = spark.range(1).select(
-        F.lit(seq).cast("bigint").alias("seq"), F.lit(dataset_id).alias("dataset_id"), F.lit(version).alias("version"),
+        F.lit(None).cast("bigint").alias("seq"), F.lit(dataset_id).alias("dataset_id"), F.lit(version).alias("version"),
         F.lit(spec.schema_id).alias("schema_id"), F.lit(source_type).alias("source_type"), F.lit(rows).cast("bigint").alias("row_count"),
         F.lit(fingerprint).alias("fingerprint"), F.lit(path).alias("path"),
         F.to_json(F.struct(F.lit(spec.version).alias("schema_version"), F.lit(spec.description).alias("description"))).alias("metadata"),
     )
-    append_entries(entry, registry_path)
+    try:
+        append_entries(entry, registry_path)
+    except DuplicateDataset:
+        delete(spark, path)
+        raise
     return fingerprint
 
 

@@ -11,7 +11,7 @@ from stockweave.queries import inputs as I
 from stockweave.queries.registry import query
 from stockweave.queries.sqlparts import r6, with_ctes
 from stockweave.schema import FieldSpec, TableSpec
-from stockweave.sources import files, registry, retail
+from stockweave.sources import files, registry, retail, versions
 
 ORDER_TEXT = TableSpec(
     "test.order_text",
@@ -113,12 +113,15 @@ FROM rows JOIN price USING (product_id, store_id) GROUP BY ALL""",
     ),
 )
 def subset_extract(t):
-    kept = retail.filter_isin(t.sales.withColumnRenamed("product_id", "item_id"), store_id=["ASIA", "EUROPE"])
-    top = retail.top_items(kept, 4).select("item_id")
-    rows = kept.join(top, "item_id", "left_semi").groupBy("item_id", "store_id").agg(F.sum("quantity").alias("units"))
-    prices = t.price.withColumnRenamed("product_id", "item_id").join(rows, ["item_id", "store_id"], "left_semi")
-    counts = prices.groupBy("item_id", "store_id").agg(F.count(F.lit(1)).alias("price_rows"))
-    return rows.join(counts, ["item_id", "store_id"])
+    """Two stores and their four best items, taken out of the wide file and the price file."""
+    sales_path, price_path = files.scratch_path(t.spark, "wide-sales"), files.scratch_path(t.spark, "sell-prices")
+    files.write_csv(I.wide_sales(t), sales_path)
+    prices = t.price.select("store_id", F.col("product_id").alias("item_id"), F.col("week_id").alias("wm_yr_wk"), F.col("unit_price").alias("sell_price"))
+    files.write_csv(prices, price_path, {"sell_price": 2})
+    wide, stored = retail.read_wide_sales(t.spark, sales_path), t.spark.read.option("header", True).csv(price_path)
+    rows, kept = retail.extract_subset(wide, stored, stores=["ASIA", "EUROPE"], top=4)
+    counts = kept.groupBy("item_id", "store_id").agg(F.count(F.lit(1)).alias("price_rows"))
+    return rows.select("item_id", "store_id", retail.row_total(retail.day_columns(rows)).alias("units")).join(counts, ["item_id", "store_id"])
 
 
 SALES_SQL = "SELECT date, product_id, store_id, quantity FROM sales"
@@ -138,6 +141,36 @@ def read_verified(t):
     return files.read_verified(t.spark, path, fingerprint)
 
 
+@query(
+    "publish_versions",
+    with_ctes("sales", """SELECT 1 AS version, date, product_id, store_id, quantity FROM sales
+              UNION ALL SELECT 2, date, product_id, store_id, CASE WHEN store_id = 'ASIA' THEN 2 * quantity ELSE quantity END FROM sales"""),
+)
+def publish_versions(t):
+    """A table published by store, then one store replaced: both versions as readers see them."""
+    root = files.scratch_path(t.spark, "sales-versions")
+    sales = t.sales.select("date", "product_id", "store_id", "quantity")
+    first = versions.publish(sales, root, "store_id").number
+    second = versions.replace_part(sales.where("store_id = 'ASIA'").withColumn("quantity", 2 * F.col("quantity")), root).number
+    parts = [versions.read_verified(t.spark, root, n).select(F.lit(n).alias("version"), "*") for n in (first, second)]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "partition_audit",
+    with_ctes("sales", """SELECT store_id, CAST(count(*) AS BIGINT) AS row_count, CAST(count(*) + CASE WHEN store_id = 'EUROPE' THEN count(*) FILTER (quantity >= 40) ELSE 0 END AS BIGINT) AS found_rows,
+              store_id <> 'EUROPE' OR count(*) FILTER (quantity >= 40) = 0 AS intact FROM sales GROUP BY store_id"""),
+)
+def partition_audit(t):
+    """Rows slipped into one partition's files after the commit: the audit names that partition."""
+    root = files.scratch_path(t.spark, "sales-audited")
+    sales = t.sales.select("date", "product_id", "store_id", "quantity")
+    published = versions.publish(sales, root, "store_id")
+    folder = next(p.folder for p in published.parts if p.value == "EUROPE")
+    sales.where("store_id = 'EUROPE' AND quantity >= 40").write.mode("append").parquet(folder)
+    return versions.audit(t.spark, root).withColumnRenamed("value", "store_id")
+
+
 PRICE_SPEC = TableSpec(
     "retail.price_csv",
     (FieldSpec("week_id", "int"), FieldSpec("product_id", "str"), FieldSpec("store_id", "str"), FieldSpec("unit_price", "float")),

@@ -23,7 +23,7 @@ def with_ctes(names: str, select: str) -> str:
 
     for name in names.split():
         visit(name)
-    clauses = ",\n".join(f"{n} AS (\n{_CTES[n][1]}\n)" for n in ordered)
+    clauses = ",\n".join(f"{n} AS MATERIALIZED (\n{_CTES[n][1]}\n)" for n in ordered)
     tail = select.strip()  # a leading comma continues the WITH clause
     return f"WITH {clauses}{tail}" if tail.startswith(",") else f"WITH {clauses}\n{tail}"
 

@@ -17,7 +17,6 @@ from dataclasses import asdict, dataclass
 from decimal import Decimal
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,12 +116,9 @@ def commit_file(root: str, number: int) -> str:
 
 def read_log(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """All commits; none before the first."""
-    try:
-        return spark.read.schema(schema).json(f"{root}/log")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not exists(spark, f"{root}/log"):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(f"{root}/log")
 
 
 # --- digests ------------------------------------------------------------------------------------

@@ -10,9 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +17,7 @@ from pyspark.sql import functions as F
 from stockweave.functions.calendar import season_position
 from stockweave.functions.numeric import as_column, ratio_or_null
 from stockweave.operators.windows import same_weekday_mean, trailing_means
+from stockweave.plans.boosting import BoostedModel, fit_poisson
 
 
 @dataclass(frozen=True)
@@ -72,30 +70,44 @@ def expand_horizon(df: DataFrame, spec: ForecastSpec) -> DataFrame:
     return expanded.withColumn(spec.time, F.date_add("origin_date", F.col("horizon_day")))
 
 
-def moving_average_forecast(grid: DataFrame, spec: ForecastSpec, origins: OriginRange, window_days: int = 28) -> DataFrame:
+#: The latest day whose observation a forecast or feature was computed from; kept beside it through every window and join on request.
+SEEN = "seen_through"
+
+
+def _seen(spec: ForecastSpec, trace: bool) -> list[Column]:
+    """The same rows that an aggregate reads also say how late they are; a table that has ``seen_through`` brings its own days."""
+    return [F.max(SEEN).alias(SEEN)] if trace else []
+
+
+def traced(grid: DataFrame, spec: ForecastSpec) -> DataFrame:
+    """``grid`` whose values are known to come from their own day, unless it says otherwise."""
+    return grid if SEEN in grid.columns else grid.withColumn(SEEN, F.col(spec.time))
+
+
+def moving_average_forecast(grid: DataFrame, spec: ForecastSpec, origins: OriginRange, window_days: int = 28, trace: bool = False) -> DataFrame:
     """Flat forecast: mean of the last ``window_days`` grid days before each origin."""
-    scattered = scatter_to_origins(grid, spec, origins, window_days)
-    levels = scattered.groupBy("origin_date", *spec.entities).agg(F.avg(spec.value).alias("forecast"))
-    return expand_horizon(levels, spec).select("origin_date", spec.time, *spec.entities, "forecast")
+    scattered = scatter_to_origins(traced(grid, spec) if trace else grid, spec, origins, window_days)
+    levels = scattered.groupBy("origin_date", *spec.entities).agg(F.avg(spec.value).alias("forecast"), *_seen(spec, trace))
+    return expand_horizon(levels, spec).select("origin_date", spec.time, *spec.entities, "forecast", *[SEEN] * trace)
 
 
 def seasonal_naive_forecast(
-    grid: DataFrame, spec: ForecastSpec, origins: OriginRange, season_days: int = 7, seasons: int = 4
+    grid: DataFrame, spec: ForecastSpec, origins: OriginRange, season_days: int = 7, seasons: int = 4, trace: bool = False
 ) -> DataFrame:
     """Mean of the last ``seasons`` values at the target's season position; 0 without any.
 
     One average per season position is kept per (entity, origin); the horizon only looks them up.
     """
-    scattered = scatter_to_origins(grid, spec, origins, season_days * seasons)
+    scattered = scatter_to_origins(traced(grid, spec) if trace else grid, spec, origins, season_days * seasons)
     position = F.col("age") % season_days
     averages = [F.avg(F.when(position == p, F.col(spec.value))) for p in range(season_days)]
-    profile = scattered.groupBy("origin_date", *spec.entities).agg(F.array(*averages).alias("_means"))
+    profile = scattered.groupBy("origin_date", *spec.entities).agg(F.array(*averages).alias("_means"), *_seen(spec, trace))
     _, _, _, hi = origins.columns()
     expanded = expand_horizon(profile, spec)
     anchor = F.least(F.date_sub(F.col("origin_date"), 1), hi)
     gap = F.datediff(F.col(spec.time), anchor)
     value = F.coalesce(F.get(F.col("_means"), season_position(gap, season_days)), F.lit(0.0))
-    return expanded.select("origin_date", spec.time, *spec.entities, value.alias("forecast"))
+    return expanded.select("origin_date", spec.time, *spec.entities, value.alias("forecast"), *[SEEN] * trace)
 
 
 def attach_actuals(forecast: DataFrame, grid: DataFrame, spec: ForecastSpec) -> DataFrame:
@@ -140,32 +152,34 @@ FEATURES = ("horizon_day", "weekday", "month", "last_value", "mean_7", "mean_28"
 MIN_HISTORY_DAYS = 28
 
 
-def day_features(grid: DataFrame, spec: ForecastSpec) -> DataFrame:
+def day_features(grid: DataFrame, spec: ForecastSpec, trace: bool = False) -> DataFrame:
     """What is known at the end of each grid day: last value, trailing means, weekday means.
 
     ``_weekday_means[j]`` belongs to the weekday j days back. One shuffle by entity serves the running
     sums and the lags; the weekday means need one more.
     """
-    weekday = same_weekday_mean(grid, spec.entities, 4, spec.time, spec.value)
+    weekday = same_weekday_mean(traced(grid, spec) if trace else grid, spec.entities, 4, spec.time, spec.value)
     means = trailing_means(weekday, spec.entities, (7, 28, 365), spec.time, spec.value, inclusive=True)
     lags = [F.lag("mean_same_weekday_4", j).over(trailing_frame(spec)) for j in range(7)]
+    # every feature's frame ends at the current row, so the latest day in the widest frame bounds them all
+    seen = [F.max(SEEN).over(trailing_frame(spec).rowsBetween(W.unboundedPreceding, 0)).alias(SEEN)] if trace else []
     return means.select(
-        spec.time, *spec.entities, F.col(spec.value).cast("double").alias("last_value"), "mean_7", "mean_28", "mean_365", F.array(*lags).alias("_weekday_means")
+        spec.time, *spec.entities, F.col(spec.value).cast("double").alias("last_value"), "mean_7", "mean_28", "mean_365", F.array(*lags).alias("_weekday_means"), *seen
     )
 
 
-def forecast_features(grid: DataFrame, spec: ForecastSpec, origins: DataFrame, grid_hi: object) -> DataFrame:
+def forecast_features(grid: DataFrame, spec: ForecastSpec, origins: DataFrame, grid_hi: object, trace: bool = False) -> DataFrame:
     """Features per (origin, horizon day, entity), from observations before the origin only."""
     hi = as_column(grid_hi).cast("date")
     anchored = origins.select("origin_date", F.least(F.date_sub("origin_date", 1), hi).alias(spec.time))
-    known = day_features(grid, spec).join(anchored, spec.time).withColumnRenamed(spec.time, "_anchor")
+    known = day_features(grid, spec, trace).join(anchored, spec.time).withColumnRenamed(spec.time, "_anchor")
     expanded = expand_horizon(known, spec)
     back = F.pmod(F.weekday("_anchor") - F.weekday(spec.time), F.lit(7))
     same = F.coalesce(F.get("_weekday_means", back), F.col("mean_28"))
     return expanded.select(
         "origin_date", spec.time, *spec.entities, F.col("horizon_day").cast("bigint").alias("horizon_day"),
         F.weekday(spec.time).cast("bigint").alias("weekday"), F.month(spec.time).cast("bigint").alias("month"),
-        "last_value", "mean_7", "mean_28", "mean_365", same.alias("mean_same_weekday_4"),
+        "last_value", "mean_7", "mean_28", "mean_365", same.alias("mean_same_weekday_4"), *[SEEN] * trace,
     )
 
 
@@ -182,44 +196,66 @@ def training_origins(bounds: DataFrame, spec: ForecastSpec, start: object, windo
     return bounds.select(F.explode(dates).alias("origin_date"))
 
 
-def training_set(grid: DataFrame, spec: ForecastSpec, bounds: DataFrame, start: object, window_days: int = 730, step_days: int = 7) -> DataFrame:
-    """Features joined with their targets, all dated before ``start``."""
-    history = grid.where(F.col(spec.time) < as_column(start).cast("date"))
+def training_set(
+    grid: DataFrame, spec: ForecastSpec, bounds: DataFrame, start: object, window_days: int = 730, step_days: int = 7, trace: bool = False
+) -> DataFrame:
+    """Features joined with their targets, all dated before ``start``; traced, ``seen_through`` covers the target too."""
+    history = (traced(grid, spec) if trace else grid).where(F.col(spec.time) < as_column(start).cast("date"))
     origins = training_origins(bounds, spec, start, window_days, step_days)
-    features = forecast_features(history, spec, origins, F.date_sub(as_column(start).cast("date"), 1))
-    target = history.select(spec.time, *spec.entities, F.col(spec.value).cast("double").alias("target"))
-    return features.join(target, [spec.time, *spec.entities])
+    features = forecast_features(history, spec, origins, F.date_sub(as_column(start).cast("date"), 1), trace)
+    target = history.select(spec.time, *spec.entities, F.col(spec.value).cast("double").alias("target"), *[F.col(SEEN).alias("_target_seen")] * trace)
+    joined = features.join(target, [spec.time, *spec.entities])
+    return joined.withColumn(SEEN, F.greatest(SEEN, "_target_seen")).drop("_target_seen") if trace else joined
+
+
+#: What the trees see besides the calendar: levels relative to the last 28 days, which is the offset.
+RATIOS = ("last_value", "mean_7", "mean_365", "mean_same_weekday_4")
+LEARNED_FEATURES = ("horizon_day", "weekday", "month", "mean_28", *[f"ratio_{c}" for c in RATIOS])
 
 
 def _design(features: DataFrame) -> DataFrame:
-    """Model inputs: logs of the levels, calendar dummies and the horizon."""
-    logs = {f"log_{c}": F.log1p(F.greatest(F.col(c), F.lit(0.0))) for c in ("last_value", "mean_7", "mean_28", "mean_365", "mean_same_weekday_4")}
-    weekdays = {f"weekday_{d}": (F.col("weekday") == d).cast("double") for d in range(1, 7)}
-    months = {f"month_{m}": (F.col("month") == m).cast("double") for m in range(2, 13)}
-    columns = {**logs, **weekdays, **months, "horizon": F.col("horizon_day").cast("double")}
-    return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="error").transform(features.withColumns(columns)).drop(*columns)
+    level = F.greatest(F.col("mean_28"), F.lit(1e-3))
+    return features.withColumns({f"ratio_{c}": F.col(c) / level for c in RATIOS})
 
 
-def fit_forecast_model(training: DataFrame, regularisation: float = 1e-4, iterations: int = 25) -> GeneralizedLinearRegressionModel:
-    """One global Poisson model with log link, trained by distributed least squares passes.
+def fit_forecast_model(training: DataFrame, **options) -> BoostedModel:
+    """One global Poisson model of boosted trees on top of the 28-day level."""
+    return fit_poisson(_design(training), LEARNED_FEATURES, "target", offset="mean_28", **options)
 
-    The training rows are kept for the passes and released afterwards.
-    """
-    rows = _design(training).select("features", "target").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = GeneralizedLinearRegression(family="poisson", link="log", labelCol="target", featuresCol="features", regParam=regularisation, maxIter=iterations)
-        return model.fit(rows)
-    finally:
-        rows.unpersist()
 
+def learned_forecast(
+    grid: DataFrame, spec: ForecastSpec, bounds: DataFrame, origins: OriginRange, window_days: int = 730, step_days: int = 7, trace: bool = False,
+    model: BoostedModel | None = None,
+) -> DataFrame:
+    """Train before the first origin, then forecast every origin directly for the whole horizon.
 
-def learned_forecast(grid: DataFrame, spec: ForecastSpec, bounds: DataFrame, origins: OriginRange, window_days: int = 730, step_days: int = 7) -> DataFrame:
-    """Train before the first origin, then forecast every origin directly for the whole horizon."""
+    Traced, ``seen_through`` is the later of a forecast's own features and everything the model was trained on.
+    """
     start, end, _, hi = origins.columns()
-    model = fit_forecast_model(training_set(grid, spec, bounds, start, window_days, step_days))
+    rows = training_set(grid, spec, bounds, start, window_days, step_days, trace)
+    fitted = model or fit_forecast_model(rows)
     dates = bounds.select(F.explode(F.sequence(start, end, F.expr(f"interval {spec.interval_days} day"))).alias("origin_date"))
-    predicted = model.transform(_design(forecast_features(grid, spec, dates, hi)))
-    return predicted.select("origin_date", spec.time, *spec.entities, F.greatest(F.col("prediction"), F.lit(0.0)).alias("forecast"))
+    predicted = _design(forecast_features(grid, spec, dates, hi, trace)).withColumn("forecast", fitted.rate())
+    if trace:
+        trained = rows.agg(F.max(SEEN)).scalar()
+        predicted = predicted.withColumn(SEEN, F.greatest(F.col(SEEN), trained))
+    return predicted.select("origin_date", spec.time, *spec.entities, F.greatest(F.col("forecast"), F.lit(0.0)).alias("forecast"), *[SEEN] * trace)
+
+
+def training_report(training: DataFrame, model: BoostedModel, spec: ForecastSpec) -> DataFrame:
+    """``training_rows, training_end, trees, top_feature``: what the learned forecast was made from."""
+    gains = sorted(model.gains().items(), key=lambda g: (-g[1], g[0]))
+    return training.agg(
+        F.count(F.lit(1)).alias("training_rows"), F.max(spec.time).alias("training_end"), F.lit(len(model.trees)).alias("trees"),
+        F.lit(gains[0][0] if gains else None).cast("string").alias("top_feature"),
+    )
+
+
+def look_ahead(forecasts: DataFrame, *by: str) -> DataFrame:
+    """Forecasts, those computed from anything of their origin day or later, and the least days between the two."""
+    late = F.col(SEEN) >= F.col("origin_date")
+    measures = [F.count(F.lit(1)).alias("forecast_rows"), F.count_if(late).alias("leaking_rows"), F.min(F.datediff("origin_date", SEEN)).alias("least_gap_days")]
+    return forecasts.groupBy(*by).agg(*measures) if by else forecasts.agg(*measures)
 
 
 def compare_forecasts(left: DataFrame, right: DataFrame, spec: ForecastSpec) -> DataFrame:

@@ -20,10 +20,12 @@ def origin_range(t: DriverTables) -> fc.OriginRange:
     return fc.OriginRange(F.date_sub(hi, 90), hi, lo, hi)
 
 
-def forecast_of(t: DriverTables, model: str, grid=None):
+def forecast_of(t: DriverTables, model: str, grid=None, trace: bool = False):
     grid = sales_grid(t) if grid is None else grid
+    if model == "learned":
+        return fc.learned_forecast(grid, SPEC, t.ship_bounds, origin_range(t), trace=trace)
     make = {"moving_average": fc.moving_average_forecast, "seasonal_naive": fc.seasonal_naive_forecast}[model]
-    return make(grid, SPEC, origin_range(t))
+    return make(grid, SPEC, origin_range(t), trace=trace)
 
 
 def backtest_of(t: DriverTables, model: str, grid=None):
@@ -141,10 +143,39 @@ def forecast_ml(t):
     return fc.attach_actuals(predicted, grid, SPEC)
 
 
+@query("forecast_ml_accuracy")
+def forecast_ml_accuracy(t):
+    """The learned forecast beside the baselines, with the rows and the last day that it was trained on."""
+    grid = sales_grid(t)
+    training = fc.training_set(grid, SPEC, t.ship_bounds, learning_start(t))
+    model = fc.fit_forecast_model(training)
+    learned = fc.learned_forecast(grid, SPEC, t.ship_bounds, origin_range(t), model=model).withColumn("model", F.lit("learned"))
+    tagged = [forecast_of(t, m, grid).withColumn("model", F.lit(m)) for m in ("moving_average", "seasonal_naive")]
+    scored = fc.forecast_accuracy(fc.attach_actuals(learned.unionByName(tagged[0]).unionByName(tagged[1]), grid, SPEC), "model")
+    about = fc.training_report(training, model, SPEC).withColumn("model", F.lit("learned"))
+    return stable_accuracy(scored).join(about, "model", "left")
+
+
+MODELS = ("learned", "moving_average", "seasonal_naive")
+_MODEL_ROWS = "(VALUES ('learned'), ('moving_average'), ('seasonal_naive')) m(model)"
+
+
+@query(
+    "look_ahead_trace",
+    with_ctes("origins entities bounds", f"""SELECT model, CAST(n AS BIGINT) AS forecast_rows, CAST(0 AS BIGINT) AS leaking_rows, CAST(1 AS INTEGER) AS least_gap_days FROM
+    (SELECT count(*) * 28 AS n FROM origins CROSS JOIN entities) CROSS JOIN {_MODEL_ROWS}"""),
+)
+def look_ahead_trace(t):
+    """Every forecast of every model carries the latest day it was computed from, training included; none reaches its origin."""
+    grid = sales_grid(t)
+    parts = [forecast_of(t, m, grid, trace=True).withColumn("model", F.lit(m)) for m in MODELS]
+    return fc.look_ahead(parts[0].unionByName(parts[1]).unionByName(parts[2]), "model")
+
+
 @query(
     "no_look_ahead_check",
     with_ctes("origins entities", """SELECT model, CAST(n AS BIGINT) AS compared_rows, CAST(0 AS BIGINT) AS differing_rows FROM
-    (SELECT count(*) * 28 AS n FROM origins CROSS JOIN entities WHERE origin_date <= (SELECT hi - 45 FROM bounds)) CROSS JOIN (VALUES ('moving_average'), ('seasonal_naive')) m(model)"""),
+    (SELECT count(*) * 28 AS n FROM origins CROSS JOIN entities WHERE origin_date <= (SELECT hi - 45 FROM bounds)) CROSS JOIN (VALUES ('learned'), ('moving_average'), ('seasonal_naive')) m(model)"""),
 )
 def no_look_ahead_check(t):
     """Change everything from a cut day on: forecasts of origins up to that day stay the same."""
@@ -152,7 +183,7 @@ def no_look_ahead_check(t):
     grid = sales_grid(t)
     changed = grid.withColumn("quantity", F.when(F.col("date") >= cut, F.col("quantity") * 3 + 100).otherwise(F.col("quantity")))
     result = None
-    for model in ("moving_average", "seasonal_naive"):
+    for model in MODELS:
         before, after = (forecast_of(t, model, g).where(F.col("origin_date") <= cut) for g in (grid, changed))
         part = fc.compare_forecasts(before, after, SPEC).withColumn("model", F.lit(model))
         result = part if result is None else result.unionByName(part)

@@ -88,3 +88,79 @@ def test_phones_with_widely_spaced_digits(spark, docs):
     assert found[0]["n_phone"] == found[1]["n_phone"] == 1 and found[2]["n_phone"] == found[3]["n_phone"] == 0
     gate = spark.createDataFrame([("1[.]2[.]3[.]4",)], "text string").select(pii.proposals("ip", F.col("text")).alias("p")).first()["p"]
     assert [(x["s"], x["e"]) for x in gate] == [(0, 13)]
+
+
+def phones(rng):
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    return rng.choice([f"0049 30 {digits(7)}", f"(030) {digits(4)} {digits(4)}", f"0{rng.randrange(1, 10)}{digits(2)}-{digits(7)}", f"tel: {rng.randrange(2, 10)}{digits(3)} {digits(3)} {digits(3)}"])
+
+
+def variant(kind, rng):
+    name, host, number = "".join(rng.choice("abcdefgh") for _ in range(6)), "".join(rng.choice("mnopq") for _ in range(5)), lambda: str(rng.randrange(1, 256))
+    if kind == "email":
+        return rng.choice([f"{name} (at) {host} (dot) org", f"{name}[at]{host}[dot]com", f"{name} [at] {host}.net"])
+    if kind == "ip":
+        return "[.]".join(number() for _ in range(4))
+    if kind == "card":
+        c = card(rng)
+        return rng.choice("./").join((c[:4], c[4:8], c[8:12], c[12:]))
+    return phones(rng)
+
+
+def usual(kind, rng):
+    n = lambda: rng.randrange(1, 256)
+    return {"email": f"ab{n()}@host{n()}.example.com", "ip": f"{n()}.{n()}.{n()}.{n()}", "card": card(rng), "phone": f"+49 30 {rng.randrange(10**6, 10**7)}"}[kind]
+
+
+def test_planted_variants_are_found_and_clean_text_is_left_alone(spark, docs):
+    rng, rows, planted = random.Random(21), [], {}
+    words = "the of and river stone green walk over under many people said".split()
+    for i in range(1600):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(3, 9)))
+        if i < 600:
+            kind = pii.KINDS[i % 4]
+            rows.append((i, f"{text} {usual(kind, rng)} {text}"))
+        elif i < 1000:
+            kind = pii.KINDS[i % 4]
+            value = variant(kind, rng)
+            planted[i] = (kind, len(text) + 1, value)
+            rows.append((i, f"{text} {value} {text}"))
+        else:
+            rows.append((i, f"{text} {rng.choice(['version 12.4', 'in 2019 and 2020', '1234 items', 'at 10:45 on 2021-03-04', 'chapter 7.2.1', 'order 99120456', 'see @ noon', 'a 300.400.500.600 b', '12 345 678'])} {text}"))
+    found = {r["doc_id"]: r for r in pii.find(docs(rows)).collect()}
+    hits = {k: 0 for k in pii.KINDS}
+    for i, (kind, start, value) in planted.items():
+        skip = len("tel: ") if value.startswith("tel:") else 0
+        hits[kind] += f"{kind}:{start + skip}:{start + len(value)}" in found[i]["spans"].split(",")
+    assert all(n >= 90 for n in hits.values()), hits
+    clean = [i for i in range(1000, 1600) if found[i]["spans"]]
+    assert len(clean) <= 6, [dict(rows)[i] for i in clean[:5]]
+    assert all(found[i]["n_private"] == found[i]["n_added"] + sum(found[i][f"n_{k}"] for k in pii.KINDS) for i in found)
+
+
+def test_many_matches_in_one_document(spark, docs):
+    """20,000 addresses of one kind and proposals that chain up: linear work, no span lost."""
+    import time
+
+    text = " ".join(f"{k % 256}.{k // 256}.1.2" for k in range(20_000))
+    chain = "0049 30 1234567 " * 5_000
+    started = time.time()
+    found = {r["doc_id"]: r for r in pii.find(docs([(1, text), (2, chain), (3, "x")])).collect()}
+    assert found[1]["n_ip"] == 20_000 and time.time() - started < 90
+    starts = [m.start() for m in re.finditer(PATTERNS["ip"], text)]
+    assert [int(s.split(":")[1]) for s in found[1]["spans"].split(",") if s.startswith("ip:")] == starts
+
+
+def test_no_base_pattern_is_left_after_the_search(spark, docs):
+    """What learns and selects works on stored spans: no text is searched again."""
+    found = pii.cut_lineage(pii.prepared(docs([(1, "a@b.c and 1.2.3.4")])))
+    marked = pii.with_spans(found, pii.Trees(0.0, (), (-1.0,) * 4))
+    for df in (marked, found.select(F.explode("ip_p"))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan and "split(" not in plan
+
+
+def test_masks(spark):
+    spans = F.from_json(F.lit('[{"s":2,"e":4},{"s":4,"e":5},{"s":8,"e":9}]'), "array<struct<s:int,e:int>>")
+    drawn = spark.range(1).select(pii.mask(spans).alias("m"), pii.mask(F.slice(spans, 1, 0)).alias("none")).first()
+    assert bytes(drawn["m"]) == b"..xxx...x" and bytes(drawn["none"]) == b""

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stockweave.llm.frames import tidy
+
 BUCKETS, WIDTH = 1 << 16, 16
 SAMPLE_PER_LANG, SAMPLE_CHARS = 800, 8_000
 EPOCHS, RATE = 6, 4.0
@@ -167,4 +169,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> Column:
         rows = [here.predict(t) for t in texts]
         return pd.DataFrame([(a, s, a != UNKNOWN and s >= here.accept) for a, s in rows], columns=["lang", "score", "accepted"])
 
-    return F.pandas_udf(of, "lang string, score double, accepted boolean")(F.col(text))
+    return F.pandas_udf(tidy(of), "lang string, score double, accepted boolean")(F.col(text))

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stockweave.llm.frames import tidy
+
 MARK = "▁"
 NORMAL, BYTE = 1, 6  # piece types of the file format
 UNKNOWN, START, NONE = -2, -1, -3
@@ -371,7 +373,7 @@ def encode(text: Column, path: str) -> Column:
         finally:
             own.young, own.old = {}, {}
 
-    return F.pandas_udf(run, "binary")(text)
+    return F.pandas_udf(tidy(run), "binary")(text)
 
 
 def digest(text: Column, path: str) -> Column:
@@ -394,7 +396,7 @@ def digest(text: Column, path: str) -> Column:
         finally:
             own.young, own.old = {}, {}
 
-    return F.pandas_udf(run, "n_tokens long, ids_crc32 long, round_trip boolean")(text)
+    return F.pandas_udf(tidy(run), "n_tokens long, ids_crc32 long, round_trip boolean")(text)
 
 
 def decode(ids: Column, path: str) -> Column:

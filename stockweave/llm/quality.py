@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.llm.frames import fresh
+from stockweave.llm.frames import fresh, tidy
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_distinct_words", "n_upper")
 WINDOW = 8
@@ -79,7 +79,7 @@ def measures(text: str | Column) -> Column:
         return pd.DataFrame([measure(t) for t in texts], columns=list(MEASURES)).astype("int64")
 
     # Said not to be deterministic, so that no filter on a measure makes Spark measure a text again.
-    return F.pandas_udf(of, ", ".join(f"{m} long" for m in MEASURES)).asNondeterministic()(text)
+    return F.pandas_udf(tidy(of), ", ".join(f"{m} long" for m in MEASURES)).asNondeterministic()(text)
 
 
 @dataclass(frozen=True)

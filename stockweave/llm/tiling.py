@@ -1,12 +1,12 @@
 """Benchmark decontamination by greedy string tiling.
 
 Texts are compared as words: lower-cased runs of letters and digits, ASCII punctuation as separators. Windows of ``LEAST`` words that a
-document shares with a benchmark item are seeds; for every item with a seed, running Karp-Rabin finds the longest
-unmarked matches, marks them on both sides and goes on with shorter ones. An item whose words are covered to
+document shares with a benchmark item are seeds; for every item with a seed, running Karp-Rabin finds the matches, of which the
+longest unmarked one is marked on both sides, again and again. An item whose words are covered to
 ``THRESHOLD`` by such tiles contaminates the document, also when its parts come in another order.
 
 The benchmark is the query set. It is taken in blocks of about ``BLOCK_WORDS`` words; each block is indexed once, sent
-to the tasks and met by every document in one pass without a shuffle. Documents are compared one by one, so a passage
+to the tasks, met by every document in one pass without a shuffle, and released. Documents are compared one by one, so a passage
 that many documents hold is no hot key.
 
 Items of fewer than ``LEAST`` words, also of none, must be found whole, with every number and symbol: as their tokens in
@@ -16,6 +16,7 @@ Repeated items are reported each; empty and null documents are clean.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import defaultdict
@@ -26,7 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.llm.frames import fresh
+from stockweave.llm.frames import fresh, tidy
+from stockweave.session import cut_lineage
 
 LEAST = 5
 THRESHOLD = 0.8
@@ -56,54 +58,79 @@ def rolling(words: list[int]) -> list[int]:
     return values
 
 
+def shared_length(doc: list[int], p: int, item: list[int], q: int, known: int) -> int:
+    """How many words agree from ``p`` and ``q`` on, ``known`` of them already: doubled steps, then halves."""
+    limit, step = min(len(doc) - p, len(item) - q), max(known, 8)
+    while known < limit:
+        n = min(step, limit - known)
+        if doc[p + known : p + known + n] == item[q + known : q + known + n]:
+            known, step = known + n, 2 * step
+            continue
+        while n > 1:
+            half = n // 2
+            if doc[p + known : p + known + half] == item[q + known : q + known + half]:
+                known, n = known + half, n - half
+            else:
+                n = half
+        break
+    return known
+
+
 def greedy_tiles(doc: list[int], item: list[int], starts: list[int], least: int) -> list[tuple[int, int, int]]:
-    """Non-overlapping tiles ``(doc position, item position, length)``, longest first.
+    """Non-overlapping tiles ``(doc position, item position, length)``, always the longest left, ties by position.
 
     ``starts``: the positions of ``doc`` where a window of ``least`` words of the item begins; tiles begin there too.
+    Karp-Rabin values find the windows. Only matches that cannot be extended to the left are taken, so a run of equal words
+    gives one per position and not one per pair of positions; what a longer tile leaves of a match is looked at again.
     """
-    hd, hi = rolling(doc), rolling(item)
-    free_doc, free_item, tiles = bytearray(b"\1") * len(doc), bytearray(b"\1") * len(item), []
-    size = min(len(item), max(least, 16))
-    while size >= least:
-        power = pow(_BASE, size, _PRIME)
-        windows = defaultdict(list)
-        for q in range(len(item) - size + 1):
-            if all(free_item[q : q + size]):
-                windows[(hi[q + size] - hi[q] * power) % _PRIME].append(q)
-        found, longest = [], 0
-        for p in starts:
-            if p + size > len(doc) or not all(free_doc[p : p + size]):
-                continue
-            for q in windows.get((hd[p + size] - hd[p] * power) % _PRIME, ()):
-                if doc[p : p + size] != item[q : q + size]:
-                    continue
-                n = size
-                while p + n < len(doc) and q + n < len(item) and doc[p + n] == item[q + n] and free_doc[p + n] and free_item[q + n]:
-                    n += 1
-                found.append((n, p, q))
-                longest = max(longest, n)
-        if longest > 2 * size:
-            size = longest  # start again with the long ones
+    if not starts or len(item) < least:
+        return []
+    hd, hi, power = rolling(doc), rolling(item), pow(_BASE, least, _PRIME)
+    windows: dict[int, dict[int | None, list[int]]] = defaultdict(lambda: defaultdict(list))  # by value and the word before
+    for q in range(len(item) - least + 1):
+        windows[(hi[q + least] - hi[q] * power) % _PRIME][item[q - 1] if q else None].append(q)
+    heap = []
+    for p in starts:
+        before = doc[p - 1] if p else None
+        for word, places in windows.get((hd[p + least] - hd[p] * power) % _PRIME, {}).items():
+            if word is None or word != before:
+                for q in places:
+                    if doc[p : p + least] == item[q : q + least]:
+                        heap.append((-shared_length(doc, p, item, q, least), p, q))
+    heapq.heapify(heap)
+    free_doc, free_item, left, tiles = bytearray(b"\1") * len(doc), bytearray(b"\1") * len(item), len(item), []
+    while heap and left >= least:
+        size, p, q = heapq.heappop(heap)
+        size = -size
+        taken = _first(free_doc, p, p + size), _first(free_item, q, q + size)
+        if min(taken) == size:
+            free_doc[p : p + size] = free_item[q : q + size] = bytes(size)
+            left -= size
+            tiles.append((p, q, size))
             continue
-        for n, p, q in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if all(free_doc[p : p + n]) and all(free_item[q : q + n]):
-                free_doc[p : p + n] = free_item[q : q + n] = bytes(n)
-                tiles.append((p, q, n))
-        if _some_left(found, free_doc, free_item, size):
-            continue  # a match overlapped a longer one; its rest is still long enough
-        size = size // 2 if size > 2 * least else least if size > least else 0
+        for start, n in _free_runs(free_doc, p, free_item, q, size):
+            if n >= least:
+                heapq.heappush(heap, (-n, p + start, q + start))
     return tiles
 
 
-def _some_left(found: list[tuple[int, int, int]], free_doc: bytearray, free_item: bytearray, size: int) -> bool:
-    """Is a window of ``size`` still unmarked on both sides of one of the matches?"""
-    for n, p, q in found:
-        run = 0
-        for k in range(n):
-            run = run + 1 if free_doc[p + k] and free_item[q + k] else 0
-            if run >= size:
-                return True
-    return False
+def _first(free: bytearray, start: int, stop: int) -> int:
+    """The first marked place, from ``start`` on."""
+    found = free.find(0, start, stop)
+    return stop - start if found < 0 else found - start
+
+
+def _free_runs(free_doc: bytearray, p: int, free_item: bytearray, q: int, size: int):
+    """Start and length of the stretches of a match that are unmarked on both sides."""
+    at = 0
+    while at < size:
+        n = min(_first(free_doc, p + at, p + size), _first(free_item, q + at, q + size))
+        if n:
+            yield at, n
+        at += n
+        while at < size and not (free_doc[p + at] and free_item[q + at]):
+            here, there = free_doc.find(1, p + at, p + size), free_item.find(1, q + at, q + size)
+            at = size if here < 0 or there < 0 else max(here - p, there - q, at)
 
 
 class Index:
@@ -184,9 +211,10 @@ def blocks(benchmark: DataFrame, key: str, text: str, least: int, threshold: flo
         yield Index([(r[0], r[1]) for r in part.select(F.col(key).cast("long"), text).collect()], least, threshold)
 
 
-def hits_of(index: Index, text: Column, spark) -> Column:
-    shared = spark.sparkContext.broadcast(index)
+def hits_of(shared, text: Column) -> Column:
+    """Items of a block, by its broadcast index, that contaminate each text."""
 
+    @tidy
     def find(texts: pd.Series) -> pd.Series:
         here = shared.value
         return pd.Series([[dict(zip(("item", "words", "covered", "tiles"), h)) for h in here.hits(t)] for t in texts])
@@ -197,18 +225,28 @@ def hits_of(index: Index, text: Column, spark) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                  item_text: str = "text", least: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, item_id, item_words, covered_words, n_tiles`` per document and item that contaminates it."""
+    return _found(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t")), benchmark, item_key, item_text, least, threshold)
+
+
+def _found(rows: DataFrame, benchmark: DataFrame, item_key: str, item_text: str, least: int, threshold: float) -> DataFrame:
+    """Hits of the texts ``t`` with the rows' other columns, one block of the benchmark after the other.
+
+    A block's hits are written before the next block is built, so the driver and the workers hold one index at a time.
+    """
     out = None
     for index in blocks(benchmark, item_key, item_text, least, threshold):
-        hit = docs.select(F.col(key).alias("doc_id"), F.explode(hits_of(index, F.col(text), docs.sparkSession)).alias("h"))
+        shared = rows.sparkSession.sparkContext.broadcast(index)
+        hit = cut_lineage(rows.withColumn("h", F.explode(hits_of(shared, F.col("t")))).drop("t"))
+        shared.destroy()
         out = hit if out is None else out.unionByName(hit)
-    return out.select("doc_id", F.col("h.item").alias("item_id"), F.col("h.words").alias("item_words"), F.col("h.covered").alias("covered_words"), F.col("h.tiles").alias("n_tiles"))
+    item = {"item_id": "item", "item_words": "words", "covered_words": "covered", "n_tiles": "tiles"}
+    return out.select(*[c for c in out.columns if c != "h"], *[F.col(f"h.{v}").alias(k) for k, v in item.items()])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
                       least: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that no item contaminates, with their columns unchanged."""
-    kept = docs
-    for index in blocks(benchmark, item_key, item_text, least, threshold):
-        h = fresh(kept, "_hits")
-        kept = kept.withColumn(h, hits_of(index, F.col(text), docs.sparkSession)).where(F.size(h) == 0).drop(h)
-    return kept
+    """The documents that no item contaminates, with their columns unchanged. Equal texts go together."""
+    digest = F.md5(F.col(text).cast("binary"))
+    gone = _found(docs.select(F.col(text).alias("t"), digest.alias("_text")), benchmark, item_key, item_text, least, threshold)
+    name = fresh(docs, "_gone")
+    return docs.join(gone.select(F.col("_text").alias(name)).distinct(), digest == F.col(name), "left_anti")

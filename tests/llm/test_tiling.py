@@ -90,3 +90,59 @@ def test_numbers_and_short_items_both_ways(spark, docs, items):
     assert got == {(10, 1), (20, 2), (30, 3), (40, 4), (50, 5), (60, 6)}
     kept = {r["doc_id"] for r in G.drop_contaminated(docs(list(texts.items())), bench).collect()}
     assert kept == set(texts) - {d for d, _ in got}
+
+
+def plain_tiles(doc, item, least):
+    """The longest match of unmarked words, marked, again and again; ties by position."""
+    free_doc, free_item, tiles = [True] * len(doc), [True] * len(item), []
+    while True:
+        best = None
+        for p in range(len(doc)):
+            for q in range(len(item)):
+                n = 0
+                while p + n < len(doc) and q + n < len(item) and free_doc[p + n] and free_item[q + n] and doc[p + n] == item[q + n]:
+                    n += 1
+                if n >= least and (best is None or n > best[2]):
+                    best = (p, q, n)
+        if best is None:
+            return tiles
+        tiles.append(best)
+        for k in range(best[2]):
+            free_doc[best[0] + k] = free_item[best[1] + k] = False
+
+
+def seeds(doc, item, least):
+    windows = {tuple(item[q : q + least]) for q in range(len(item) - least + 1)}
+    return [p for p in range(len(doc) - least + 1) if tuple(doc[p : p + least]) in windows]
+
+
+@pytest.mark.parametrize("letters", [1, 2, 3, 6])
+def test_tiles_equal_a_plain_search(letters):
+    rng = random.Random(letters)
+    for _ in range(120):
+        doc, item = ([rng.randrange(letters) for _ in range(rng.randrange(0, 26))] for _ in range(2))
+        least = rng.choice([2, 3, 5])
+        assert G.greedy_tiles(doc, item, seeds(doc, item, least), least) == plain_tiles(doc, item, least)
+
+
+def test_repetitive_pages_cost_little(spark, docs, items):
+    """Equal words and short periods: matches grow with the sum of both lengths, not with their product."""
+    import time
+
+    started = time.time()
+    for unit in (["same"], ["one", "two"], ["a", "b", "a"]):
+        doc, item = (unit * 100_000)[:100_000], (unit * 1000)[:1000]
+        found = G.Index([(7, " ".join(item))], 5, 0.8).hits(" ".join(doc))
+        assert found == [(7, 1000, 1000, 1)]
+    assert time.time() - started < 30
+
+
+def test_blocks_are_taken_one_after_the_other(spark, docs, items, monkeypatch):
+    monkeypatch.setattr(G, "BLOCK_WORDS", 30)
+    parts = [" ".join(words(12, k)) for k in range(20)]
+    table = docs([(k, "start " + t + " end") for k, t in enumerate(parts)] + [(99, " ".join(words(50, 77))), (98, None), (5, "start " + parts[5] + " end")])
+    benchmark = items([(k, t) for k, t in enumerate(parts) if k % 2])
+    got = sorted((r["doc_id"], r["item_id"]) for r in G.contaminated(table, benchmark).collect())
+    assert got == sorted([(k, k) for k in range(1, 20, 2)] + [(5, 5)])
+    kept = G.drop_contaminated(table, benchmark)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted([*range(0, 20, 2), 98, 99]) and kept.columns == table.columns

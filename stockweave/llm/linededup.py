@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.llm.frames import fresh
+from stockweave.llm.frames import fresh, tidy
 from stockweave.session import cut_lineage
 
 MIN_CHARS = 20
@@ -113,13 +113,17 @@ def line_references(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             found.append([{"hi": h, "lo": l} for h, l in np.frombuffer(own, "<i8").reshape(-1, 2).tolist()])
         return pd.Series(found)
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.pandas_udf(keys, "array<struct<hi:long,lo:long>>")(F.col(text)).alias("k"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.pandas_udf(tidy(keys), "array<struct<hi:long,lo:long>>")(F.col(text)).alias("k"))
     return rows.select("doc_id", F.explode("k").alias("k")).select("k.hi", "k.lo", "doc_id")
 
 
 def frequent_keys(references: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``hi, lo, n_docs, keeper``: exact counts of the keys that enough documents hold (pre-aggregated per task)."""
-    counts = references.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
+    """``hi, lo, n_docs, keeper``: how many documents hold the keys that enough of them hold, and the largest one.
+
+    Rows of one ``doc_id`` are one document, rows without one too. The references keep a row each, so what was inserted can be
+    taken out again; a key is counted per document before it is counted, so no task gathers a frequent line's rows.
+    """
+    counts = references.groupBy("hi", "lo").agg(F.count_distinct(F.struct("doc_id")).alias("n_docs"), F.max("doc_id").alias("keeper"))
     return counts.where(F.col("n_docs") >= min_docs)
 
 
@@ -187,7 +191,7 @@ def probe(references: DataFrame, filters: DataFrame, shards: int, salts: int) ->
 
     dealt = copies.unionByName(rows).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
     schema = f"hi long, lo long, doc_id {doc_type.simpleString()}"
-    return dealt.mapInPandas(match, schema)
+    return dealt.mapInPandas(tidy(match), schema)
 
 
 def dropped_lines(references: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -238,7 +242,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, key: str = "doc_id",
     other = fresh(docs, "_doc")
     dropped = dropped.select(F.col("doc_id").alias(other), F.col("dropped").alias(d))
     joined = docs.join(dropped, F.col(key).eqNullSafe(F.col(other)), "left")
-    rewrite = F.pandas_udf(_rewrite, "n_lines long, n_dropped long, kept string")
+    rewrite = F.pandas_udf(tidy(_rewrite), "n_lines long, n_dropped long, kept string")
     made = joined.withColumn(r, rewrite(F.col(text), F.col(f"{d}.hi"), F.col(f"{d}.lo")))
     kept = F.when(F.col(f"{r}.n_dropped") > 0, F.col(f"{r}.kept")).otherwise(F.col(text))
     columns = [kept.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]

@@ -86,3 +86,20 @@ def test_edge_cases(spark, docs, awkward):
     line = "the very same line of some words"
     tied = L.dedup_lines(docs([(None, line), (7, line), (7, line), (8, line), (8, line)])).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in tied) == [(0, ""), (7, ""), (7, ""), (8, line), (8, line)]
+
+
+def test_repeated_ids_are_one_document(spark, docs):
+    """As in the SQL statement: rows that share an id count once, and rows without an id count as one document."""
+    import duckdb
+
+    from stockweave.llm.queries import LINES_SQL
+
+    line, other = "a line that is long enough to count", "another line that is long enough as well"
+    rows = [(7, line), (7, line), (8, line + "\nshort"), (1, other), (2, other + "\n" + line[:10]), (3, other), (3, other)]
+    own = duckdb.connect()
+    own.register("documents", docs(rows).toPandas())
+    want = {r[0]: r[1:] for r in own.sql(LINES_SQL).fetchall() if r[0] in (1, 2, 8)}
+    done = L.dedup_lines(docs(rows)).collect()
+    assert {r["doc_id"]: (r["line_dedup"]["n_lines"], r["line_dedup"]["n_dropped"]) for r in done if r["doc_id"] in want} == {k: v[:2] for k, v in want.items()}
+    assert sorted(r["text"] for r in done if r["doc_id"] in (7, 8)) == sorted([line, line, line + "\nshort"])
+    assert [r["text"] for r in done if r["doc_id"] == 1] == [""] and [r["text"] for r in done if r["doc_id"] == 3] == [other, other]

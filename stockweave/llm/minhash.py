@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.llm.frames import fresh, release
+from stockweave.llm.frames import fresh, release, tidy
 from stockweave.session import cut_lineage
 
 HASHES, ROWS = 128, 4
@@ -93,7 +93,7 @@ def sketch(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text")
             rows.append((len(s), node_of(s), sig.tobytes(), sig.astype(np.uint8).tobytes()) if len(s) else (0, None, None, None))
         return pd.DataFrame(rows, columns=["n", "node", "sig", "brief"])
 
-    made = F.pandas_udf(of, "n long, node binary, sig binary, brief binary")(F.col(text))
+    made = F.pandas_udf(tidy(of), "n long, node binary, sig binary, brief binary")(F.col(text))
     return docs.select(F.col(key).alias("doc_id"), made.alias("s"), body_of(F.col(text)).alias("body")).select("doc_id", "body", "s.*")
 
 
@@ -112,7 +112,7 @@ def signatures_agree(a: Column, b: Column, least: float) -> Column:
         right = np.frombuffer(b"".join(y), np.uint8).reshape(len(y), -1)
         return pd.Series((left == right).mean(axis=1) >= least)  # unequal minima agree in a byte by chance 1 in 256
 
-    return F.pandas_udf(check, "boolean")(a, b)
+    return F.pandas_udf(tidy(check), "boolean")(a, b)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
@@ -126,9 +126,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> Dat
     # A union is at least the larger set and an intersection at most the smaller one.
     near = near.where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb"))
     near = cut_lineage(near.where(signatures_agree(F.col("_sa"), F.col("_sb"), percent / 100 - SIGNATURE_SLACK)).select("a", "b"))
-    salts = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_SALT).cast("int").alias("salts"))
-    members = near.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id"))
-    leaders = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("id"))
+    # Only leaders of very many partners have salts: a small table, so that no join gathers their partners.
+    hot = near.groupBy("a").count().where(F.col("count") > MEMBERS_PER_SALT)
+    hot = cut_lineage(hot.select("a", F.ceil(F.col("count") / MEMBERS_PER_SALT).cast("int").alias("salts")))
+    salted = F.coalesce(F.pmod(F.xxhash64("b"), "salts").cast("int"), F.lit(0))
+    members = near.join(hot, "a", "left").select("a", salted.alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id"))
+    every = near.select("a").distinct().join(hot, "a", "left")
+    leaders = every.select("a", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("id"))
     dealt = leaders.unionByName(members).join(sets.select("id", "text"), "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,7 +149,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> Dat
                         found.append((a, other))
             yield pd.DataFrame(found, columns=["a", "b"])
 
-    return dealt.select("a", "salt", "role", "id", "text").mapInPandas(compare, "a binary, b binary")
+    return dealt.select("a", "salt", "role", "id", "text").mapInPandas(tidy(compare), "a binary, b binary")
 
 
 def frequencies(sets: DataFrame, size: int) -> np.ndarray:
@@ -160,7 +164,7 @@ def frequencies(sets: DataFrame, size: int) -> np.ndarray:
             slot, n = np.unique(np.concatenate(slots) if slots else np.empty(0, np.uint64), return_counts=True)
             yield pd.DataFrame({"slot": slot.astype(np.int32), "n": n.astype(np.int64)})
 
-    table = sets.select("text").mapInPandas(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = sets.select("text").mapInPandas(tidy(count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     found = np.zeros(1 << SKETCH_BITS, np.int64)
     found[table["slot"].to_numpy()] = table["n"].to_numpy()
     return found
@@ -182,7 +186,7 @@ def fronts(sets: DataFrame, size: int, percent: int) -> DataFrame:
             out.append([{"token": t, "left": len(own) - i} for i, t in enumerate(ranked[:keep].view(np.int64).tolist())])
         return pd.Series(out)
 
-    made = F.explode(F.pandas_udf(front, "array<struct<token:long,left:int>>")("text")).alias("f")
+    made = F.explode(F.pandas_udf(tidy(front), "array<struct<token:long,left:int>>")("text")).alias("f")
     return sets.select("id", "n", "c", made).select("id", "n", "c", "f.token", "f.left")
 
 
@@ -272,7 +276,7 @@ def texts_of(classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
         return pd.Series([node_of(shingle_set(t, size)) == bytes(i) for i, t in zip(ids, found)], dtype=bool)
 
     # A doc_id may name several rows with other texts; equal texts of one class count once.
-    own = joined.where(F.pandas_udf(right, "boolean")("id", "text"))
+    own = joined.where(F.pandas_udf(tidy(right), "boolean")("id", "text"))
     return own.groupBy("id").agg(F.first("n").alias("n"), F.first("brief").alias("brief"), F.min("text").alias("text"))
 
 

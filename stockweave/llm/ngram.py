@@ -5,13 +5,15 @@ the longest context that the corpus continues this way, and ``ln 0.4`` more for
 context it scores ``ln(max(c(word), 1/2) / N)``. Counts leave out the document being scored, N is the number of words
 of the corpus. Word scores are rounded to millionths, so a document's sum does not depend on the order of addition.
 
-The documents are dealt into blocks. Each block sends its distinct n-grams with their counts to the count table, which
-is partitioned by n-gram hash; that joins every block's n-grams with the totals and returns how often other blocks hold
-each, in the order in which the block sent them: the block makes its sorted n-grams again from its text, so no key travels
+The documents are dealt into blocks. Each block explodes its texts to n-grams and sends its distinct ones with their counts to the count
+table, which is partitioned by order and hash; there every block's n-grams meet the totals of all blocks, and how often other blocks hold
+each goes back, in the order in which the block sent them: the block makes its sorted n-grams again from its text, so no key travels
 back. The block then sums the scores per document. A frequent n-gram is one entry per block, so no key is hot, and the
-text is shuffled once for both passes.
+text is shuffled once for both passes. A block writes to those partitions only that it has n-grams of, so messages never outnumber
+distinct n-grams per block and work is linear in the corpus.
 
-Null and empty texts have no words and the score 0. Rows that repeat a ``doc_id`` are documents of their own.
+N-grams are known by 62 bits of hash beside their order; two that collide would count as one, which has a chance of one in 10**10 in
+a corpus of 30,000 n-grams and of one in a thousand at 100 million. Null and empty texts have no words and the score 0. Rows that repeat a ``doc_id`` are documents of their own.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockweave.llm.frames import give_back, tidy
+
 BLOCK_BYTES = 12 << 20
 KEYS_PER_PART = 2_000_000
 BACKOFF = 0.4
@@ -59,10 +63,20 @@ def gram_keys(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.
     return sizes, keys, whole
 
 
+def tagged(key: np.ndarray, n: int) -> np.ndarray:
+    """Keys of n-grams of ``n + 1`` words: the order in the top two bits, so that sorted keys are sorted by order first."""
+    return (key >> np.uint64(2)) | np.uint64(n << 62)
+
+
 def block_counts(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram keys of all orders, sorted, and their counts. Orders share one key space."""
+    """Distinct n-gram keys of all orders, sorted, and their counts; one order at a time is in memory."""
     _, keys, whole = gram_keys(texts, order)
-    return np.unique(np.concatenate([k[w] for k, w in zip(keys, whole)]), return_counts=True)
+    distinct, counts = [], []
+    for n in range(order):
+        key, count = np.unique(tagged(keys[n][whole[n]], n), return_counts=True)
+        distinct.append(key)
+        counts.append(count)
+    return np.concatenate(distinct), np.concatenate(counts)
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -92,22 +106,26 @@ def score_block(texts: list[str | None], order: int, elsewhere: np.ndarray, word
     """
     sizes, keys, whole = gram_keys(texts, order)
     n = int(sizes.sum())
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    held = []  # one order at a time: the places of all orders together would take thrice the memory
-    for key, ok in zip(keys, whole):
-        distinct, at, count = np.unique(key[ok], return_inverse=True, return_counts=True)
-        held.append((distinct, at.astype(np.int32), count))
-    every = np.unique(np.concatenate([distinct for distinct, _, _ in held]))
-    counts = [count + elsewhere[np.searchsorted(every, distinct)] for distinct, _, count in held]
-    places = [at for _, at, _ in held]
-    del held, every, elsewhere
-    others = []  # per order: occurrences in other documents
-    for key, ok, at, count in zip(keys, whole, places, counts):
-        _, own_at, own = np.unique(_mix(key[ok], doc[ok].astype(np.uint64)), return_inverse=True, return_counts=True)
-        seen = np.zeros(n, np.int64)
-        seen[ok] = count[at] - own[own_at]
-        others.append(seen)
-    del keys, places, counts
+    doc = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    others, start = [], 0  # per order: occurrences in other documents
+    for k in range(order):
+        ok, key = whole[k], keys[k][whole[k]]
+        if k + 1 == order:
+            keys.clear()
+        else:
+            keys[k] = np.empty(0, np.uint64)
+        distinct, at, count = np.unique(tagged(key, k), return_inverse=True, return_counts=True)
+        stop = start + len(distinct)
+        seen = (count + elsewhere[start:stop])[at]
+        del distinct, at, count
+        start = stop
+        _, own_at, own = np.unique(_mix(key, doc[ok]), return_inverse=True, return_counts=True)
+        seen -= own[own_at]
+        del own_at, own, key
+        full = np.zeros(n, np.int64)
+        full[ok] = seen
+        others.append(full)
+    del whole, doc, elsewhere
     # The unigram comes first; every longer context that the other documents continue so replaces it.
     value = np.log(np.maximum(others[0], 0.5) / max(1, words)) + (order - 1) * math.log(BACKOFF)
     bare = np.ones(n, bool)
@@ -128,21 +146,25 @@ def score_documents(docs: DataFrame, order: int = 2, key: str = "doc_id", text:
     """``doc_id, n_words, n_without_context, score_micro`` per row of ``docs``."""
     size = docs.agg(F.sum(F.octet_length(F.col(text))).alias("b")).first()["b"] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    parts = max(1, math.ceil(size / 6 * order / KEYS_PER_PART))
+    ranges = max(1, math.ceil(size / 6 / KEYS_PER_PART))  # of the keys of each order
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    # A deal by range of the hash keeps one block per group; the id, the length and the start decide.
-    block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int")
+    # Id and text decide, so rows without an id spread too.
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     dealt = rows.select("doc_id", _packed(F.col("text")).alias("packed"), block.alias("block")).repartition(blocks, "block")
-    slice_size = (1 << 64) // parts + 1
+    width = (1 << 62) // ranges + 1
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         keys, counts = block_counts(_texts(group["packed"]), order)
-        compress = zstandard.ZstdCompressor(1).compress
-        cuts = np.searchsorted(keys, np.array([p * slice_size for p in range(1, parts)], np.uint64))
-        out = []
-        for p, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts))):
-            if len(k):
-                out.append((p, int(group["block"].iloc[0]), compress(pack_sorted(k)), pack_planes(c)))
+        compress, block = zstandard.ZstdCompressor(1).compress, int(group["block"].iloc[0])
+        part = (keys >> np.uint64(62)).astype(np.int64) * ranges + ((keys & np.uint64((1 << 62) - 1)) // np.uint64(width)).astype(np.int64)
+        used, first = np.unique(part, return_index=True)
+        del part
+        out = [
+            (int(p), block, compress(pack_sorted(keys[i:j])), pack_planes(counts[i:j]))
+            for p, i, j in zip(used, first, [*first[1:], len(keys)])
+        ]
+        del keys, counts
+        give_back()
         return pd.DataFrame(out, columns=["part", "block", "keys", "counts"])
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
@@ -155,17 +177,21 @@ def score_documents(docs: DataFrame, order: int = 2, key: str = "doc_id", text:
         for part, block, c in zip(group["part"], group["block"], counts):
             out.append((block, part, pack_planes(sums[start : start + len(c)] - c)))
             start += len(c)
+        del keys, counts, every, at, sums
+        give_back()
         return pd.DataFrame(out, columns=["block", "part", "elsewhere"])
 
-    counted = dealt.groupBy("block").applyInPandas(count, "part int, block int, keys binary, counts binary")
-    totals = counted.groupBy("part").applyInPandas(total, "block int, part int, elsewhere binary")
-    words = docs.select(F.col(text).alias("t")).mapInPandas(_word_counts, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+    counted = dealt.groupBy("block").applyInPandas(count, "part long, block int, keys binary, counts binary")
+    totals = counted.groupBy("part").applyInPandas(total, "block int, part long, elsewhere binary")
+    words = docs.select(F.col(text).alias("t")).mapInPandas(tidy(_word_counts), "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
 
     def score(group: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         sent = [unpack_planes(e) for e in table.sort_values("part")["elsewhere"]]  # parts are ranges of the sorted keys
         elsewhere = np.concatenate(sent) if sent else np.empty(0, np.int64)
         del sent
         n, bare, micro = score_block(_texts(group["packed"]), order, elsewhere, words)
+        del elsewhere
+        give_back()
         return pd.DataFrame({"doc_id": group["doc_id"], "n_words": n, "n_without_context": bare, "score_micro": micro})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -180,7 +206,7 @@ def _packed(text: Column) -> Column:
         compress = zstandard.ZstdCompressor(1).compress
         return pd.Series([compress(t.encode()) if t else None for t in texts], dtype=object)
 
-    return F.pandas_udf(pack, "binary")(text)
+    return F.pandas_udf(tidy(pack), "binary")(text)
 
 
 def _texts(packed: pd.Series) -> list[str]:

@@ -18,6 +18,13 @@ def mean_price(prices: DataFrame) -> DataFrame:
     return prices.groupBy("product_id").agg(round_half_even(F.avg("unit_price"), 4).alias("avg_unit_price"))
 
 
+def priced_items(prices: DataFrame) -> DataFrame:
+    """Every (product, store) with a price, and its product's mean unit price: sums per item, then over the few items of a product."""
+    items = prices.groupBy("product_id", "store_id").agg(F.sum("unit_price").alias("_sum"), F.count("unit_price").alias("_n"))
+    of = W.partitionBy("product_id")
+    return items.select("product_id", "store_id", round_half_even(F.sum("_sum").over(of) / F.sum("_n").over(of), 4).alias("avg_unit_price"))
+
+
 def store_demand(demand: DataFrame) -> DataFrame:
     return demand.groupBy("store_id").agg(F.sum("mean_daily_demand").alias("mean_daily_demand"))
 

@@ -20,8 +20,8 @@ def scalar(df: DataFrame, column: str):
     return df.select(column).scalar()
 
 
-def sales_grid(t: DriverTables) -> DataFrame:
-    return spine.observed_grid(t.sales, "date", ENTITIES, "quantity", t.ship_bounds)
+def sales_grid(t: DriverTables, sales: DataFrame | None = None) -> DataFrame:
+    return spine.observed_grid(t.sales if sales is None else sales, "date", ENTITIES, "quantity", t.ship_bounds)
 
 
 def series_ids(t: DriverTables) -> DataFrame:
@@ -233,11 +233,14 @@ def single_ledger(t: DriverTables) -> DataFrame:
     return stock_ledger(with_opening(movements(t), 14))
 
 
-def variant_ledgers(t: DriverTables) -> DataFrame:
-    """Six ledgers on the same receipts: two demand runs by three opening covers, in one pass."""
+RUNS = {"baseline": 5, "stress": 6}  # demand in fifths
+
+
+def variant_ledgers(t: DriverTables, wanted: tuple[str, ...] = tuple(RUNS)) -> DataFrame:
+    """Ledgers on the same receipts: the wanted demand runs by three opening covers, in one pass."""
     from stockweave.operators.ledger import stock_ledger
 
-    runs = F.array(*[F.struct(F.lit(r).alias("run_id"), F.lit(f).alias("fifths")) for r, f in (("baseline", 5), ("stress", 6))])
+    runs = F.array(*[F.struct(F.lit(r).alias("run_id"), F.lit(f).alias("fifths")) for r, f in RUNS.items() if r in wanted])
     covers = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(c).alias("cover")) for v, c in (("cover_07", 7), ("cover_14", 14), ("cover_28", 28))])
     tagged = movements(t).select("*", F.inline(runs)).select("*", F.inline(covers))
     opened = with_opening(tagged, F.col("cover"), ("run_id", "variant"))

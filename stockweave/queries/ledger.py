@@ -140,13 +140,13 @@ def order_costs(t):
 
 
 def costs(t):
+    """Unit cost, mean price and holding rate per item, from one pass over the lines."""
     from stockweave.functions.numeric import round_half_even
 
-    price = A.mean_price(t.price)
-    supplied = price.select("product_id", round_half_even(F.col("avg_unit_price") * 0.7, 2).alias("unit_cost"))
-    houses = t.raw("region").select(F.col("r_name").alias("warehouse_id"), F.lit(RATE).alias("holding_cost_rate_annual"))
-    items = t.sales.select("product_id", F.col("store_id").alias("warehouse_id")).distinct()
-    return K.item_costs(items, supplied, price, houses)
+    return A.priced_items(t.price).select(
+        "product_id", F.col("store_id").alias("warehouse_id"), round_half_even(F.col("avg_unit_price") * 0.7, 2).alias("unit_cost"),
+        F.col("avg_unit_price").alias("unit_price"), F.lit(RATE).alias("holding_cost_rate_annual"),
+    )
 
 
 @query(
@@ -154,7 +154,14 @@ def costs(t):
     with_ctes("unit_costs entities", f"SELECT product_id, store_id AS warehouse_id, unit_cost, unit_price, CAST({RATE} AS DOUBLE) AS holding_cost_rate_annual FROM entities JOIN unit_costs USING (product_id)"),
 )
 def item_costs(t):
-    return costs(t)
+    """Costs joined table by table, as a caller with separate price, supplier and warehouse tables has them."""
+    from stockweave.functions.numeric import round_half_even
+
+    price = A.mean_price(t.price)
+    supplied = price.select("product_id", round_half_even(F.col("avg_unit_price") * 0.7, 2).alias("unit_cost"))
+    houses = t.raw("region").select(F.col("r_name").alias("warehouse_id"), F.lit(RATE).alias("holding_cost_rate_annual"))
+    items = t.price.select("product_id", F.col("store_id").alias("warehouse_id")).distinct()
+    return K.item_costs(items, supplied, price, houses)
 
 
 def cents(expression: str) -> str:
@@ -208,18 +215,18 @@ _UNIT_ROWS = " UNION ALL ".join(f"SELECT '{m}' AS metric_id, {m} AS value, '{u}'
 
 @query("inventory_kpis", with_ctes("kpi_single", _UNIT_ROWS))
 def inventory_kpis(t):
-    kpis = K.inventory_kpis(I.single_ledger(t), K.order_totals(t.purchase_orders), costs(t), order_costs(t), horizon_days(t))
+    kpis = K.inventory_kpis(I.single_ledger(t), t.supplier_orders, costs(t), order_costs(t), horizon_days(t))
     return K.metric_rows(stable_kpis(kpis))
 
 
-def tagged_orders(t):
+def tagged_orders(t, runs):
     """Order totals per supplier, charged to every (run, variant): summed first, then repeated."""
-    tags = F.array(*[F.struct(F.lit(r).alias("run_id"), F.lit(v).alias("variant")) for r in ("baseline", "stress") for v in ("cover_07", "cover_14", "cover_28")])
-    return K.order_totals(t.purchase_orders).select("*", F.inline(tags))
+    tags = F.array(*[F.struct(F.lit(r).alias("run_id"), F.lit(v).alias("variant")) for r in runs for v in ("cover_07", "cover_14", "cover_28")])
+    return t.supplier_orders.select("*", F.inline(tags))
 
 
-def kpis_by_run(t):
-    kpis = K.inventory_kpis(I.variant_ledgers(t), tagged_orders(t), costs(t), order_costs(t), horizon_days(t), ("run_id", "variant"))
+def kpis_by_run(t, runs=("baseline", "stress")):
+    kpis = K.inventory_kpis(I.variant_ledgers(t, runs), tagged_orders(t, runs), costs(t), order_costs(t), horizon_days(t), ("run_id", "variant"))
     return stable_kpis(kpis)
 
 
@@ -244,7 +251,7 @@ def capacity_breaches(t):
 
 @query("policy_scorecard", with_ctes("kpi_runs", "SELECT * EXCLUDE (run_id), row_number() OVER (ORDER BY total_cost, variant) AS cost_rank FROM kpi_runs WHERE run_id = 'baseline'"))
 def policy_scorecard(t):
-    return R.policy_scorecard(kpis_by_run(t).where("run_id = 'baseline'").drop("run_id"))
+    return R.policy_scorecard(kpis_by_run(t, ("baseline",)).drop("run_id"))
 
 
 @query("metrics_pivot", with_ctes("kpi_runs", "SELECT run_id || '/' || variant AS variant, * EXCLUDE (run_id, variant) FROM kpi_runs"))

@@ -243,7 +243,7 @@ JOIN (SELECT s_suppkey AS supplier_id, row_number() OVER (ORDER BY s_suppkey) AS
 def build_operations(t):
     cfg = operations.OperationsConfig()
     suppliers = operations.build_suppliers(t.raw("supplier").select("s_suppkey"), "s_suppkey", SEED, cfg, keep_key=True)
-    tables = operations.build_operations(I.sales_grid(t), t.price, SEED, I.scalar(t.ship_bounds, "hi"), suppliers, t.lead_times, cfg)
+    tables = operations.build_operations(I.sales_grid(t, t.day_totals), t.day_price, SEED, I.scalar(t.ship_bounds, "hi"), suppliers, t.lead_times, cfg)
     item = ["product_id", "warehouse_id"]
     return (
         tables["planning_input"]

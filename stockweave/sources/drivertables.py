@@ -100,6 +100,28 @@ class DriverTables:
             "week_id", "product_id", "store_id", round_half_even(F.col("cents") / F.col("units") / 100, 2).alias("unit_price")
         )
 
+    @cached_property
+    def day_totals(self) -> DataFrame:
+        """Units and cents per ship day, product and store: what sales and prices are both derived from.
+
+        The filters keep both sums in every use, so that branches of one query share the shuffle.
+        """
+        sums = [F.sum("quantity").alias("quantity"), F.sum("cents").alias("cents")]
+        return self.lines.groupBy("date", "product_id", "store_id").agg(*sums).where("quantity IS NOT NULL AND cents IS NOT NULL")
+
+    @cached_property
+    def day_price(self) -> DataFrame:
+        """As ``price``, from ``day_totals``."""
+        weekly = self.day_totals.groupBy(C.iso_week_id(F.col("date")).alias("week_id"), "product_id", "store_id").agg(F.sum("cents").alias("cents"), F.sum("quantity").alias("units"))
+        return weekly.select("week_id", "product_id", "store_id", round_half_even(F.col("cents") / F.col("units") / 100, 2).alias("unit_price"))
+
+    @cached_property
+    def supplier_orders(self) -> DataFrame:
+        """Orders and units per supplier, straight from the lines: their keys refer to existing orders and parts."""
+        lines = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("quantity"))
+        placed = lines.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.sum("quantity").alias("quantity"))
+        return placed.groupBy(F.col("l_suppkey").alias("supplier_id")).agg(F.count(F.lit(1)).alias("orders"), F.sum("quantity").alias("units"))
+
     @cached_property
     def calendar(self) -> DataFrame:
         spine = date_spine(self.ship_bounds, F.col("lo"), F.col("hi"))

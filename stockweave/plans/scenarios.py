@@ -45,3 +45,16 @@ def ignored_noise(parameters: DataFrame, distribution: str) -> DataFrame:
     """Scenarios whose noise scale has no effect because counts follow the Poisson law."""
     relevant = (F.col("parameter") == "noise_scale") & (F.col("value") != 1.0) & F.lit(distribution == "poisson")
     return parameters.where(relevant).select("scenario_id", F.lit("noise_scale only applies to the negative binomial distribution").alias("warning"))
+
+
+def scenario_report(demand: DataFrame, parameters: DataFrame, mapping: DataFrame, distribution: str = "negative_binomial") -> DataFrame:
+    """One row per scenario of flagged ``scenario_demand``: rows, units, clipped and event days, unused parameters, warning.
+
+    Scenarios are few; each has one row before the joins.
+    """
+    totals = demand.groupBy("scenario_id").agg(
+        F.count(F.lit(1)).alias("demand_rows"), F.sum("quantity").alias("units"), F.count_if("season_clipped").alias("clipped_rows"), F.count_if("on_event").alias("event_rows"),
+    )
+    unused = unused_parameters(parameters, mapping).groupBy("scenario_id").agg(F.array_join(F.array_sort(F.collect_list("parameter")), ",").alias("unused"))
+    joined = totals.join(unused, "scenario_id", "left").join(ignored_noise(parameters, distribution), "scenario_id", "left")
+    return joined.withColumns({"unused": F.coalesce("unused", F.lit("")), "warning": F.coalesce("warning", F.lit(""))})

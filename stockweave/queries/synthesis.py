@@ -182,6 +182,32 @@ def scenario_demand(t):
     return noise_free(t)
 
 
+#: The built-in scenarios and one that only turns the noise down, which counts without dispersion do not know.
+REPORTED = {**scenarios.SCENARIOS, "calm": {"noise_scale": 0.5}}
+EVENT_DAYS = "strftime(date, '%m-%d') IN ('01-20', '05-01', '06-15', '08-15', '10-03')"
+
+
+@query(
+    "scenario_report",
+    with_ctes("expected", f""", rows AS (SELECT * FROM expected UNION ALL SELECT 'calm', * EXCLUDE (scenario_id) FROM expected WHERE scenario_id = 'baseline'),
+flagged AS (SELECT scenario_id, season_clipped, {EVENT_DAYS} AS on_event, CAST(round_even(rate * CASE WHEN {EVENT_DAYS} THEN 1.5 ELSE 1.0 END, 0) AS BIGINT) AS quantity FROM rows)
+SELECT scenario_id, CAST(count(*) AS BIGINT) AS demand_rows, CAST(sum(quantity) AS BIGINT) AS units, CAST(count(*) FILTER (season_clipped) AS BIGINT) AS clipped_rows,
+       CAST(count(*) FILTER (on_event) AS BIGINT) AS event_rows,
+       CASE scenario_id WHEN 'supply_disruption' THEN 'disruption_duration_days,disruption_start_day,lead_time_delta,supply_capacity_factor' ELSE '' END AS unused,
+       CASE scenario_id WHEN 'calm' THEN 'noise_scale only applies to the negative binomial distribution' ELSE '' END AS warning
+FROM flagged GROUP BY scenario_id"""),
+)
+def scenario_report(t):
+    """Expected demand of every scenario with its event days, and what of its parameters had no effect under the Poisson law."""
+    from stockweave.sources import retail
+
+    effects = {name: calibrate.effects_from({**p, "noise_scale": 0.0}, scenarios.DEMAND_MAPPING)[0] for name, p in REPORTED.items()}
+    start = horizon_start(t)
+    days = t.ship_bounds.select(F.explode(F.sequence(start, F.date_add(start, 90))).alias("date"))
+    demand = synth.scenario_demand(calibrated(t), effects, start, 91, SEED, ENTITIES, events=retail.event_calendar(days), event_multiplier=1.5, flags=True)
+    return scenarios.scenario_report(demand, scenarios.parameter_table(t.spark, REPORTED), scenarios.effect_mapping(t.spark), "poisson")
+
+
 @query("scenario_demand_noisy")
 def scenario_demand_noisy(t):
     """All scenarios with their own noise; they share their uniforms, so no scenario of higher rates sells less."""

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from stockweave.plans import boosting as B
 from stockweave.plans import forecast as fc
-from stockweave.queries import QUERIES
+from stockweave.queries.forecasting import model_accuracy
+from stockweave.sources.drivertables import DriverTables
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,7 +85,7 @@ def test_missing_values_constants_and_empty_tables(spark):
 
 
 def test_learned_forecast_beats_the_seasonal_naive_one(spark):
-    rows = {r["model"]: r for r in QUERIES["forecast_ml_accuracy"](spark, "/root/testdata/sf0.01").collect()}
+    rows = {r["model"]: r for r in model_accuracy(DriverTables(spark, "/root/testdata/sf0.01")).collect()}
     assert rows["learned"]["wape"] < 0.95 * rows["seasonal_naive"]["wape"] and abs(rows["learned"]["bias"]) < 0.05
     assert rows["learned"]["training_rows"] == 84840 and rows["learned"]["trees"] >= 1 and rows["learned"]["top_feature"]
     assert rows["seasonal_naive"]["training_rows"] is None

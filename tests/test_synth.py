@@ -189,3 +189,24 @@ def test_demand_stats(spark):
     rows = [(d, "A", 2) for d in days(dt.date(2024, 1, 1), 14)] + [(d, "B", 4 * (i % 2)) for i, d in enumerate(days(dt.date(2024, 1, 1), 14))]
     stats = demand_stats(spark.createDataFrame(rows, "date date, item string, quantity bigint"), ["item"]).first()
     assert (stats["series"], stats["days"], stats["mean_units"], stats["zero_share"]) == (2, 14, 2.0, 0.25)
+
+
+def test_events_flags_and_the_scenario_report(spark, profiles):
+    from stockweave.plans import scenarios
+
+    events = spark.createDataFrame([(START,), (START,)], "date date")
+    effects = {"plain": calibrate.Effects(noise_scale=0.0), "steep": calibrate.Effects(noise_scale=0.0, seasonality_multiplier=8.0)}
+    without = synth.scenario_demand(profiles, effects, START, 28, 1, ENTITY)
+    flagged = synth.scenario_demand(profiles, effects, START, 28, 1, ENTITY, events=events, event_multiplier=3.0, flags=True).cache()
+    assert without.columns == ["date", *ENTITY, "quantity", "scenario_id", "day_index"] and flagged.columns[-2:] == ["season_clipped", "on_event"]
+    keys = ["date", *ENTITY, "scenario_id"]
+    both = flagged.join(without.withColumnRenamed("quantity", "usual"), keys).toPandas()
+    first = both["on_event"]
+    assert first.sum() == (both["date"] == START).sum() > 0 and (both.loc[~first, "quantity"] == both.loc[~first, "usual"]).all()
+    assert (abs(both.loc[first, "quantity"] - 3 * both.loc[first, "usual"]) <= 1.5).all()
+    parameters = scenarios.parameter_table(spark, {"plain": {"noise_scale": 2.0, "colour": 1.0, "area": 2.0}, "steep": {"seasonality_multiplier": 8.0}})
+    mapping = scenarios.effect_mapping(spark)
+    report = {r["scenario_id"]: r for r in scenarios.scenario_report(flagged, parameters, mapping, "poisson").collect()}
+    assert report["plain"]["unused"] == "area,colour" and "noise_scale" in report["plain"]["warning"] and report["steep"]["warning"] == ""
+    assert report["plain"]["clipped_rows"] == 0 < report["steep"]["clipped_rows"] and report["steep"]["event_rows"] == first.sum() / 2
+    assert {r["warning"] for r in scenarios.scenario_report(flagged, parameters, mapping).collect()} == {""}

@@ -82,6 +82,22 @@ def distributed_rank(df: DataFrame, order: Sequence[Column], name: str = "rank",
     return placed.withColumn(name, (F.col("_offset") + position + 1).cast("bigint")).drop("_id", "_part", "_offset")
 
 
+def ranks_within(df: DataFrame, group: str, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """1-based position in sort order within each value of ``group``, for any size of group, from one sort for all of them.
+
+    As ``distributed_rank``, whose rules hold for ``order``: rows are range-partitioned by group and order, and a group that spans
+    partitions gets the sizes of its earlier parts. The offsets are a row per partition and group. Rows without a group are left out.
+    """
+    keys = [F.col(group), *order]
+    numbered = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    numbered = cut_lineage(numbered.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id"))
+    sizes = numbered.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first"))
+    before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(group, "_part", (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset"))
+    placed = numbered.join(offsets, [group, "_part"])
+    return placed.withColumn(name, (F.col("_offset") + F.col("_at")).cast("bigint")).drop("_part", "_at", "_offset")
+
+
 def sequence_ids(df: DataFrame, order: Sequence[Column], name: str, prefix: str = "", start: int = 1, width: int = 3,
                  as_int: bool = False) -> DataFrame:
     """``<prefix><n zero-padded>`` or plain integers, numbered in key order."""

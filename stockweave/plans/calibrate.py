@@ -78,7 +78,12 @@ def _moments(level: Column, weekly: Column, monthly: Column, cells: Column) -> t
 def calibrate_profiles(sales: DataFrame, entities: Sequence[str], end: object, window_days: int | None = 730, time: str = "date",
                        value: str = "quantity", start: object | None = None) -> DataFrame:
     """One profile per series: level, weekly[7], monthly[12], dispersion."""
-    factors = seasonal_factors(seasonal_cells(sales, entities, end, window_days, time, value, start), entities)
+    return profiles_of(seasonal_cells(sales, entities, end, window_days, time, value, start), entities)
+
+
+def profiles_of(cells: DataFrame, entities: Sequence[str]) -> DataFrame:
+    """The profiles that ``seasonal_cells`` give."""
+    factors = seasonal_factors(cells, entities)
     squares, excess = _moments(F.col("level"), F.col("weekly"), F.col("monthly"), F.col("_cells"))
     known = factors.withColumns({"_squares": squares, "_excess": excess})
     spread = F.when(F.col("_excess") > 0, clip(F.col("_squares") / F.col("_excess"), DISPERSION_MIN, DISPERSION_POISSON)).otherwise(F.lit(DISPERSION_POISSON))

@@ -8,7 +8,7 @@ from stockweave.functions.numeric import round_half_even, stable6
 from stockweave.operators import aggregates as A
 from stockweave.operators import fingerprint as FP
 from stockweave.operators import spine
-from stockweave.plans import calibrate
+from stockweave.plans import calibrate, state
 from stockweave.plans import forecast as fc
 from stockweave.plans import planning as P
 from stockweave.queries import inputs as I
@@ -17,6 +17,8 @@ from stockweave.queries.inputs import ENTITIES
 from stockweave.queries.joins import mean_daily, recent_days
 from stockweave.queries.registry import query
 from stockweave.queries.sqlparts import define, even, r6, with_ctes
+from stockweave.sources import versions
+from stockweave.sources.files import scratch_path
 
 
 @query("avg_price_per_product", with_ctes("price", f"SELECT product_id, {even('avg(unit_price)', 4)} AS avg_unit_price FROM price GROUP BY ALL"))
@@ -166,44 +168,44 @@ def distinct_dims(t):
 
 
 # Weekday and month factors of the last 730 days, leading zeros left out; factors rounded to 6 places.
-define(
-    "active",
-    "SELECT g.product_id, g.store_id, g.date, CAST(quantity AS DOUBLE) AS y FROM grid g JOIN first_sale USING (product_id, store_id) WHERE g.date >= greatest(first, (SELECT hi - 729 FROM bounds))",
-    "grid", "first_sale", "bounds",
-)
-define("level", "SELECT product_id, store_id, avg(y) AS level FROM active GROUP BY ALL", "active")
-
-
-def _factor_cte(name: str, key: str, count: int, first: int) -> None:
+def _profile_ctes(p: str, start: str) -> None:
+    """Level, factors and dispersion of active history from ``start`` on; names begin with ``p``."""
     define(
-        name,
-        f"""
+        f"{p}active",
+        f"SELECT g.product_id, g.store_id, g.date, CAST(quantity AS DOUBLE) AS y FROM grid g JOIN first_sale USING (product_id, store_id) WHERE g.date >= greatest(first, (SELECT {start} FROM bounds))",
+        "grid", "first_sale", "bounds",
+    )
+    define(f"{p}level", f"SELECT product_id, store_id, avg(y) AS level FROM {p}active GROUP BY ALL", f"{p}active")
+    for name, key, count, first in (("weekly", "isodow(date) - 1", 7, 0), ("monthly", "month(date)", 12, 1)):
+        define(
+            f"{p}{name}",
+            f"""
 SELECT l.product_id, l.store_id, k AS key, {even('coalesce(m / level / scale, 1.0)', 6)} AS factor
-FROM level l CROSS JOIN (SELECT unnest(generate_series({first}, {first + count - 1})) AS k)
-LEFT JOIN (SELECT product_id, store_id, {key} AS key, avg(y) AS m FROM active GROUP BY ALL) w ON w.product_id = l.product_id AND w.store_id = l.store_id AND w.key = k
-JOIN (SELECT product_id, store_id, avg(m / level) AS scale FROM (SELECT product_id, store_id, {key} AS key, avg(y) AS m FROM active GROUP BY ALL) JOIN level USING (product_id, store_id) GROUP BY ALL) s
+FROM {p}level l CROSS JOIN (SELECT unnest(generate_series({first}, {first + count - 1})) AS k)
+LEFT JOIN (SELECT product_id, store_id, {key} AS key, avg(y) AS m FROM {p}active GROUP BY ALL) w ON w.product_id = l.product_id AND w.store_id = l.store_id AND w.key = k
+JOIN (SELECT product_id, store_id, avg(m / level) AS scale FROM (SELECT product_id, store_id, {key} AS key, avg(y) AS m FROM {p}active GROUP BY ALL) JOIN {p}level USING (product_id, store_id) GROUP BY ALL) s
   ON s.product_id = l.product_id AND s.store_id = l.store_id""",
-        "level",
+            f"{p}level",
+        )
+    define(
+        f"{p}moments",
+        f"""
+SELECT product_id, store_id, sum(fit * fit) AS squares, sum((y - fit) * (y - fit) - fit) AS excess FROM (
+  SELECT a.product_id, a.store_id, y, level * w.factor * m.factor AS fit FROM {p}active a JOIN {p}level l ON l.product_id = a.product_id AND l.store_id = a.store_id
+  JOIN {p}weekly w ON w.product_id = a.product_id AND w.store_id = a.store_id AND w.key = isodow(a.date) - 1
+  JOIN {p}monthly m ON m.product_id = a.product_id AND m.store_id = a.store_id AND m.key = month(a.date)) GROUP BY ALL
+""",
+        f"{p}active", f"{p}level", f"{p}weekly", f"{p}monthly",
+    )
+    define(
+        f"{p}profiles",
+        f"SELECT product_id, store_id, {even('level', 6)} AS level, {even('CASE WHEN excess > 0 THEN least(greatest(squares / excess, 0.05), 1e6) ELSE 1e6 END', 6)} AS dispersion FROM {p}level JOIN {p}moments USING (product_id, store_id)",
+        f"{p}level", f"{p}moments",
     )
 
 
-_factor_cte("weekly", "isodow(date) - 1", 7, 0)
-_factor_cte("monthly", "month(date)", 12, 1)
-define(
-    "moments",
-    """
-SELECT product_id, store_id, sum(fit * fit) AS squares, sum((y - fit) * (y - fit) - fit) AS excess FROM (
-  SELECT a.product_id, a.store_id, y, level * w.factor * m.factor AS fit FROM active a JOIN level l ON l.product_id = a.product_id AND l.store_id = a.store_id
-  JOIN weekly w ON w.product_id = a.product_id AND w.store_id = a.store_id AND w.key = isodow(a.date) - 1
-  JOIN monthly m ON m.product_id = a.product_id AND m.store_id = a.store_id AND m.key = month(a.date)) GROUP BY ALL
-""",
-    "active", "level", "weekly", "monthly",
-)
-define(
-    "profiles",
-    f"SELECT product_id, store_id, {even('level', 6)} AS level, {even('CASE WHEN excess > 0 THEN least(greatest(squares / excess, 0.05), 1e6) ELSE 1e6 END', 6)} AS dispersion FROM level JOIN moments USING (product_id, store_id)",
-    "level", "moments",
-)
+_profile_ctes("", "hi - 729")
+_profile_ctes("whole_month_", "date_trunc('month', hi - 729)")
 
 
 def calibrated(t):
@@ -236,5 +238,24 @@ def dispersion_moments(t):
     (SELECT {r6('sum(factor * key)')} FROM monthly m WHERE m.product_id = p.product_id AND m.store_id = p.store_id) AS monthly_moment FROM profiles p"""),
 )
 def calibrate_profiles(t):
+    return profile_moments(calibrated(t))
+
+
+def profile_moments(profiles):
     weighted = lambda c: F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
-    return calibrated(t).select(*ENTITIES, "level", "dispersion", stable6(weighted("weekly")).alias("weekly_moment"), stable6(weighted("monthly")).alias("monthly_moment"))
+    return profiles.select(*ENTITIES, "level", "dispersion", stable6(weighted("weekly")).alias("weekly_moment"), stable6(weighted("monthly")).alias("monthly_moment"))
+
+
+@query(
+    "calibrate_incremental",
+    with_ctes("whole_month_profiles whole_month_weekly whole_month_monthly", f"""SELECT product_id, store_id, level, dispersion,
+    (SELECT {r6('sum(factor * (key + 1))')} FROM whole_month_weekly w WHERE w.product_id = p.product_id AND w.store_id = p.store_id) AS weekly_moment,
+    (SELECT {r6('sum(factor * key)')} FROM whole_month_monthly m WHERE m.product_id = p.product_id AND m.store_id = p.store_id) AS monthly_moment FROM whole_month_profiles p"""),
+)
+def calibrate_incremental(t):
+    """Profiles of the last two years from stored month cells; the last month is added to what was stored before it."""
+    root, grid, hi = scratch_path(t.spark, "month-cells"), I.sales_grid(t), I.scalar(t.ship_bounds, "hi")
+    last = F.trunc(hi, "month")
+    state.add_months(grid.where(F.col("date") < last), root, ENTITIES)
+    state.add_months(grid.where(F.col("date") >= last), root, ENTITIES)
+    return profile_moments(state.profiles_from_cells(versions.read(t.spark, root), ENTITIES, F.date_sub(hi, 729)))

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from stockweave.functions import calendar as C
 from stockweave.functions.numeric import stable6
+from stockweave.operators import lineage
 from stockweave.operators import select as S
 from stockweave.queries import inputs as I
 from stockweave.queries.registry import query
-from stockweave.queries.sqlparts import r6, with_ctes
+from stockweave.queries.sqlparts import define, r6, with_ctes
 from stockweave.schema import FieldSpec, TableSpec
 from stockweave.sources import files, registry, retail, versions
 
@@ -237,6 +238,55 @@ def lineage_edges(t):
     )
 
 
+def artifact_edges(t):
+    """Months -> quarters -> years -> whole histories of every store -> one report over all stores."""
+    edges = registry.lineage_edges(I.quarter_provenance(t)).select("dataset_id", "version", "input_id", "input_version")
+    quarters = edges.select("dataset_id", "version").distinct()
+    store, year = F.substring_index("dataset_id", ".quarter", 1), F.substring_index("version", ".", 1)
+    years = quarters.select(F.concat(store, F.lit(".year")).alias("dataset_id"), year.alias("version"), F.col("dataset_id").alias("input_id"), F.col("version").alias("input_version"))
+    histories = years.select(F.concat(F.substring_index("dataset_id", ".year", 1), F.lit(".all")).alias("dataset_id"), F.lit("1").alias("version"), F.col("dataset_id").alias("input_id"), F.col("version").alias("input_version")).distinct()
+    report = histories.select(F.lit("sales.report").alias("dataset_id"), F.lit("1").alias("version"), F.col("dataset_id").alias("input_id"), F.col("version").alias("input_version")).distinct()
+    return edges.unionByName(years).unionByName(histories).unionByName(report)
+
+
+define(
+    "artifact_edges",
+    """
+SELECT DISTINCT * FROM (
+  SELECT dataset_id, version, input_id, input_version FROM edges
+  UNION ALL SELECT replace(dataset_id, '.quarter', '.year'), split_part(version, '.', 1), dataset_id, version FROM edges
+  UNION ALL SELECT replace(dataset_id, '.quarter', '.all'), '1', replace(dataset_id, '.quarter', '.year'), split_part(version, '.', 1) FROM edges
+  UNION ALL SELECT 'sales.report', '1', replace(dataset_id, '.quarter', '.all'), '1' FROM edges)
+""",
+    "edges",
+)
+
+
+@query(
+    "lineage_ancestors",
+    with_ctes("artifact_edges", """, reach AS (
+  SELECT dataset_id, version, input_id, input_version, 1 AS depth FROM artifact_edges
+  UNION SELECT r.dataset_id, r.version, e.input_id, e.input_version, r.depth + 1 FROM reach r JOIN artifact_edges e ON e.dataset_id = r.input_id AND e.version = r.input_version)
+SELECT dataset_id, version, input_id AS ancestor_id, input_version AS ancestor_version, CAST(min(depth) AS BIGINT) AS depth, input_id = 'sales.asia.quarter' AS drifted
+FROM reach GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def lineage_ancestors(t):
+    """Everything each artifact was made from; the quarters of one store have been registered anew since."""
+    return lineage.ancestors(artifact_edges(t), F.col("input_id") == "sales.asia.quarter")
+
+
+@query(
+    "lineage_impact",
+    with_ctes("artifact_edges", """, reach AS (
+  SELECT dataset_id, version, input_id, input_version, 1 AS depth FROM artifact_edges
+  UNION SELECT r.dataset_id, r.version, e.input_id, e.input_version, r.depth + 1 FROM reach r JOIN artifact_edges e ON e.dataset_id = r.input_id AND e.version = r.input_version)
+SELECT input_id AS dataset_id, input_version AS version, CAST(count(DISTINCT (dataset_id, version)) AS BIGINT) AS dependants, CAST(max(depth) AS BIGINT) AS furthest
+FROM reach GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def lineage_impact(t):
+    return lineage.impact(artifact_edges(t))
+
+
 # --- B: projections and filters -----------------------------------------------------------------
 
 PART = TableSpec("test.part", (FieldSpec("p_type", "str"), FieldSpec("p_partkey", "int"), FieldSpec("p_retailprice", "float")))

@@ -71,8 +71,7 @@ def csv_bad_values(t):
     )
     path = files.scratch_path(t.spark, "events-text")
     text.write.option("header", True).csv(path)
-    stored = files.read_csv_text(t.spark, path, EVENT_TEXT)
-    return files.bad_value_audit(stored, EVENT_TEXT).withColumn("examples", F.array_join("examples", "|"))
+    return files.ingest_csv(t.spark, path, EVENT_TEXT).report.withColumn("examples", F.array_join("examples", "|"))
 
 
 CUSTOMER = TableSpec(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
@@ -109,15 +110,45 @@ def read_csv_text(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
     return raw.select(*[null_tokens(F.col(name)).alias(name) for name in spec.names])
 
 
-def read_csv_typed(spark: SparkSession, path: str, spec: TableSpec, audit: bool = True) -> DataFrame:
-    """Typed CSV read. With ``audit``, bad values are counted first and reported together."""
+@dataclass(frozen=True)
+class Ingested:
+    """Typed rows, the rows with a bad value as the texts that were read, and the audit of these."""
+
+    rows: DataFrame
+    rejected: DataFrame
+    report: DataFrame
+
+
+def ingest_csv(spark: SparkSession, path: str, spec: TableSpec) -> Ingested:
+    """Type a CSV source in one scan: rows are typed while they are copied to a staging folder, those with a bad value set aside.
+
+    All bad values lie in the rows set aside, so their audit is that of the whole source and reads nothing else.
+    """
     text = read_csv_text(spark, path, spec)
-    if audit:
-        bad = [r for r in bad_value_audit(text, spec).collect() if r["bad_count"]]  # one row per column
-        if bad:
-            detail = "; ".join(f"column {r['column']!r}: {r['bad_count']} bad, e.g. {list(r['examples'])}" for r in bad)
-            raise IngestionError(f"{path}: {detail}")
-    return type_text(text, spec)
+    bad = F.lit(False)
+    for f in spec.fields:
+        bad = bad | is_bad(F.col(f.name), f)
+    typed = [F.when(~bad, convert_text(F.col(f.name), f)).cast(f.spark_type).alias(f"value_{i}") for i, f in enumerate(spec.fields)]
+    texts = F.when(bad, F.struct(*spec.names))
+    staging = scratch_path(spark, "typed")
+    staged = text.select(*typed, texts.alias("texts"), bad.alias("bad"))
+    staged.write.partitionBy("bad").parquet(staging)
+    stored = spark.read.schema(staged.schema).parquet(staging)
+    rows = stored.where("NOT bad").select(*[F.col(f"value_{i}").alias(name) for i, name in enumerate(spec.names)])
+    rejected = stored.where("bad").select("texts.*")
+    return Ingested(rows, rejected, bad_value_audit(rejected, spec))
+
+
+def read_csv_typed(spark: SparkSession, path: str, spec: TableSpec, audit: bool = True) -> DataFrame:
+    """Typed CSV read. With ``audit``, bad values are counted and reported together before any row is returned."""
+    if not audit:
+        return type_text(read_csv_text(spark, path, spec), spec)
+    found = ingest_csv(spark, path, spec)
+    bad = [r for r in found.report.collect() if r["bad_count"]]  # one row per column
+    if bad:
+        detail = "; ".join(f"column {r['column']!r}: {r['bad_count']} bad, e.g. {list(r['examples'])}" for r in bad)
+        raise IngestionError(f"{path}: {detail}")
+    return found.rows
 
 
 def read_parquet_strict(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:

@@ -138,3 +138,17 @@ def test_sales_file_preference(spark, source):
     assert retail.find_sales_file(spark, str(source)).endswith("validation.csv")
     write(source / "sales_train_evaluation.csv", WIDE)
     assert retail.find_sales_file(spark, str(source)).endswith("evaluation.csv")
+
+
+def test_ingestion_sets_bad_rows_aside(spark, tmp_path):
+    """Good rows typed, bad rows as read, and a report equal to an audit of the whole text."""
+    bad = TEXT.replace("A,3,", "A,3.5,").replace("2024-01-02,B", "yesterday,B") + "2024-01-03,C,x,oops,store\n2024-01-03,C,x,,online\n"
+    path = write(tmp_path / "mixed.csv", bad)
+    found = files.ingest_csv(spark, path, SALES)
+    assert sorted(tuple(r) for r in found.rows.collect()) == [(dt.date(2024, 1, 1), "B", 0, None, "online"), (dt.date(2024, 1, 2), "A", 5, 2.25, "store")]
+    assert found.rows.schema.simpleString() == files.type_text(files.read_csv_text(spark, path, SALES), SALES).schema.simpleString()
+    assert sorted(r["quantity"] for r in found.rejected.collect()) == ["1", "3.5", "x", "x"]
+    whole = files.bad_value_audit(files.read_csv_text(spark, path, SALES), SALES)
+    assert {tuple(map(str, r)) for r in found.report.collect()} == {tuple(map(str, r)) for r in whole.collect()}
+    empty = files.ingest_csv(spark, write(tmp_path / "empty.csv", TEXT.splitlines()[0] + "\n"), SALES)
+    assert empty.rows.collect() == [] and empty.rejected.collect() == [] and {r["bad_count"] for r in empty.report.collect()} == {0}

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stockweave.llm.frames import fresh
+
 SLOTS_PER_BUCKET = 200_000
 
 
@@ -67,7 +69,7 @@ def _children(tree: Sequence[Leaf], parent: str, level: str) -> Column:
 
 
 def place(df: DataFrame, key: Column, tree: Sequence[Leaf], name: str = "shard") -> DataFrame:
-    """Add ``name`` (int): the key's shard. A null key is placed as the empty text."""
+    """Add ``name`` (int), replacing a column called so: the key's shard. A null key is placed as the empty text."""
     if not any(leaf.weight > 0 for leaf in tree):
         raise ValueError("the tree needs a shard of positive weight")
     text = F.coalesce(key.cast("string"), F.lit(""))
@@ -87,10 +89,11 @@ def assign_slots(placed: DataFrame, order: Sequence[str], rows: int, shard: str
     """
     shards = placed.select(shard).distinct().count() if rows else 1
     buckets = max(1, math.ceil(rows / max(1, shards) / SLOTS_PER_BUCKET))
-    dealt = placed.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    sizes = dealt.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(shard).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(F.col(shard).alias("_shard"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    position = F.row_number().over(W.partitionBy(shard, "_bucket").orderBy(*order))
-    numbered = dealt.withColumn("_at", position).join(starts, (F.col(shard) == F.col("_shard")) & (F.col("_bucket") == F.col("_b")))
-    return numbered.withColumn(name, (F.col("_start") + F.col("_at") - 1).cast("long")).drop("_bucket", "_at", "_shard", "_b", "_start")
+    b, at, own, part, start = (fresh(placed, c) for c in ("_bucket", "_at", "_shard", "_b", "_start"))
+    dealt = placed.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    sizes = dealt.groupBy(shard, b).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(shard).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(F.col(shard).alias(own), F.col(b).alias(part), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(start))
+    position = F.row_number().over(W.partitionBy(shard, b).orderBy(*order))
+    numbered = dealt.withColumn(at, position).join(starts, (F.col(shard) == F.col(own)) & (F.col(b) == F.col(part)))
+    return numbered.withColumn(name, (F.col(start) + F.col(at) - 1).cast("long")).drop(b, at, own, part, start)

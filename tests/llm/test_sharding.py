@@ -58,3 +58,37 @@ def test_query_and_edge_cases(spark, awkward, tmp_path):
     assert (by_id[6]["size"], by_id[6]["text_crc32"]) == (88, zlib.crc32(("é" * 40).encode()))
     for shard in {r["shard"] for r in rows}:
         assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in rows)))
+
+
+def descend(key, tree):
+    """The tree in plain Python: at every node the child of the smallest draw."""
+    import hashlib
+    import math
+
+    def weight(leaves):
+        return sum(leaf.weight for leaf in leaves)
+
+    def choose(leaves, name):
+        groups = {}
+        for leaf in leaves:
+            if leaf.weight > 0:
+                groups.setdefault(name(leaf), []).append(leaf)
+        draw = lambda n: (int(hashlib.md5(f"{key}|{n}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return groups[min(groups, key=lambda n: (-math.log(draw(n)) / weight(groups[n]), n))]
+
+    leaves = choose(choose(tree, lambda leaf: leaf.region), lambda leaf: leaf.rack)
+    return choose(leaves, lambda leaf: f"s{leaf.shard}")[0].shard
+
+
+def test_query_equals_a_plain_descent_on_the_whole_table(spark):
+    rows = QUERIES["op1_shard_tree"](spark, SF).collect()
+    bigger = sharding.grow(FLEET)
+    assert rows and all((r["shard"], r["grown_shard"]) == (descend(r["doc_id"], FLEET), descend(r["doc_id"], bigger)) for r in rows)
+    uneven = [sharding.Leaf("a", "a0", 0, 2.5), sharding.Leaf("a", "a1", 1, 0.5), sharding.Leaf("b", "b0", 2, 1.5), sharding.Leaf("b", "b0", 3, 0.0), sharding.Leaf("c", "c0", 4, 4.0)]
+    assert shards(spark, uneven, 800) == {k: descend(k, uneven) for k in range(800)}
+
+
+def test_slots_leave_columns_of_any_name_alone(spark):
+    df = spark.range(500).withColumns({c: F.lit("x") for c in ("_bucket", "_at", "_shard", "_b", "_start")})
+    out = sharding.assign_slots(sharding.place(df, F.col("id"), FLEET), ["id"], 500)
+    assert out.columns == [*df.columns, "shard", "slot"] and out.where("_bucket = 'x' AND _at = 'x' AND _shard = 'x' AND _b = 'x' AND _start = 'x'").count() == 500

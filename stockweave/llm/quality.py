@@ -175,7 +175,14 @@ def learn(measured: DataFrame, m: str) -> LabelModel:
 
 
 def judge(measured: DataFrame, m: str, threshold: float = 0.5) -> DataFrame:
-    """Add ``p_good``, ``base_failed`` and ``kept`` to rows with a column ``m`` of measures (evaluated twice)."""
+    """Add ``p_good``, ``base_failed`` and ``kept`` to rows with a column ``m`` of measures (evaluated twice).
+
+    Columns that bear one of these names already are kept under a name with an underscore in front.
+    """
+    for c in ("p_good", "base_failed", "kept"):
+        own = next((x for x in measured.columns if x.lower() == c), None)
+        if own:
+            measured = measured.withColumnRenamed(own, fresh(measured, c))
     p = fresh(measured, "_pattern")
     good = learn(measured, m).posterior(F.col(p))
     judged = measured.withColumns({p: votes(F.col(m)), "base_failed": base_failed(F.col(m))}).withColumn("p_good", good)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockweave.llm import quality
+from stockweave.llm import quality as Q
 from stockweave.llm.queries import QUERIES, table
 
 SF = "/root/testdata/sf0.01"
@@ -59,3 +60,13 @@ def test_filter_keeps_columns_and_edge_cases(spark, docs, awkward):
     assert quality.filter_documents(docs(clean)).count() == 30
     measured = docs(clean).withColumn("m", quality.measures("text"))
     assert quality.judge(measured, "m").where(F.col("kept")).count() == 30
+
+
+def test_clashing_columns_are_kept(spark, docs):
+    from pyspark.sql import functions as F
+
+    table = docs([(k, "one two three four five six seven eight nine ten " * 3 + f"word{k}.") for k in range(30)] + [(99, "short")])
+    measured = table.select("doc_id", Q.measures("text").alias("m"), F.lit("mine").alias("kept"), F.lit(7).alias("P_good"))
+    judged = Q.judge(measured, "m")
+    row = judged.where("doc_id = 99").first()
+    assert row["base_failed"] is True and row["kept"] is False and row["_kept"] == "mine" and row["_p_good"] == 7

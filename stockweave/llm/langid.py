@@ -146,9 +146,16 @@ def held_out(key: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """At most ``SAMPLE_PER_LANG`` labelled texts per language outside the held-out fifth, chosen by hash."""
-    labelled = docs.where(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(F.col(text)) <= SAMPLE_CHARS))
-    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
+    """At most ``SAMPLE_PER_LANG`` labelled texts per language outside the held-out fifth, chosen by hash.
+
+    Of a text of more than ``SAMPLE_CHARS`` characters a window of that length is taken whose place the hash chooses, so a language that
+    has long texts only is learned too.
+    """
+    labelled = docs.where(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    h = F.xxhash64(F.col(key), F.col(text))
+    start = F.pmod(h, F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
+    window = F.when(F.length(text) > SAMPLE_CHARS, F.substr(F.col(text), start + 1, F.lit(SAMPLE_CHARS))).otherwise(F.col(text))
+    rows = labelled.select(window.alias("t"), F.col(lang).alias("l"), h.alias("h"))
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     if not counts:
         return []

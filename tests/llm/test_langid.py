@@ -54,3 +54,38 @@ def test_edge_cases(spark, docs, awkward):
     assert all((by[i]["lang"], by[i]["score"], by[i]["accepted"]) == ("und", 0.0, False) for i in (1, 2, 3))
     assert by[4]["lang"] == by[6]["lang"] == "en" and by[4]["score"] == 1.0
     assert not N.held_out(F.lit(None).cast("long")) is None
+
+
+def test_predictions_equal_a_plain_mean_and_softmax():
+    """Without the chunks: the mean of all subwords' logits, and a softmax in plain Python."""
+    import math
+
+    from stockweave.llm import langid as M
+
+    def plain(model, text):
+        raw, rows = (" " + text.lower() + " ").encode(), []
+        for n in M.NGRAMS:
+            for i in range(len(raw) - n + 1):
+                code = n
+                for byte in raw[i : i + n]:
+                    code = (code * 0x01000193 ^ byte) % 2**32
+                rows.append(((code * 0x9E3779B1) % 2**32) >> 16)
+        z = [sum(float(model.logits[r, k]) for r in rows) / len(rows) for k in range(len(model.langs))]
+        top = max(z)
+        return model.langs[z.index(top)], 1 / sum(math.exp(v - top) for v in z)
+
+    words = {"en": "the quick brown fox and the lazy dog", "de": "der schnelle braune fuchs und der hund", "fr": "le renard brun et rapide avec le chien"}
+    model = M.train([(f"{w} {k}", lang) for lang, w in words.items() for k in range(40)])
+    for text in [*words.values(), "the hund avec", "x", "Über den Wolken", "dog" * 40, "ab " * 2000]:
+        lang, score = model.predict(text)
+        assert (lang, round(score, 6)) == (plain(model, text)[0], round(plain(model, text)[1], 6))
+
+
+def test_a_language_of_long_texts_only_is_learned(spark, docs):
+    from stockweave.llm import langid as M
+
+    rows = [(k, f"the cat and the dog {k} went over the hill", "en") for k in range(60)] + [(100 + k, "der hund und die katze gehen ueber den berg " * 400, "de") for k in range(60)]
+    sample = M.training_sample(docs(rows))
+    assert {lang for _, lang in sample} == {"en", "de"} and max(len(t) for t, _ in sample) == M.SAMPLE_CHARS
+    model = M.train(sample)
+    assert model.predict("die katze und der hund")[0] == "de" and model.predict("the dog and the cat")[0] == "en"

@@ -144,16 +144,32 @@ def build_filters(frequent: DataFrame, shards: int) -> DataFrame:
     return frequent.select("hi", "lo", shard_of(shards).alias("shard")).groupBy("shard").applyInPandas(build, "shard int, filter binary")
 
 
-def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, shards: int) -> DataFrame:
-    """Insert newly frequent keys and delete keys no longer frequent, shard by shard."""
-    changes = added.select("hi", "lo", F.lit(1).alias("sign")).unionByName(removed.select("hi", "lo", F.lit(-1).alias("sign")))
+def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, shards: int, frequent: DataFrame | None = None) -> DataFrame:
+    """Insert newly frequent keys and delete keys no longer frequent, shard by shard.
+
+    A shard whose filter is full is built anew, larger, from ``frequent``, the exact table after the change; without it that is an error.
+    """
+    exact_known = frequent is not None
+    kinds = [(added, 1), (removed, -1)] + ([(frequent, 0)] if exact_known else [])
+    changes = None
+    for keys, sign in kinds:
+        part = keys.select("hi", "lo", F.lit(sign).alias("sign"))
+        changes = part if changes is None else changes.unionByName(part)
 
     def apply(key, old: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame:
-        gone, new = change[change["sign"] < 0], change[change["sign"] > 0]
-        made = CuckooFilter.loads(old["filter"].iloc[0]) if len(old) else CuckooFilter.for_keys(2 * len(new))
-        made.delete(gone["hi"].to_numpy(np.int64), gone["lo"].to_numpy(np.int64))
-        if not made.insert(new["hi"].to_numpy(np.int64), new["lo"].to_numpy(np.int64)):
-            raise ValueError(f"the filter of shard {key[0]} is full: build the filters anew with more shards")
+        def of(sign: int) -> tuple[np.ndarray, np.ndarray]:
+            rows = change[change["sign"] == sign]
+            return rows["hi"].to_numpy(np.int64), rows["lo"].to_numpy(np.int64)
+
+        gone, new, exact = of(-1), of(1), of(0)
+        made = CuckooFilter.loads(old["filter"].iloc[0]) if len(old) else CuckooFilter.for_keys(2 * len(new[0]))
+        made.delete(*gone)
+        if not made.insert(*new):
+            if not exact_known:
+                raise ValueError(f"the filter of shard {key[0]} is full: give the exact table, or build the filters anew with more shards")
+            made = CuckooFilter(2 * len(made.table))
+            while not made.insert(*exact):
+                made = CuckooFilter(2 * len(made.table))
         return pd.DataFrame({"shard": [key[0]], "filter": [made.dumps()]})
 
     keyed = changes.withColumn("shard", shard_of(shards))

@@ -103,3 +103,19 @@ def test_repeated_ids_are_one_document(spark, docs):
     assert {r["doc_id"]: (r["line_dedup"]["n_lines"], r["line_dedup"]["n_dropped"]) for r in done if r["doc_id"] in want} == {k: v[:2] for k, v in want.items()}
     assert sorted(r["text"] for r in done if r["doc_id"] in (7, 8)) == sorted([line, line, line + "\nshort"])
     assert [r["text"] for r in done if r["doc_id"] == 1] == [""] and [r["text"] for r in done if r["doc_id"] == 3] == [other, other]
+
+
+def test_a_full_filter_is_built_anew_from_the_exact_table(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    rng = random.Random(6)
+    keys = lambda n: [(rng.getrandbits(62), rng.getrandbits(62)) for _ in range(n)]
+    few, many = keys(5), keys(4000)
+    table = lambda rows: spark.createDataFrame(rows, "hi long, lo long")
+    filters = L.build_filters(table(few), 1)
+    with pytest.raises(PySparkException, match="is full"):
+        L.update_filters(filters, table(many), table([]), 1).collect()
+    grown = L.update_filters(filters, table(many), table(few[:2]), 1, table(few[2:] + many)).collect()
+    held = L.CuckooFilter.loads(grown[0]["filter"])
+    assert held.contains(*(np.array(c, np.int64) for c in zip(*(few[2:] + many)))).all()

@@ -33,6 +33,7 @@ from stockweave.session import cut_lineage
 LEAST = 5
 THRESHOLD = 0.8
 BLOCK_WORDS = 500_000
+BROADCAST_ROWS = 50_000  # digests of contaminated texts sent to every task at most, 32 characters each
 _SEPARATORS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 _TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+(?:(?<=[0-9])[.,](?=[0-9])[a-z0-9\x80-\xff]+)*|[^\s]")
 FRONT = 4
@@ -249,4 +250,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     digest = F.md5(F.col(text).cast("binary"))
     gone = _found(docs.select(F.col(text).alias("t"), digest.alias("_text")), benchmark, item_key, item_text, least, threshold)
     name = fresh(docs, "_gone")
-    return docs.join(gone.select(F.col("_text").alias(name)).distinct(), digest == F.col(name), "left_anti")
+    gone = cut_lineage(gone.select(F.col("_text").alias(name)).distinct())
+    if gone.count() <= BROADCAST_ROWS:  # a measured size: then the documents need no shuffle
+        gone = F.broadcast(gone)
+    return docs.join(gone, digest == F.col(name), "left_anti")

@@ -48,12 +48,12 @@ def build_calendar_event(t):
     return retail.build_calendar_event(I.calendar_source(t))
 
 
-_SNAP = "\nUNION ALL ".join(f"SELECT date, '{r}' AS region_id, snap_{r} = 1 AS snap_active FROM calendar_source" for r in ("AF", "AM", "AS"))
+_SNAP = "\nUNION ALL ".join(f"SELECT date, '{r}' AS region_id, snap_{r} = 1 AS snap_active FROM calendar_source" for r in I.SNAP_REGIONS)
 
 
 @query("build_calendar_snap", with_ctes("calendar_source", _SNAP))
 def build_calendar_snap(t):
-    return retail.build_calendar_snap(I.calendar_source(t), ["AF", "AM", "AS"])
+    return retail.build_calendar_snap(I.calendar_source(t), I.SNAP_REGIONS)
 
 
 @query("build_sales", with_ctes("grid", "SELECT date, product_id, store_id, quantity FROM grid"))

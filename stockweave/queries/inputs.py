@@ -49,6 +49,10 @@ FROM lineitem JOIN part ON l_partkey = p_partkey JOIN stores ON l_suppkey = s_su
 )
 
 
+#: The region codes of the wide layout: the first two letters of every region.
+SNAP_REGIONS = ("AF", "AM", "AS", "EU", "MI")
+
+
 def calendar_source(t: DriverTables) -> DataFrame:
     """A calendar file as the wide layout has it: labels, Saturday-first weekdays, events, flags."""
     days = t.calendar
@@ -71,6 +75,8 @@ def calendar_source(t: DriverTables) -> DataFrame:
         (day % 3 == 0).cast("int").alias("snap_AF"),
         ((day > 10) & (day <= 20)).cast("int").alias("snap_AM"),
         (F.month("date") % 2 == day % 2).cast("int").alias("snap_AS"),
+        (F.weekday("date") >= 5).cast("int").alias("snap_EU"),
+        (day <= F.month("date")).cast("int").alias("snap_MI"),
     )
 
 
@@ -87,7 +93,9 @@ SELECT date, week_id AS wm_yr_wk, (weekday + 1) % 7 + 1 AS wday, month, year,
        CASE WHEN strftime(date, '%m-%d') = '05-01' AND year % 3 = 0 THEN 'Cultural' END AS event_type_2,
        CAST(day(date) % 3 = 0 AS INTEGER) AS snap_AF,
        CAST(day(date) > 10 AND day(date) <= 20 AS INTEGER) AS snap_AM,
-       CAST(month(date) % 2 = day(date) % 2 AS INTEGER) AS snap_AS
+       CAST(month(date) % 2 = day(date) % 2 AS INTEGER) AS snap_AS,
+       CAST(isodow(date) >= 6 AS INTEGER) AS snap_EU,
+       CAST(day(date) <= month(date) AS INTEGER) AS snap_MI
 FROM calendar CROSS JOIN bounds
 """,
     "calendar",

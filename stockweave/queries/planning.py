@@ -11,7 +11,7 @@ from stockweave.operators import aggregates as A
 from stockweave.plans import planning as P
 from stockweave.queries import inputs as I
 from stockweave.queries import ledger as QL
-from stockweave.queries.forecasting import backtest_of
+from stockweave.queries.forecasting import SPEC, backtest_of, origin_range
 from stockweave.queries.inputs import ENTITIES
 from stockweave.queries.registry import query
 from stockweave.queries.sqlparts import define, hash48 as sql_hash48, r6, with_ctes
@@ -50,8 +50,12 @@ def planning_days(t, *offsets: int):
     return I.lead_items(t).select("*", F.explode(days).alias("day"))
 
 
-# The day before every weekly forecast origin, as days before the last one.
-REVIEWS = tuple(range(91, 0, -7))
+def review_items(t):
+    """Items on the day before every weekly forecast origin."""
+    origins = origin_range(t)
+    days = F.transform(F.sequence(origins.start, origins.end, F.expr(f"interval {SPEC.interval_days} day")), lambda o: F.date_sub(o, 1))
+    return I.lead_items(t).select("*", F.explode(days).alias("day"))
+
 
 # Cover n days ahead from tomorrow; z, rate and error spread per item and planning day.
 define(
@@ -62,7 +66,7 @@ SELECT d.*, {quantile_sql('target_service_level')} AS z,
      AND f.origin_date = (SELECT max(origin_date) FROM origins WHERE origin_date <= d.day + 1) AND f.date > d.day AND f.date <= d.day + d.n) / d.n AS rate,
   (SELECT stddev_samp(e.error) FROM in_use e WHERE e.product_id = d.product_id AND e.store_id = d.store_id AND e.date >= d.day - 56 AND e.date < d.day) AS error_std
 FROM (SELECT *, CAST(greatest(1, ceil(lead_time_mean_days + order_cycle_days)) AS INTEGER) AS n, CAST(hi - o AS DATE) AS day
-      FROM lead_items CROSS JOIN bounds CROSS JOIN (VALUES {', '.join(f'({o})' for o in REVIEWS)}) v(o)) d
+      FROM lead_items CROSS JOIN bounds CROSS JOIN (SELECT CAST(hi - origin_date + 1 AS INTEGER) AS o FROM origins CROSS JOIN bounds) v) d
 """,
     "lead_items", "bounds", "fc_seasonal_naive", "origins", "in_use",
 )
@@ -83,7 +87,7 @@ def levels_safety_stock(t):
     with_ctes("level_inputs", f"SELECT product_id, store_id, day, {r6('rate * (lead_time_mean_days + order_cycle_days) + z * error_std * sqrt(lead_time_mean_days + order_cycle_days)')} AS order_up_to FROM level_inputs"),
 )
 def levels_order_up_to(t):
-    levels = P.order_up_to_levels(planning_days(t, *REVIEWS), backtest_of(t, "seasonal_naive"), ENTITIES)
+    levels = P.order_up_to_levels(review_items(t), backtest_of(t, "seasonal_naive"), ENTITIES)
     return levels.select(*ENTITIES, "day", stable6(F.col("order_up_to")).alias("order_up_to"))
 
 

@@ -104,10 +104,10 @@ def unpivot_daily_sales(t):
     return retail.unpivot_days(I.wide_sales(t), ["item_id", "store_id"])
 
 
-_SNAP_COUNTS = " UNION ALL ".join(f"SELECT '{r}' AS region_id, year, CAST(sum(snap_{r}) AS BIGINT) AS active_days, CAST(count(*) AS BIGINT) AS days FROM calendar_source GROUP BY ALL" for r in ("AF", "AM", "AS"))
+_SNAP_COUNTS = " UNION ALL ".join(f"SELECT '{r}' AS region_id, year, CAST(sum(snap_{r}) AS BIGINT) AS active_days, CAST(count(*) AS BIGINT) AS days FROM calendar_source GROUP BY ALL" for r in I.SNAP_REGIONS)
 
 
 @query("snap_to_rows", with_ctes("calendar_source", _SNAP_COUNTS))
 def snap_to_rows(t):
-    rows = retail.build_calendar_snap(I.calendar_source(t), ["AF", "AM", "AS"])
+    rows = retail.build_calendar_snap(I.calendar_source(t), I.SNAP_REGIONS)
     return rows.groupBy("region_id", F.year("date").cast("bigint").alias("year")).agg(F.count_if("snap_active").alias("active_days"), F.count(F.lit(1)).alias("days"))

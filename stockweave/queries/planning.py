@@ -53,8 +53,8 @@ def planning_days(t, *offsets: int):
 def review_items(t):
     """Items on the day before every weekly forecast origin."""
     origins = origin_range(t)
-    days = F.transform(F.sequence(origins.start, origins.end, F.expr(f"interval {SPEC.interval_days} day")), lambda o: F.date_sub(o, 1))
-    return I.lead_items(t).select("*", F.explode(days).alias("day"))
+    spread = I.lead_items(t).select("*", F.explode(F.sequence(origins.start, origins.end, F.expr(f"interval {SPEC.interval_days} day"))).alias("_origin"))
+    return spread.withColumn("day", F.date_sub("_origin", 1)).drop("_origin")
 
 
 # Cover n days ahead from tomorrow; z, rate and error spread per item and planning day.

@@ -152,3 +152,11 @@ def test_ingestion_sets_bad_rows_aside(spark, tmp_path):
     assert {tuple(map(str, r)) for r in found.report.collect()} == {tuple(map(str, r)) for r in whole.collect()}
     empty = files.ingest_csv(spark, write(tmp_path / "empty.csv", TEXT.splitlines()[0] + "\n"), SALES)
     assert empty.rows.collect() == [] and empty.rejected.collect() == [] and {r["bad_count"] for r in empty.report.collect()} == {0}
+
+
+def test_day_labels_with_and_without_gaps(spark):
+    wide = spark.createDataFrame([("a", 1, 2, 3)], "item_id string, d_5 long, d_6 long, d_7 long")
+    whole = retail.unpivot_days(wide, ["item_id"])
+    assert [tuple(r) for r in whole.orderBy("d").collect()] == [("a", "d_5", 1), ("a", "d_6", 2), ("a", "d_7", 3)]
+    gaps = retail.unpivot_days(wide.withColumnRenamed("d_6", "d_x"), ["item_id"])
+    assert {(r["d"], r["quantity"]) for r in gaps.collect()} == {("d_5", 1), ("d_x", 2), ("d_7", 3)} and gaps.schema == whole.schema

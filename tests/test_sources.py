@@ -160,3 +160,28 @@ def test_day_labels_with_and_without_gaps(spark):
     assert [tuple(r) for r in whole.orderBy("d").collect()] == [("a", "d_5", 1), ("a", "d_6", 2), ("a", "d_7", 3)]
     gaps = retail.unpivot_days(wide.withColumnRenamed("d_6", "d_x"), ["item_id"])
     assert {(r["d"], r["quantity"]) for r in gaps.collect()} == {("d_5", 1), ("d_x", 2), ("d_7", 3)} and gaps.schema == whole.schema
+
+
+def test_purchase_orders_are_shared_by_more_tasks_when_lines_grow(spark, tmp_path, monkeypatch):
+    from stockweave.sources import drivertables as D
+
+    def table(name, rows):
+        spark.createDataFrame(rows, D.SCHEMAS[name]).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    when = dt.datetime(2024, 1, 5)
+    line = lambda o, n, q: (o, o % 3, o % 2, n, float(q), 1.0, 0.0, 0.0, "N", "O", when)
+    # Every line twice, one without an order key, one whose order is missing; order 7 stands on two days.
+    table("lineitem", [line(o, n, 2) for o in range(1000) for n in (1, 1, 2, 2)] + [(None, 1, 1, 1, 9.0, 1.0, 0.0, 0.0, "N", "O", when), line(5000, 1, 9)])
+    table("orders", [(o, 1, "O", 1.0, when, "x") for o in range(1000)] + [(7, 1, "O", 1.0, when + dt.timedelta(days=1), "x")])
+    table("part", [(p, "n", "b", f"T{p}", 1, 1.0) for p in range(3)])
+    table("supplier", [(s, "n", 0, 1.0) for s in range(2)])
+    table("nation", [(0, "n", 0)])
+    table("region", [(0, "ASIA")])
+    monkeypatch.setattr(D, "ORDER_ROWS", 200)
+    orders = D.DriverTables(spark, str(tmp_path)).purchase_orders
+    rows = orders.withColumn("task", F.spark_partition_id()).collect()
+    got = sorted((r["po_id"], r["product_id"], r["warehouse_id"], r["supplier_id"], r["order_date"], r["quantity"]) for r in rows)
+    days = lambda o: [when.date(), when.date() + dt.timedelta(days=1)] if o == 7 else [when.date()]
+    assert got == sorted((f"{o}-{n}-{o % 3}-{o % 2}", f"T{o % 3}", "ASIA", o % 2, d, 4) for o in range(1000) for n in (1, 2) for d in days(o))
+    held = [sum(r["task"] == t for r in rows) for t in {r["task"] for r in rows}]
+    assert len(held) == 21 and max(held) < 300

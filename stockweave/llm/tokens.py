@@ -35,10 +35,13 @@ from pyspark.sql import functions as F
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 ROLL_BYTES = 32 << 20
 CACHE_ENTRIES = 300_000
+SIGN_ENTRIES = 10_000
 CHUNK_CHARS = 1 << 16
 NULL_KEY = -(1 << 63)
 _DOUBLE_SPACE = re.compile(r"\s\s")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+_SIGNS = r"([!-/:-@\[-`{-~]+)"
+_UNITS = re.compile(rf"([^\W\d_]+){_SIGNS}(?:\n([^\W\d_]+){_SIGNS}?)?")
 
 MANIFEST = "file string, part int, seq int, n_docs long, n_tokens long"
 
@@ -51,13 +54,29 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Words(dict):
+    """Ids of `` word`` by word; a missing one is taken from the old generation or encoded."""
+
+    def __init__(self, encoder: ByteBpe) -> None:
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        encoder = self.encoder
+        ids = encoder.old.get(word)
+        if ids is None:
+            ids = encoder._letters(word) if word.isalpha() else encoder._find(word)
+        self[word] = ids
+        return ids
+
+
 class ByteBpe:
     """Encodes whole texts with a byte-level BPE file, one call per unseen word.
 
     The file's pre-tokenizer never joins text across a single space between two visible characters, so a text may be
-    cut there and the words encoded one by one. It also takes a run of letters with its space as one unit, so such a
-    word goes straight to the merges, and a final comma or full stop is a unit of its own. Words already seen come
-    from a bounded cache of two generations: when the young one is full, it becomes the old one.
+    cut there and the words encoded one by one. It also takes a run of letters with its space as one unit, a run of
+    ASCII signs after it as one, and a line break between sign and letter as one. So words of these go unit by unit
+    straight to the merges; others, and those that hold an added token, go through the library. Words already seen
+    come from a bounded cache of two generations: when the young one is full, it becomes the old one.
     """
 
     def __init__(self, path: str, width: int) -> None:
@@ -65,48 +84,59 @@ class ByteBpe:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model, self.dtype = Tokenizer.from_file(path), np.dtype(f"<u{width}")
-        self.young, self.old, self.width, self.letters = {}, {}, width, byte_letters()
-        self.stops = {c: self._merge(c) for c in ",."}
+        self.young, self.old, self.letters, self.signs = _Words(self), {}, byte_letters(), {}
+        self.space = self.letters[32]
+        self.merges = self.model.model.tokenize
+        added = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
+        top = max(self.model.get_vocab().values())
+        self.packed = [i.to_bytes(width, "little") for i in range(min(top + 1, 1 << 8 * width))]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
 
     def _merge(self, unit: str) -> bytes:
-        tokens = self.model.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))
-        return b"".join([t.id.to_bytes(self.width, "little") for t in tokens])
-
-    def _learn(self, words: set[str]) -> None:
-        """Put the ids of `` word`` into the young cache for every word."""
-        if len(self.young) > CACHE_ENTRIES:
-            self.old, self.young = self.young, {}
-        young, old, hard = self.young, self.old, []
-        for word in words:
-            ids = old.get(word)
-            if ids is None:
-                if word.isalpha():
-                    ids = self._merge(" " + word)
-                elif word[-1:] in self.stops and word[:-1].isalpha():
-                    stem = word[:-1]
-                    ids = (young.get(stem) or old.get(stem) or self._merge(" " + stem)) + self.stops[word[-1]]
-                else:
-                    hard.append(word)
-                    continue
-            young[word] = ids
-        for at in range(0, len(hard), 4096):
-            block = hard[at : at + 4096]
-            young.update(zip(block, self._encode([" " + w for w in block])))
+        seen = unit.encode().decode("latin-1").translate(self.letters)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.merges(seen)])
+
+    def _letters(self, word: str) -> bytes:
+        """A run of letters after a space."""
+        if not word.isascii():
+            return self._merge(" " + word)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.merges(self.space + word)])
+
+    def _sign(self, signs: str) -> bytes:
+        ids = self.signs.get(signs)
+        if ids is None:
+            ids = self._merge(signs)
+            if len(self.signs) < SIGN_ENTRIES:
+                self.signs[signs] = ids
+        return ids
+
+    def _find(self, word: str) -> bytes:
+        """The ids of `` word``, of a word that is not in the caches."""
+        found = _UNITS.fullmatch(word)
+        if found is None or self.added.search(word):
+            return self._encode(" " + word)
+        first, signs, line, more = found.groups()
+        if not first.isalpha() or (line and not line.isalpha()):  # numbers that are no digits
+            return self._encode(" " + word)
+        ids = (self.young.get(first) or self.old.get(first) or self._letters(first)) + self._sign(signs)
+        if line:
+            ids += self._sign("\n") + self._merge(line) + (self._sign(more) if more else b"")
+        return ids
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if len(self.young) > CACHE_ENTRIES:
+            self.old, self.young = self.young, _Words(self)
         plain = text[0] != " " and text[-1] != " " and not _DOUBLE_SPACE.search(text)
         words = text.split(" ") if plain else _SAFE_CUT.split(text)
-        first, rest = self._encode(words[:1])[0], words[1:]
-        missing = set(rest).difference(self.young)
-        if missing:
-            shifted = len(self.young) > CACHE_ENTRIES
-            self._learn(set(rest) if shifted else missing)
-        return first + b"".join(map(self.young.__getitem__, rest))
+        first = self._merge(words[0]) if words[0].isalpha() else self._encode(words[0])
+        return first + b"".join(map(self.young.__getitem__, words[1:]))
 
 
 _ENCODERS: dict[tuple, ByteBpe] = {}

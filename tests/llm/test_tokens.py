@@ -22,6 +22,18 @@ def test_words_give_the_ids_of_whole_texts():
         assert np.frombuffer(encoder.encode(text), "<u2").tolist() == model.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_of_letters_and_signs_need_no_library_call():
+    model = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    encoder, called = K.ByteBpe(vocabulary("byte_bpe_50k.json"), 2), []
+    library = encoder._encode
+    encoder._encode = lambda text: called.append(text) or library(text)
+    for text in ["Word a$$$ ab.%%% es.\nNdor el.\nés, él'\ns x, que!!", "és sí.\nno*** (_) a_ b- c"]:
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == model.encode(text, add_special_tokens=False).ids, text
+    assert called == [" (_)"]
+    for text in ["$$$ a", "x a.\n\nb c", "x a.\n1 b", "x a.\nb1 c", "x a½. b", "x a.\n½. b", "x a<|endoftext|>b <|endoftext|> c.", "x a'.\n's b'll a'\nll", "a\u0301. b\u0301\nc", "x a.\x1cb a…\nb a.\x85b", "x a.\r\nb", "é", "x_y a"]:
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == model.encode(text, add_special_tokens=False).ids, text
+
+
 def test_small_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(K, "CACHE_ENTRIES", 3)
     model = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))

@@ -185,3 +185,32 @@ def test_purchase_orders_are_shared_by_more_tasks_when_lines_grow(spark, tmp_pat
     assert got == sorted((f"{o}-{n}-{o % 3}-{o % 2}", f"T{o % 3}", "ASIA", o % 2, d, 4) for o in range(1000) for n in (1, 2) for d in days(o))
     held = [sum(r["task"] == t for r in rows) for t in {r["task"] for r in rows}]
     assert len(held) == 21 and max(held) < 300
+
+
+def test_regions_do_not_gather_the_lines_of_a_shuffled_join(spark, tmp_path):
+    from stockweave.sources import drivertables as D
+
+    def table(name, rows):
+        spark.createDataFrame(rows, D.SCHEMAS[name]).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    when = dt.datetime(2024, 1, 5)
+    # Suppliers 0 to 39 of one nation, 40 without a nation, 41 of a nation that is missing; every line is there twice.
+    lines = [(o, o % 3, o % 42, 1, 2.0, 1.0, 0.0, 0.0, "N", "O", when) for o in range(420)] * 2 + [(1, 1, None, 2, 2.0, 1.0, 0.0, 0.0, "N", "O", when)]
+    table("lineitem", lines)
+    table("orders", [(o, 1, "O", 1.0, when, "x") for o in range(420)])
+    table("part", [(p, "n", "b", f"T{p}", 1, 1.0) for p in range(3)])
+    table("supplier", [(s, "n", 0, 1.0) for s in range(40)] + [(40, "n", None, 1.0), (41, "n", 9, 1.0)])
+    table("nation", [(0, "n", 0), (None, "m", 0)])
+    table("region", [(0, "ASIA")])
+    alone = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in alone}
+    try:
+        for k, v in alone.items():
+            spark.conf.set(k, v)
+        rows = D.DriverTables(spark, str(tmp_path)).purchase_orders.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    got = sorted((r["po_id"], r["product_id"], r["warehouse_id"], r["supplier_id"], r["quantity"]) for r in rows)
+    assert got == sorted((f"{o}-1-{o % 3}-{o % 42}", f"T{o % 3}", "ASIA", o % 42, 4) for o in range(420) if o % 42 < 40)
+    assert len({r["task"] for r in rows}) > 1

@@ -214,3 +214,52 @@ def test_regions_do_not_gather_the_lines_of_a_shuffled_join(spark, tmp_path):
     got = sorted((r["po_id"], r["product_id"], r["warehouse_id"], r["supplier_id"], r["quantity"]) for r in rows)
     assert got == sorted((f"{o}-1-{o % 3}-{o % 42}", f"T{o % 3}", "ASIA", o % 42, 4) for o in range(420) if o % 42 < 40)
     assert len({r["task"] for r in rows}) > 1
+
+
+@pytest.mark.parametrize("short", [0, 500_000])
+def test_lines_are_not_sorted_for_the_tables_they_are_joined_with(spark, tmp_path, monkeypatch, capsys, short):
+    """Orders, parts, suppliers and lead times are hashed in shares where they are long and sent whole where they are short."""
+    from stockweave.queries.ledger import timed_orders
+    from stockweave.sources import drivertables as D
+
+    def table(name, rows):
+        spark.createDataFrame(rows, D.SCHEMAS[name]).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    day = lambda n: dt.datetime(2024, 1, 5) + dt.timedelta(days=n)
+    line = lambda o, p, s: (o, p, s, 1, 2.0, 1.0, 0.0, 0.0, "N", "O", day(o % 5 + 1))
+    # Every line twice; keys that are null or found nowhere; part 2 and supplier 1 stand twice, order 7 on two days.
+    table("lineitem", [line(o, o % 3, o % 2) for o in range(300)] * 2 + [line(o, p, s) for o, p, s in ((1, None, 1), (1, 1, None), (1, 9, 1), (1, 1, 9), (900, 1, 1))] + [(None, 1, 1, 1, 2.0, 1.0, 0.0, 0.0, "N", "O", day(1))])
+    table("orders", [(o, 1, "O", 1.0, day(0), "x") for o in range(300)] + [(7, 1, "O", 1.0, day(1), "x"), (None, 1, "O", 1.0, day(0), "x")])
+    table("part", [(p, "n", "b", f"T{p}", 1, 1.0) for p in (0, 1, 2, 2, None)])
+    table("supplier", [(s, "n", 0, 1.0) for s in (0, 1, 1, None)])
+    table("nation", [(0, "n", 0)])
+    table("region", [(0, "ASIA")])
+    monkeypatch.setattr(D, "BROADCAST_ROWS", short)
+    monkeypatch.setattr(D, "ORDER_ROWS", 20)
+    alone = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in alone}
+    try:
+        for k, v in alone.items():
+            spark.conf.set(k, v)
+        t = D.DriverTables(spark, str(tmp_path))
+        frames = {"orders": timed_orders(t), "moves": t.stock_moves, "demand": t.order_demand, "sales": t.sales}
+        rows = {k: df.collect() for k, df in frames.items()}
+        capsys.readouterr()
+        for name, df in frames.items():
+            df.explain()
+            plan = capsys.readouterr().out
+            assert "SortMergeJoin" not in plan, name
+            assert ("ShuffledHashJoin" in plan) is (short == 0), name
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    # Rows of a line's key in parts, in suppliers, and the days of its order.
+    joined = [(o, o % 3, o % 2, d) for o in range(300) for d in ((0, 1) if o == 7 else (0,)) for _ in range((1 + (o % 3 == 2)) * (1 + o % 2))]
+    got = sorted((r["po_id"], r["product_id"], r["warehouse_id"], r["order_date"], r["quantity"]) for r in rows["orders"])
+    assert got == sorted((f"{o}-1-{p}-{s}", f"T{p}", "ASIA", day(d).date(), 4) for o, p, s, d in joined for _ in range(1 + s))  # lead times per supplier row
+    demand, arrivals = {}, {}
+    for o, p, s, d in joined:
+        demand[day(d).date(), f"T{p}"] = demand.get((day(d).date(), f"T{p}"), 0) + 4
+        arrivals[day(o % 5 + 1).date(), f"T{p}"] = arrivals.get((day(o % 5 + 1).date(), f"T{p}"), 0) + 4
+    assert {(r["date"], r["product_id"]): r["demand"] for r in rows["demand"]} == demand
+    assert {(r["date"], r["product_id"]): (r["arrivals"], r["demand"]) for r in rows["moves"]} == {k: (arrivals.get(k, 0), demand.get(k, 0)) for k in arrivals | demand}
